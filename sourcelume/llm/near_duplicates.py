@@ -9,7 +9,7 @@ the number of common n-grams of every pair. Two bounds derived from the sizes ke
   ``min(rest of x, rest of y)`` more can follow; pairs below the overlap they need are discarded.
 
 What is left is counted exactly over the whole rows. "Rarest" needs no exact counts, only one order for all texts: it
-comes from a fixed-size table of hashed counts over all rows (``count_bits``), which a wrong count makes slower, not wrong.
+comes from a table of hashed counts over all rows, of bounded size; a count that is too high makes a run slower, not wrong.
 """
 
 from __future__ import annotations
@@ -57,6 +57,18 @@ def shingle_hashes(texts: list[str | None], n: int, least: int) -> list[np.ndarr
     return out
 
 
+def pack(grams: np.ndarray) -> bytes:
+    """The leading 40 bits of sorted hashes; two of one pair of texts agree by chance about once in 10**12."""
+    return (grams >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, 3:] = raw
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
 def _incidence(n: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,7 +78,7 @@ def _incidence(n: int, least: int):
                 [
                     b.column(0).take(pa.array(keep, pa.int64())),
                     pa.array([len(sets[i]) for i in keep], pa.int32()),
-                    pa.array([sets[i].tobytes() for i in keep], pa.binary()),
+                    pa.array([pack(sets[i]) for i in keep], pa.binary()),
                 ],
                 names=["doc", "size", "grams"],
             )
@@ -75,14 +87,14 @@ def _incidence(n: int, least: int):
 
 
 def _cells(grams: np.ndarray, bits: int) -> np.ndarray:
-    return (grams >> np.uint64(64 - bits)).astype(np.int64)
+    return (grams >> np.uint64(40 - bits)).astype(np.int64)
 
 
 def _counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            grams = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            grams = unpack(b"".join(b.column(0).to_pylist()))
             table += np.bincount(_cells(grams, bits), minlength=1 << bits)
         hot = np.flatnonzero(table)
         if len(hot):
@@ -99,17 +111,13 @@ def _product_rows(table, bits: int, t: float, block: int):
         for b in batches:
             out: list[tuple] = []
             for doc, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                grams = np.frombuffer(g, np.uint64)
+                grams = unpack(g)
                 c = counts[_cells(grams, bits)]
                 order = np.lexsort((grams, c))
                 size = len(grams)
                 head = order[: size - int(np.ceil(t * size - 1e-9)) + 1]
                 grams, c = grams[head], c[head]
                 at = np.arange(len(head), dtype=np.int32)
-                if len(c) and c[-1] <= 1:  # an n-gram counted once has no partner
-                    continue
-                more = c > 1
-                grams, c, at = grams[more], c[more], at[more]
                 k = (c - 1) // block + 1  # blocks of this n-gram
                 if (k == 1).all():
                     out.append((grams, np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int32), at, np.full(len(grams), doc), np.full(len(grams), size, np.int32)))
@@ -202,38 +210,41 @@ def _multiply(t: float, rows_at_once: int):
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = [
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())
-        ]
+        n = [len(np.intersect1d(unpack(x), unpack(y), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(n, pa.int32())], names=["a", "b", "size_a", "size_b", "common"])
 
 
 def similar_texts(
-    docs: DataFrame, key: str, text: str, threshold: float = 0.8, n: int = 5, least_words: int = 50, count_bits: int = 20, block: int = 2048
+    docs: DataFrame, key: str, text: str, threshold: float = 0.8, n: int = 5, least_words: int = 50, max_count_bits: int = 22, block: int = 2048
 ) -> DataFrame:
     """Pairs ``(a, b, common, similarity)`` of distinct texts, a < b, with Jaccard similarity of at least ``threshold``.
 
     ``key`` is an integer that is unique in ``docs``, whose texts should be distinct (see ``duplicate_pairs``). The set of
     a text holds its distinct runs of ``n`` successive words ``[A-Za-z0-9_]+``; texts of fewer than ``least_words`` words,
-    null and empty ones take no part. ``count_bits`` sizes the table of hashed counts, which is summed in the JVM and
-    broadcast (4 MB at 20 bits, whatever the input). No pair is lost, none is capped.
+    null and empty ones take no part. The table of hashed counts has ``2**max_count_bits``
+    cells at most (4 bytes each, broadcast). No pair is lost, none is capped.
     """
     spark = docs.sparkSession
     slots = partitions(spark)
     matrix = cut_lineage(docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text)).mapInArrow(_incidence(n, least_words), "doc long, size int, grams binary"))
-    counted = matrix.select("grams").mapInArrow(_counts(count_bits), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    counts = np.ones(1 << count_bits, dtype=np.int32)
-    counts[counted["cell"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**31 - 1)
+    total = matrix.agg(F.sum("size")).first()[0] or 0
+    bits = min(max_count_bits, max(12, int(total).bit_length() - 4))
+    cells = matrix.select("grams").mapInArrow(_counts(bits), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    # only cells well above the mean are told apart: at most half of the table, in practice a few thousand
+    hot = cells.where(F.col("n") > max(2.0, 2.0 * total / (1 << bits))).toArrow()
+    counts = np.ones(1 << bits, dtype=np.int32)
+    counts[hot.column(0).to_numpy()] = np.minimum(hot.column(1).to_numpy(), 2**31 - 1)
     table = spark.sparkContext.broadcast(counts)
-    rows = matrix.select("doc", "grams").mapInArrow(_product_rows(table, count_bits, threshold, block), "gram long, pair long, side int, at int, doc long, size int")
+    rows = matrix.select("doc", "grams").mapInArrow(_product_rows(table, bits, threshold, block), "gram long, pair long, side int, at int, doc long, size int")
     rows = rows.repartition(slots, "gram", "pair").sortWithinPartitions("gram", "pair", "size")
     found = rows.mapInArrow(_multiply(threshold, 1 << 20), "a long, b long, size_a int, size_b int, n long, at_a int, at_b int")
     found = found.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
     follow = F.least(F.col("size_a") - 1 - F.col("at_a"), F.col("size_b") - 1 - F.col("at_b"))
     found = found.where(F.col("n") + follow >= need).select("a", "b", "size_a", "size_b")
-    both = found.join(matrix.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a")), "a").join(matrix.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b")), "b")
+    # both rows of a pair come by one join, and meet by the pair
+    ends = found.select("*", F.explode(F.array("a", "b")).alias("doc")).join(matrix.select("doc", "grams"), "doc")
+    both = ends.groupBy("a", "b", "size_a", "size_b").agg(F.min(F.struct("doc", "grams"))["grams"].alias("grams_a"), F.max(F.struct("doc", "grams"))["grams"].alias("grams_b"))
     exact = both.select("a", "b", "size_a", "size_b", "grams_a", "grams_b").mapInArrow(_overlap, "a long, b long, size_a int, size_b int, common int")
     similarity = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
     return exact.select("a", "b", "common", similarity.alias("similarity")).where(F.col("similarity") >= threshold)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
+from .knn import nearest_neighbours
+from .leximin import rank_for_queries
 from .near_duplicates import duplicate_groups, duplicate_pairs
 from .splitting import split_oversized
 
@@ -21,6 +23,24 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select(F.col("id").alias("chunk_id"), "file_id", "chunk_index", "piece", "pieces", "start_line", "end_line", "overlap_chars", "content")
 
 
+def _ranking(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "embedding", "ts")
+    return rank_for_queries(chunks, table(spark, sf, "search_queries"), 5)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranking(spark, sf).select(F.col("query_id").cast("int").alias("query_id"), "chunk_id").distinct()
+
+
+def p3_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranking(spark, sf).select(F.col("query_id").cast("int").alias("query_id"), "chunk_id", "hits", F.round("cosine", 6).alias("cosine"), "place_cosine", "place_hits", "rank")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = nearest_neighbours(table(spark, sf, "chunks").select("id", "embedding"), k=5, least_cosine=0.80)
+    return near.where("cosine >= 0.80").select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id")).distinct()
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     files = table(spark, sf, "files").select("id", "content", "content_sha")
     return duplicate_pairs(files, 0.70).select(F.col("id_a").alias("file_id_a"), F.col("id_b").alias("file_id_b")).distinct()
@@ -32,7 +52,7 @@ def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p7_found, p7_groups)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_ranking, p5_found, p7_found, p7_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
