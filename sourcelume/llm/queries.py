@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
+from .invalid_source import error_rates, parse_errors
 from .knn import nearest_neighbours
 from .leximin import rank_for_queries
 from .near_duplicates import duplicate_groups, duplicate_pairs
 from .splitting import split_oversized
 
 
+def _errors(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_errors(table(spark, sf, "files"), ["id", "repo_id"]).dropDuplicates(["id"])
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    errors = parse_errors(table(spark, sf, "files"), ["id"])
+    return errors.where("error_line IS NOT NULL").select(F.col("id").alias("file_id")).distinct()
+
+
+def p1_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return _errors(spark, sf).where("error_line IS NOT NULL").select(F.col("id").alias("file_id"), "repo_id", "lang", "error_line")
+
+
+def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return error_rates(_errors(spark, sf), "repo_id", "lang")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     pieces = split_oversized(table(spark, sf, "chunks").select("id", "file_id", "chunk_index", "content", "start_line", "end_line"))
     return pieces.where("pieces > 1").select(F.col("id").alias("chunk_id")).distinct()
@@ -52,7 +70,7 @@ def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_ranking, p5_found, p7_found, p7_groups)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p5_found, p7_found, p7_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
