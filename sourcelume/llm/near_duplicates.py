@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.components import connected_components
 from ..session import cut_lineage, partitions
 
+#: Cells of the table of counts that are summed together.
+SEGMENT = 4096
 WORD = re.compile(r"[A-Za-z0-9_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,41 +71,38 @@ def unpack(packed: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
-def _incidence(n: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_hashes(b.column(1).to_pylist(), n, least)
-            keep = [i for i, s in enumerate(sets) if s is not None]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(keep, pa.int64())),
-                    pa.array([len(sets[i]) for i in keep], pa.int32()),
-                    pa.array([pack(sets[i]) for i in keep], pa.binary()),
-                ],
-                names=["doc", "size", "grams"],
-            )
+def _grams(n: int, least: int):
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else pack(s) for s in shingle_hashes(text.to_pylist(), n, least)], pa.binary())
 
-    return run
+    return F.arrow_udf(run, "binary")
 
 
 def _cells(grams: np.ndarray, bits: int) -> np.ndarray:
     return (grams >> np.uint64(40 - bits)).astype(np.int64)
 
 
-def _counts(bits: int):
+def _counts(bits: int, n: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            grams = unpack(b"".join(b.column(0).to_pylist()))
-            table += np.bincount(_cells(grams, bits), minlength=1 << bits)
-        hot = np.flatnonzero(table)
-        if len(hot):
-            yield pa.RecordBatch.from_arrays([pa.array(hot.astype(np.int32)), pa.array(table[hot])], names=["cell", "n"])
+            sets = [s for s in shingle_hashes(b.column(0).to_pylist(), n, least) if s is not None]
+            if sets:
+                table += np.bincount(_cells(np.concatenate(sets) >> np.uint64(24), bits), minlength=1 << bits)
+        for k in range(0, len(table), SEGMENT):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([table[k : k + SEGMENT].tobytes()], pa.binary())], names=["segment", "counts"])
 
     return run
 
 
-def _product_rows(table, bits: int, t: float, block: int):
+def _sum_counts(parts: pa.Table) -> pa.Table:
+    total = np.zeros(SEGMENT, np.int64)
+    for c in parts.column("counts").to_pylist():
+        total += np.frombuffer(c, np.int64)
+    return pa.table({"segment": parts.column("segment")[:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+
+def _product_rows(table, bits: int, t: float, extra: float, block: int):
     """The multiplied part of each row, one record an n-gram; those of a hot n-gram are spread over pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +110,13 @@ def _product_rows(table, bits: int, t: float, block: int):
         for b in batches:
             out: list[tuple] = []
             for doc, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if g is None:
+                    continue
                 grams = unpack(g)
                 c = counts[_cells(grams, bits)]
                 order = np.lexsort((grams, c))
                 size = len(grams)
-                head = order[: size - int(np.ceil(t * size - 1e-9)) + 1]
+                head = order[: size - int(np.ceil(t * size - 1e-9)) + 1 + int(extra * size)]
                 grams, c = grams[head], c[head]
                 at = np.arange(len(head), dtype=np.int32)
                 k = (c - 1) // block + 1  # blocks of this n-gram
@@ -215,44 +216,48 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_texts(
-    docs: DataFrame, key: str, text: str, threshold: float = 0.8, n: int = 5, least_words: int = 50, max_count_bits: int = 22, block: int = 2048
+    docs: DataFrame, key: str, text: str, threshold: float = 0.8, n: int = 5, least_words: int = 50, max_count_bits: int = 24, extra: float = 0.0, block: int = 2048,
+    every: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs ``(a, b, common, similarity)`` of distinct texts, a < b, with Jaccard similarity of at least ``threshold``.
 
-    ``key`` is an integer that is unique in ``docs``, whose texts should be distinct (see ``duplicate_pairs``). The set of
-    a text holds its distinct runs of ``n`` successive words ``[A-Za-z0-9_]+``; texts of fewer than ``least_words`` words,
-    null and empty ones take no part. The table of hashed counts has ``2**max_count_bits``
-    cells at most (4 bytes each, broadcast). No pair is lost, none is capped.
+    ``key`` is a long that is unique in ``docs``, whose texts should be distinct and which should be partitioned by it (see
+    ``distinct_texts``): its rows then do not move again. The set of a text holds its distinct runs of ``n`` successive
+    words ``[A-Za-z0-9_]+``; texts of fewer than ``least_words`` words, null and empty ones take no part. The table of
+    hashed counts has some 16 cells a text, ``2**max_count_bits`` at most (4 bytes each, broadcast);
+    ``every`` may name the rows to count instead, before copies were taken out, which spares a shuffle. Multiplying a share ``extra`` of each row beyond
+    what is needed to find every pair sharpens the second bound. No pair is lost, none is capped.
     """
     spark = docs.sparkSession
-    slots = partitions(spark)
-    matrix = cut_lineage(docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text)).mapInArrow(_incidence(n, least_words), "doc long, size int, grams binary"))
-    total = matrix.agg(F.sum("size")).first()[0] or 0
-    bits = min(max_count_bits, max(12, int(total).bit_length() - 4))
-    cells = matrix.select("grams").mapInArrow(_counts(bits), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    # only cells well above the mean are told apart: at most half of the table, in practice a few thousand
-    hot = cells.where(F.col("n") > max(2.0, 2.0 * total / (1 << bits))).toArrow()
+    counted = docs.select(text) if every is None else every.select(text)
+    bits = min(max_count_bits, max(12, counted.count().bit_length() + 4))
+    summed = counted.mapInArrow(_counts(bits, n, least_words), "segment int, counts binary").groupBy("segment").applyInArrow(_sum_counts, "segment int, counts binary").toArrow()
     counts = np.ones(1 << bits, dtype=np.int32)
-    counts[hot.column(0).to_numpy()] = np.minimum(hot.column(1).to_numpy(), 2**31 - 1)
+    for at, c in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist()):
+        counts[at : at + SEGMENT] = np.frombuffer(c, np.int32)
     table = spark.sparkContext.broadcast(counts)
-    rows = matrix.select("doc", "grams").mapInArrow(_product_rows(table, bits, threshold, block), "gram long, pair long, side int, at int, doc long, size int")
-    rows = rows.repartition(slots, "gram", "pair").sortWithinPartitions("gram", "pair", "size")
+    matrix = docs.select(F.col(key).alias("doc"), _grams(n, least_words)(F.col(text)).alias("grams"))
+    rows = matrix.mapInArrow(_product_rows(table, bits, threshold, extra, block), "gram long, pair long, side int, at int, doc long, size int")
+    rows = rows.repartition(partitions(spark), "gram", "pair").sortWithinPartitions("gram", "pair", "size")
     found = rows.mapInArrow(_multiply(threshold, 1 << 20), "a long, b long, size_a int, size_b int, n long, at_a int, at_b int")
     found = found.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
     follow = F.least(F.col("size_a") - 1 - F.col("at_a"), F.col("size_b") - 1 - F.col("at_b"))
     found = found.where(F.col("n") + follow >= need).select("a", "b", "size_a", "size_b")
     # both rows of a pair come by one join, and meet by the pair
-    ends = found.select("*", F.explode(F.array("a", "b")).alias("doc")).join(matrix.select("doc", "grams"), "doc")
+    ends = found.select("*", F.explode(F.array("a", "b")).alias("doc"))
+    few = docs.join(ends.select(F.col("doc").alias(key)).distinct(), key, "left_semi").select(F.col(key).alias("doc"), _grams(n, least_words)(F.col(text)).alias("grams"))
+    ends = ends.join(few, "doc")
     both = ends.groupBy("a", "b", "size_a", "size_b").agg(F.min(F.struct("doc", "grams"))["grams"].alias("grams_a"), F.max(F.struct("doc", "grams"))["grams"].alias("grams_b"))
     exact = both.select("a", "b", "size_a", "size_b", "grams_a", "grams_b").mapInArrow(_overlap, "a long, b long, size_a int, size_b int, common int")
     similarity = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
     return exact.select("a", "b", "common", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def distinct_texts(files: DataFrame, key: str = "id", text: str = "content", sha: str = "content_sha") -> DataFrame:
-    """One row for each text: the smallest ``key`` of its copies as ``doc``, and the text."""
-    return files.where(F.col(text).isNotNull()).groupBy(sha).agg(F.min(F.struct(F.col(key), F.col(text))).alias("__m")).select(F.col("__m")[key].alias("doc"), F.col("__m")[text].alias(text), F.col(sha))
+def distinct_texts(files: DataFrame, text: str = "content", sha: str = "content_sha") -> DataFrame:
+    """One row ``(doc, text)`` for each text; ``doc`` is 64 bits of hash of its sha, by which the rows are partitioned.
+    (Among 10**8 different texts two share a ``doc`` with a probability of 0.0003; one of them would be left out.)"""
+    return files.where(F.col(text).isNotNull()).groupBy(F.xxhash64(sha).alias("doc")).agg(F.min(text).alias(text))
 
 
 def duplicate_pairs(files: DataFrame, threshold: float, key: str = "id", text: str = "content", sha: str = "content_sha", **options) -> DataFrame:
@@ -262,10 +267,8 @@ def duplicate_pairs(files: DataFrame, threshold: float, key: str = "id", text: s
     a row stored twice under one key counts once.
     """
     files = files.select(key, text, sha).where(F.col(sha).isNotNull())
-    one = distinct_texts(files, key, text, sha)
-    pairs = similar_texts(one, "doc", text, threshold, **options)
-    copies = files.where(F.col(text).isNotNull()).select(F.col(key).alias("copy"), sha).distinct()
-    member = copies.join(copies.groupBy(sha).agg(F.min("copy").alias("doc")), sha).select("doc", "copy")
+    pairs = similar_texts(distinct_texts(files, text, sha), "doc", text, threshold, every=files, **options)
+    member = files.where(F.col(text).isNotNull()).select(F.xxhash64(sha).alias("doc"), F.col(key).alias("copy")).distinct()
     left, right = (member.select(F.col("doc").alias(d), F.col("copy").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
     out = pairs.join(left, "a").join(right, "b")
     return out.select(F.least("ca", "cb").alias(f"{key}_a"), F.greatest("ca", "cb").alias(f"{key}_b"), "similarity")
@@ -275,12 +278,12 @@ def duplicate_groups(files: DataFrame, threshold: float, key: str = "id", text:
     """One row a file: ``class_id`` (smallest key of its group of copies and similar texts) and ``links``, the number of
     other distinct texts similar to its own. Rows with a null text form a class of their own."""
     rows = files.select(key, text, sha)
-    one = distinct_texts(rows.where(F.col(sha).isNotNull()), key, text, sha)
-    pairs = cut_lineage(similar_texts(one, "doc", text, threshold, **options).select("a", "b"))
+    pairs = cut_lineage(similar_texts(distinct_texts(rows.where(F.col(sha).isNotNull()), text, sha), "doc", text, threshold, every=rows, **options).select("a", "b"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
-    roots = connected_components(pairs, "a", "b")
-    shas = one.select("doc", sha)
-    out = rows.select(key, sha, F.col(text).isNull().alias("__null")).distinct().join(shas, sha, "left")
-    out = out.join(links, "doc", "left").join(roots.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    alone = F.when(F.col("__null"), F.col(key)).otherwise(F.coalesce("component", "doc", key))
-    return out.select(key, alone.cast("long").alias("class_id"), F.when(F.col("__null"), 0).otherwise(F.coalesce("links", F.lit(0))).cast("int").alias("links"))
+    roots = connected_components(pairs, "a", "b").select(F.col("node").alias("doc"), "component")
+    lone = F.col(text).isNull() | F.col(sha).isNull()
+    out = rows.select(key, F.when(~lone, F.xxhash64(sha)).alias("doc")).distinct().join(links, "doc", "left").join(roots, "doc", "left")
+    out = out.withColumn("__class", F.coalesce("component", "doc"))
+    first = out.where("__class IS NOT NULL").groupBy("__class").agg(F.min(key).alias("__first"))
+    out = out.join(first, "__class", "left")
+    return out.select(key, F.coalesce("__first", key).cast("long").alias("class_id"), F.coalesce("links", F.lit(0)).cast("int").alias("links"))
