@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
+from .foreign_source import files_to_set_aside
 from .invalid_source import error_rates, parse_errors
 from .knn import nearest_neighbours
 from .leximin import rank_for_queries
@@ -59,6 +60,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.where("cosine >= 0.80").select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id")).distinct()
 
 
+def p6_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "files").select("id", "repo_id", "path", "lang", "content", "content_sha")
+    aside = files_to_set_aside(files, table(spark, sf, "repos").select("id", "name"))
+    return aside.select(F.col("id").alias("file_id"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_reasons(spark, sf).select("file_id").distinct()
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     files = table(spark, sf, "files").select("id", "content", "content_sha")
     return duplicate_pairs(files, 0.70).select(F.col("id_a").alias("file_id_a"), F.col("id_b").alias("file_id_b")).distinct()
@@ -70,7 +81,7 @@ def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p5_found, p7_found, p7_groups)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p5_found, p6_found, p6_reasons, p7_found, p7_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
