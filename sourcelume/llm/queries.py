@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
+from .credentials import credential_lines, redacted
 from .foreign_source import files_to_set_aside
 from .invalid_source import error_rates, parse_errors
 from .knn import nearest_neighbours
@@ -60,6 +61,20 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.where("cosine >= 0.80").select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id")).distinct()
 
 
+def p4_places(spark: SparkSession, sf: str) -> DataFrame:
+    lines = credential_lines(table(spark, sf, "files").select("id", "content"))
+    return lines.select(F.col("id").cast("int").alias("file_id"), "line_no", "kind").distinct()
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_places(spark, sf).select("file_id", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    out = redacted(table(spark, sf, "files").select(F.col("id").alias("file_id"), "content"), key="file_id")
+    return out.where("masked > 0").dropDuplicates(["file_id"])
+
+
 def p6_reasons(spark: SparkSession, sf: str) -> DataFrame:
     files = table(spark, sf, "files").select("id", "repo_id", "path", "lang", "content", "content_sha")
     aside = files_to_set_aside(files, table(spark, sf, "repos").select("id", "name"))
@@ -81,7 +96,7 @@ def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p5_found, p6_found, p6_reasons, p7_found, p7_groups)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p4_places, p4_redacted, p5_found, p6_found, p6_reasons, p7_found, p7_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
