@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import table
 from .credentials import credential_lines, redacted
 from .foreign_source import files_to_set_aside
 from .invalid_source import error_rates, parse_errors
 from .knn import nearest_neighbours
 from .leximin import rank_for_queries
+from .mixing import mixture, share_report
 from .near_duplicates import duplicate_groups, duplicate_pairs
+from .packing import fill_report, pack_documents
 from .splitting import split_oversized
+from .truncation import truncated, truncation_rates
 
 
 def _errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +99,44 @@ def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_groups(files, 0.70).withColumnRenamed("id", "file_id")
 
 
+def _containers(spark: SparkSession, sf: str) -> DataFrame:
+    # a handful of named capacities, whatever the corpus
+    budgets = [(r["name"], r["capacity_tokens"]) for r in table(spark, sf, "token_budgets").collect()]
+    return pack_documents(table(spark, sf, "documents").select("doc_id", "text"), budgets)
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return _containers(spark, sf)
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_report(_containers(spark, sf))
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture(table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = cut_lineage(p9_mixture(spark, sf))
+    return share_report(mixed, table(spark, sf, "mix_targets"))
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = truncated(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return scored.select("doc_id", "source", F.round("score", 6).alias("score"), "cut")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_scores(spark, sf).where("cut").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation_rates(p10_scores(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p4_places, p4_redacted, p5_found, p6_found, p6_reasons, p7_found, p7_groups)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p4_places, p4_redacted, p5_found, p6_found, p6_reasons, p7_found, p7_groups, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
