@@ -15,6 +15,7 @@ from .knn import nearest_neighbours
 from .leximin import rank_for_queries
 from .mixing import mixture, share_report
 from .near_duplicates import duplicate_groups, duplicate_pairs
+from .oracles import oracle_sql
 from .packing import fill_report, pack_documents
 from .splitting import split_oversized
 from .truncation import truncated, truncation_rates
@@ -139,5 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p4_places, p4_redacted, p5_found, p6_found, p6_reasons, p7_found, p7_groups, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"p2_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 2000"}
+__all__ = ["oracle_sql", "queries"]
