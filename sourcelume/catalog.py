@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.chunks import chunk_files, embed_chunks, hash_embedder
+from .functions.extract import edges_of, extract_files, symbols_of
 from .functions.text import content_sha, cosine, glob_pattern, language, lines, usable_vector
-from .operators import references as ref
+from .operators import index as idx, references as ref
 from .operators.grep import grep, within_bytes
 from .operators.search import file_lines, get_file, list_repos, merged_files, permalink_branch, resolve_commits
 from .operators.semantic import bm25, fuse, hybrid, leg_rank, nearest, scoped_chunks
 from .operators.symbols import find_symbols
 from .plans.corpus import Corpus, default_branch, has_branch, page, select_files
 from .plans.language import ProseQuery, case_of, parse
+from .sources.listing import choose_branches, choose_repos
+from .sources.tables import table
+from .streaming.incremental import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -316,8 +321,6 @@ bm AS (SELECT h.id, round(sum(ln(1 + (st.nd - d.df + 0.5) / (d.df + 0.5)) * h.tf
 
 
 def _first(c: Corpus, spark: SparkSession, sf: str) -> tuple[list[float], list[str]]:
-    from .sources.tables import table
-
     row = table(spark, sf, "search_queries").where(F.col("query_id") == FIRST_QUERY).first()
     return list(row["query_embedding"]), row["query_text"].split(" ")
 
@@ -416,3 +419,149 @@ def default_branch_files(spark, sf):
     c = Corpus.load(spark, sf)
     r = c.repos.select(F.col("id").alias("repo_id"), "default_branch")
     return c.files.join(r, "repo_id").where(has_branch(default_branch(F.col("default_branch"))) & ~has_branch("main")).select(F.col("id").alias("file_id"))
+
+
+# --- ingest and index -------------------------------------------------------------------------------------------------
+
+# A delivery: every repository's ``develop`` files come as its ``main`` snapshot, those without a language under new paths.
+INCOMING = """incoming AS (SELECT DISTINCT repo_id, 'main' AS branch, CASE WHEN lang IS NULL THEN 'moved/' || path ELSE path END AS path, content_sha FROM files WHERE list_contains(branches, 'develop'))"""
+
+
+def _incoming(c: Corpus) -> DataFrame:
+    f = c.files.where(has_branch("develop"))
+    path = F.when(F.col("lang").isNull(), F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    rows = f.select("repo_id", F.lit("main").alias("branch"), path.alias("path"), "lang", "size", "content", "commit", "content_sha", F.col("id").cast("long").alias("ord"))
+    return idx.last_of_each(rows)
+
+
+STORED = "stored AS (SELECT repo_id, path, content_sha, list_sort(list_distinct(flatten(list(branches)))) AS branches FROM files GROUP BY 1, 2, 3)"
+
+
+def _stored(c: Corpus) -> DataFrame:
+    one = F.struct("id", "lang", "size", "content", "commit")
+    rows = c.files.groupBy("repo_id", "path", "content_sha").agg(F.min_by(one, "id").alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("branches")))).alias("branches"))
+    return rows.select("r.id", "repo_id", "path", "r.lang", "r.size", "r.content", "r.commit", "content_sha", "branches")
+
+
+@query(
+    f"""WITH {INCOMING}, {STORED} SELECT i.repo_id AS repo_id, i.path AS path, i.content_sha AS content_sha, CASE WHEN s.branches IS NULL THEN 'changed' WHEN list_contains(s.branches, 'main') THEN 'carried' ELSE 'membership' END AS class
+    FROM incoming i LEFT JOIN stored s ON s.repo_id = i.repo_id AND s.path = i.path AND s.content_sha = i.content_sha"""
+)
+def index_classify(spark, sf):
+    c = Corpus.load(spark, sf)
+    return idx.classify(_incoming(c), c.files).select("repo_id", "path", "content_sha", "class")
+
+
+MERGED = f"""{INCOMING}, {STORED}, merged AS (SELECT coalesce(s.repo_id, i.repo_id) AS repo_id, coalesce(s.path, i.path) AS path, coalesce(s.content_sha, i.content_sha) AS content_sha,
+ list_sort(list_distinct(list_concat(coalesce(s.branches, []), CASE WHEN i.branch IS NULL THEN [] ELSE [i.branch] END))) AS branches FROM stored s FULL OUTER JOIN incoming i ON s.repo_id = i.repo_id AND s.path = i.path AND s.content_sha = i.content_sha)"""
+
+
+@query(f"WITH {MERGED} SELECT repo_id, path, content_sha, array_to_string(branches, ',') AS branches FROM merged")
+def index_merge(spark, sf):
+    c = Corpus.load(spark, sf)
+    return idx.merge_files(_stored(c), _incoming(c)).select("repo_id", "path", "content_sha", F.array_join("branches", ",").alias("branches"))
+
+
+@query(
+    f"""WITH {MERGED}, swept AS (SELECT m.repo_id, m.path, m.content_sha, CASE WHEN m.repo_id IN (SELECT repo_id FROM incoming) AND i.path IS NULL THEN list_filter(m.branches, lambda b: b <> 'main') ELSE m.branches END AS branches
+    FROM merged m LEFT JOIN incoming i ON i.repo_id = m.repo_id AND i.path = m.path AND i.content_sha = m.content_sha)
+    SELECT repo_id, path, content_sha, array_to_string(branches, ',') AS branches FROM swept WHERE len(branches) > 0"""
+)
+def index_sweep(spark, sf):
+    c = Corpus.load(spark, sf)
+    new = _incoming(c)
+    return idx.sweep(idx.merge_files(_stored(c), new), new).select("repo_id", "path", "content_sha", F.array_join("branches", ",").alias("branches"))
+
+
+NEVER = "SELECT repo_id, branch FROM repo_branches WHERE last_indexed_commit IS NULL"
+
+
+@query(
+    f"""WITH gone AS (SELECT repo_id, list(branch) AS g FROM ({NEVER}) GROUP BY repo_id),
+    kept AS (SELECT f.id, CASE WHEN g.g IS NULL THEN f.branches ELSE list_filter(f.branches, lambda b: NOT list_contains(g.g, b)) END AS branches FROM files f LEFT JOIN gone g ON g.repo_id = f.repo_id)
+    SELECT id AS file_id, array_to_string(branches, ',') AS branches FROM kept WHERE len(branches) > 0"""
+)
+def index_retire_files(spark, sf):
+    c = Corpus.load(spark, sf)
+    gone = c.repo_branches.where("last_indexed_commit IS NULL")
+    return idx.retire(c.files, c.repo_branches, gone)[0].select(F.col("id").alias("file_id"), F.array_join("branches", ",").alias("branches"))
+
+
+@query("SELECT id AS stamp_id, repo_id, branch FROM repo_branches WHERE (repo_id, branch) NOT IN (" + NEVER + ")")
+def index_retire_stamps(spark, sf):
+    c = Corpus.load(spark, sf)
+    return idx.retire(c.files, c.repo_branches, c.repo_branches.where("last_indexed_commit IS NULL"))[1].select(F.col("id").alias("stamp_id"), "repo_id", "branch")
+
+
+@query("SELECT s.id AS symbol_id, s.file_id AS file_id FROM symbols s WHERE s.repo_id IN (SELECT id FROM repos WHERE default_branch IS NOT NULL) AND s.file_id IN (SELECT id FROM files WHERE repo_id IN (SELECT id FROM repos WHERE default_branch IS NOT NULL))")
+def index_purge_symbols(spark, sf):
+    c = Corpus.load(spark, sf)
+    keep = c.repos.where("default_branch IS NOT NULL").select(F.col("id").alias("repo_id"))
+    left = idx.cascade(idx.purge(c.symbols, keep), idx.purge(c.files, keep))
+    return left.select(F.col("id").alias("symbol_id"), "file_id")
+
+
+@query(
+    """WITH v AS (SELECT max(index_semantics_version) AS v FROM repo_branches), heads AS (SELECT b.repo_id, b.branch, r.last_indexed_commit AS commit FROM repo_branches b JOIN repos r ON r.id = b.repo_id)
+    SELECT h.* FROM heads h WHERE NOT EXISTS (SELECT 1 FROM repo_branches b, v WHERE b.repo_id = h.repo_id AND b.branch = h.branch AND b.last_indexed_commit = h.commit AND b.index_semantics_version = v.v)"""
+)
+def index_work_list(spark, sf):
+    c = Corpus.load(spark, sf)
+    version = c.repo_branches.agg(F.max("index_semantics_version")).first()[0]
+    r = c.repos.select(F.col("id").alias("repo_id"), F.col("last_indexed_commit").alias("commit"))
+    return idx.work_list(c.repo_branches.select("repo_id", "branch").join(r, "repo_id").select("repo_id", "branch", "commit"), c.repo_branches, version)
+
+
+@query("SELECT repo_id FROM repo_branches GROUP BY repo_id HAVING bool_and(coalesce(index_semantics_version = (SELECT max(index_semantics_version) FROM repo_branches), false))")
+def index_current_repos(spark, sf):
+    c = Corpus.load(spark, sf)
+    return idx.current_repos(c.repo_branches, c.repo_branches.agg(F.max("index_semantics_version")).first()[0])
+
+
+@query(
+    """WITH b AS (SELECT b.repo_id, b.branch, b.branch = coalesce(r.default_branch, 'HEAD') AS first FROM repo_branches b JOIN repos r ON r.id = b.repo_id WHERE b.branch = coalesce(r.default_branch, 'HEAD') OR b.branch GLOB 'release-*' OR b.branch GLOB 'feature/*')
+    SELECT repo_id, branch, n <= 2 AS complete FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY first DESC, branch) AS k, count(*) OVER (PARTITION BY repo_id) AS n FROM b) WHERE k <= 2"""
+)
+def branch_choice(spark, sf):
+    c = Corpus.load(spark, sf)
+    r = c.repos.select(F.col("id").alias("repo_id"), "default_branch")
+    return choose_branches(c.repo_branches.join(r, "repo_id"), ["release-*", "feature/*"], 2)
+
+
+LISTED = "listed AS (SELECT name, id AS ord FROM repos UNION ALL SELECT upper(name), id + 100000 FROM repos)"
+
+
+@query(f"WITH {LISTED} SELECT min_by(name, ord) AS name, min(ord) AS ord FROM listed WHERE NOT name GLOB '*-svc' GROUP BY lower(name)")
+def repo_choice(spark, sf):
+    r = Corpus.load(spark, sf).repos
+    more = {"fork": F.lit(False), "archived": F.lit(False), "branches": F.array(F.lit("main"))}
+    listed = r.select("name", F.col("id").alias("ord")).unionByName(r.select(F.upper("name").alias("name"), (F.col("id") + 100000).alias("ord"))).withColumns(more)
+    return choose_repos(listed, ["*-svc"])[0].select("name", "ord")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_by_hour(spark, sf):
+    return event_counts(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+# Extraction and chunking have no SQL: they are tested on fixtures and against the tables' own rows.
+
+
+@query()
+def extract_symbols(spark, sf):
+    return symbols_of(extract_files(Corpus.load(spark, sf).files))
+
+
+@query()
+def extract_edges(spark, sf):
+    return edges_of(extract_files(Corpus.load(spark, sf).files))
+
+
+@query()
+def chunk_lines(spark, sf):
+    return chunk_files(Corpus.load(spark, sf).files)
+
+
+@query()
+def embed_contents(spark, sf):
+    return embed_chunks(chunk_files(Corpus.load(spark, sf).files), hash_embedder(), 128).select("file_id", "chunk_index", "embedding")
