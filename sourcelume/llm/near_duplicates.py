@@ -119,11 +119,11 @@ def _product_rows(table, bits: int, t: float, extra: float, block: int):
                 head = order[: size - int(np.ceil(t * size - 1e-9)) + 1 + int(extra * size)]
                 grams, c = grams[head], c[head]
                 at = np.arange(len(head), dtype=np.int32)
-                k = (c - 1) // block + 1  # blocks of this n-gram
+                k = (c.astype(np.int64) - 1) // block + 1  # blocks of this n-gram
                 if (k == 1).all():
                     out.append((grams, np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int32), at, np.full(len(grams), doc), np.full(len(grams), size, np.int32)))
                     continue
-                mine = int(_mix(np.array([doc], dtype=np.int64).astype(np.uint64))[0] >> np.uint64(1)) % k
+                mine = (_mix(np.array([doc], dtype=np.int64).astype(np.uint64)) >> np.uint64(1)).astype(np.int64) % k
                 rep = np.repeat(np.arange(len(grams)), k)
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
                 m = mine[rep]

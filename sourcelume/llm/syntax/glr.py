@@ -47,12 +47,14 @@ class Grammar:
         self._follow()
 
     def _alts(self, toks: list[str], i: int):
+        """Alternatives up to the closing bracket. What may be absent is written out as further alternatives rather than
+        derived as empty: an empty derivation would fork the stack wherever it may stand, doubling it at each level."""
         alts: list[tuple[str, ...]] = []
-        seq: list[str] = []
+        seq: list[tuple[str, bool]] = []
         while toks[i] not in (";", ")"):
             t = toks[i]
             if t == "|":
-                alts.append(tuple(seq))
+                alts += self._spelled(seq)
                 seq = []
                 i += 1
                 continue
@@ -60,27 +62,31 @@ class Grammar:
                 inner, i = self._alts(toks, i + 1)
                 assert toks[i] == ")"
                 i += 1
-                if len(inner) == 1 and len(inner[0]) == 1:
-                    sym = inner[0][0]
-                else:
-                    sym = self._rule(("g", tuple(inner)), inner)
+                sym = inner[0][0] if len(inner) == 1 and len(inner[0]) == 1 else self._rule(("g", tuple(inner)), inner)
             else:
                 sym = t
                 i += 1
+            absent = False
             while i < len(toks) and toks[i] in ("?", "*", "+", "%"):
-                if toks[i] == "?":
-                    sym = self._rule(("?", sym), [(), (sym,)])
-                elif toks[i] == "+":
+                if toks[i] in "?*":
+                    absent = True
+                if toks[i] in "*+":
                     sym = self._rule(("+", sym), [(sym,), (None, sym)])
-                elif toks[i] == "*":
-                    sym = self._rule(("*", sym), [(), (None, sym)])
-                else:
+                elif toks[i] == "%":
                     i += 1
                     sym = self._rule(("%", sym, toks[i]), [(sym,), (None, toks[i], sym)])
                 i += 1
-            seq.append(sym)
-        alts.append(tuple(seq))
-        return alts, i
+            seq.append((sym, absent))
+        return alts + self._spelled(seq), i
+
+    def _spelled(self, seq: list[tuple[str, bool]]) -> list[tuple[str, ...]]:
+        loose = [k for k, (_, absent) in enumerate(seq) if absent]
+        kept = {k: self._rule(("?", seq[k][0]), [(), (seq[k][0],)]) for k in loose[7:]}
+        out: list[tuple[str, ...]] = [()]
+        for k, (sym, absent) in enumerate(seq):
+            sym = kept.get(k, sym)
+            out = [o + (sym,) for o in out] + (out if absent and k not in kept else [])
+        return list(dict.fromkeys(out))
 
     def _rule(self, key, alts) -> str:
         if key not in self._made:

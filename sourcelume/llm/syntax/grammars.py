@@ -327,7 +327,7 @@ switch: 'switch' '(' expr ')' '{' sgroup* '}' ;
 sgroup: label ':' bstmt* | label '->' (expr ';' | block | 'throw' expr ';') ;
 label: 'case' (ternary | pattern)%',' | 'default' ;
 pattern: mods type id ;
-stmtexpr: post AOP expr | post '=' expr | post ('++' | '--') | ('++' | '--') unary | call | creator ;
+stmtexpr: post '.' creator | post AOP expr | post '=' expr | post ('++' | '--') | ('++' | '--') unary | call | creator ;
 call: post args | qargs ;
 qargs: post '.' targs id args | 'this' args | 'super' args ;
 expr: ternary | post ('=' | AOP) expr | lambda ;
@@ -361,7 +361,7 @@ usetree: '::'? usepath ;
 usepath: (pseg '::')* (pseg ('as' (id | '_'))? | '*' | '{' (usetree%',' ','?)? '}') ;
 pseg: id | 'crate' | 'self' | 'super' | 'Self' ;
 fn: 'default'? 'const'? 'async'? 'unsafe'? ('extern' STR?)? 'fn' id generics? '(' (fnparam%',' ','?)? ')' ('->' type)? where? (block | ';') ;
-fnparam: attr* selfparam | attr* pat ':' type | attr* '...' ;
+fnparam: attr* selfparam | attr* pat ':' type | attr* pat ':' '...' | attr* '...' ;
 selfparam: ('&' LIFE?)? 'mut'? 'self' (':' type)? ;
 generics: '<' (gparam%',' ','?)? '>' ;
 gparam: attr* LIFE (':' (LIFE%'+')? '+'?)? | attr* id (':' bounds?)? ('=' type)? | attr* 'const' id ':' type ('=' (LITNUM | STR | id | block))? ;

@@ -81,10 +81,13 @@ def _number(s: str, pattern: re.Pattern) -> bool:
 
 class Python(Lexer):
     assign = frozenset("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split())
+    _plain = r"(?<![^\W_])[rRbBuU]{0,2}"
+    _formatted = r"(?:[fFtT][rR]?|[rR][fFtT])"
+    _triple = r'(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'\'\')'
+    _hole = r"\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\}"
     _str = (
-        r'[rRbBuUfFtT]{0,3}(?:"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'\'\'(?!\')'
-        r'|(?<=[fF])"(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"|(?<=[fF])\'(?:[^\'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*\''
-        r'|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\')'
+        r"(?:" + _formatted + _triple + r"|" + _formatted + r'(?:"(?!"")(?:[^"\\\n{]|\\[\s\S]|' + _hole + r")*\"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|" + _hole + r")*')"
+        r"|" + _plain + r"(?:" + _triple + r'|"(?!"")(?:[^"\\\n]|\\[\s\S])*"|\'(?!\'\')(?:[^\'\\\n]|\\[\s\S])*\'))'
     )
     pattern = re.compile(
         r"(?:[ \t\f]|\\\r?\n)*((?:(?:#[^\n]*)?\r?\n[ \t\f]*)+|#[^\n]*\Z|" + _str + r"|[^\W\d]\w*|\.?[0-9](?:[eE][+-]|[\w.])*"
@@ -188,7 +191,7 @@ class Ecma(Lexer):
     pattern = re.compile(
         r"[ \t\f\v﻿ ]*((?:\r?\n[ \t]*)+|//[^\n\r]*|/\*[\s\S]*?\*/|(?:[(,=:\[!&|?{;~+*%<>^-]|\b(?:return|typeof|case|in|of|do|else|void|delete|instanceof|new|throw|yield|await)\b|=>)" + _gap + _regex
         + r"|\A" + _gap + _regex + r"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|" + _tpl + r"|#?(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4})(?:\w|[$‌‍]|\\u[0-9a-fA-F]{4})*"
-        r"|\.?[0-9](?:[eE][+-]?(?=[0-9])|[\w.])*|\?\.(?![0-9])|\.\.\.|=>|={3}|!==|\*\*=?|<<=?|>+=|&&=?|\|\|=?|\?\?=?|\+\+|--|[-+*/%&|^=!<>]=|[\s\S])"
+        r"|\.?[0-9](?:[eE][+-]?(?=[0-9])|[\w.])*|\?\.(?![0-9])|\.\.\.|=>|={3}|!==|\*\*=?|<<=?|>+=|&&=?|\|\|=?|\?\?=?|\+\+|--|[-+*/%&|^=!<>]=|\S)"
     )
     number = re.compile(r"(?:0[xX](?:_?[0-9a-fA-F])+n?|0[bB](?:_?[01])+n?|0[oO](?:_?[0-7])+n?|(?:0|[1-9](?:_?[0-9])*)n|(?:(?:0|[1-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)")
     inner = re.compile(_regex)
@@ -219,7 +222,7 @@ class Ecma(Lexer):
             for m in self.inner.finditer(s):
                 pass
             if m and m.end() == len(s) and (c in "(,=:[!&|?{;~+*%<>^-/ \n" or c.isalpha()) and m.start() >= 0 and (m.start() == 0 or not (c.isalpha() and m.start() < 2)):
-                head = s[: self._cut(s)]
+                head = s[: self._cut(s)].strip()
                 return (*chain.from_iterable(self.seen[x] for x in self.pattern.findall(head)), *self.tok("REGEX"))
         if c.isdigit() or c == "." and len(s) > 1 and s[1].isdigit():
             return self.tok("NUM") if self.number.fullmatch(s) else (self.error,)
@@ -276,7 +279,9 @@ class Tsx(Ecma):
         while i < n:
             mode = stack[-1][0] if stack else "js"
             if mode == "js":
-                m = self.pattern.match(text, i)
+                m = self.pattern.search(text, i)
+                if not m:
+                    break
                 s = m.group(1)
                 at = m.start(1)
                 if s == "<" and prev not in operand_end and re.match(r"<\s*(?:[A-Za-z_$]|>)", text[at : at + 40]) and not re.match(r"<\s*(?:const\s+)?\w+\s*(?:,|extends\b|=[^>]*>\s*\()", text[at : at + 60]):
@@ -367,7 +372,7 @@ class Go(Lexer):
     assign = frozenset("+= -= *= /= %= &= |= ^= <<= >>= &^=".split())
     pattern = re.compile(
         r"[ \t\f\v﻿]*((?:\r?\n\s*)+|//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|.))'|[^\W\d]\w*|\.?[0-9](?:[eEpP][+-]|[\w.])*"
-        r"|&\^=?|<<=?|>>=?|<-|&&|\|\||\+\+|--|:=|\.\.\.|[-+*/%&|^=!<>]=|[\s\S])"
+        r"|&\^=?|<<=?|>>=?|<-|&&|\|\||\+\+|--|:=|\.\.\.|[-+*/%&|^=!<>]=|\S)"
     )
     number = re.compile(r"(?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9_]+)?|0[bB][01_]+|0[oO]?[0-7_]+|(?:[0-9][0-9_]*)?\.?[0-9][0-9_]*\.?(?:[eE][+-]?[0-9_]+)?)i?")
 
@@ -426,7 +431,7 @@ class Java(Lexer):
     assign = frozenset("+= -= *= /= %= &= |= ^= <<= >>= >>>=".split())
     pattern = re.compile(
         r"[ \t\f\r\n﻿]*(//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[ \t\f]*\r?\n(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n\r]|\\[^\n\r])*\"|'(?:[^'\\\n\r]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|[^\n\r]))'|non-sealed\b"
-        r"|(?:[^\W\d]|\$)[\w$]*|\.?[0-9](?:[eEpP][+-](?=[0-9])|[\w.])*|\.\.\.|->|::|<<=?|>+=|&&|\|\||\+\+|--|[-+*/%&|^=!<>]=|[\s\S])"
+        r"|(?:[^\W\d]|\$)[\w$]*|\.?[0-9](?:[eEpP][+-](?=[0-9])|[\w.])*|\.\.\.|->|::|<<=?|>+=|&&|\|\||\+\+|--|[-+*/%&|^=!<>]=|\S)"
     )
     number = re.compile(r"(?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9_]+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:[0-9][0-9_]*)?\.?[0-9][0-9_]*\.?(?:[eE][+-]?[0-9_]+)?[lLfFdD]?)")
     #: Java's primitive types, and the words that are literals.
@@ -464,7 +469,7 @@ class Rust(Lexer):
     pattern = re.compile(
         r"[ \t\f\r\n﻿]*(//[^\n]*|" + _c2 + r"|[bc]?r\"[^\"]*\"|[bc]?r#\"[\s\S]*?\"#|[bc]?r##\"[\s\S]*?\"##|[bc]?r###\"[\s\S]*?\"###|[bc]?\"(?:[^\"\\]|\\[\s\S])*\""
         r"|b?'(?:[^'\\\n\r]|\\(?:u\{[0-9a-fA-F_]{1,8}\}|x[0-9a-fA-F]{2}|.))'|'[^\W\d]\w*|r#[^\W\d]\w*|[^\W\d]\w*|[0-9](?:\.[0-9]+(?!\w*\.\.)|\.(?![.\w])|[eE][+-](?=[0-9])|\w)*"
-        r"|\.\.=|\.\.\.?|->|=>|::|<<=|>>=|<<|&&|\|\||[-+*/%&|^=!<>]=|[\s\S])"
+        r"|\.\.=|\.\.\.?|->|=>|::|<<=|>>=|<<|&&|\|\||[-+*/%&|^=!<>]=|\S)"
     )
     number = re.compile(r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|[0-9][0-9_]*(?:\.(?:[0-9][0-9_]*)?)?(?:[eE][+-]?[0-9_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?")
     #: Reserved words that no production uses.
