@@ -114,15 +114,14 @@ class _File:
 
     def result(self) -> tuple[list[Symbol], list[Edge]]:
         self.defs.sort(key=lambda d: (d[0], -d[1]))
-        edges = []
+        edges, open_defs, n = [], [], 0
         for at, kind, target, line in sorted(self.refs, key=lambda r: r[0]):
-            inner = None
-            for s, e, sym in self.defs:
-                if s > at:
-                    break
-                if s <= at <= e:
-                    inner = sym
-            edges.append(Edge(kind, target, line, inner))
+            while n < len(self.defs) and self.defs[n][0] <= at:
+                open_defs.append(self.defs[n])
+                n += 1
+            while open_defs and open_defs[-1][1] < at:
+                open_defs.pop()
+            edges.append(Edge(kind, target, line, open_defs[-1][2] if open_defs else None))
         return [d[2] for d in self.defs], edges
 
 

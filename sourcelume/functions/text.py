@@ -39,7 +39,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null where a vector is null, of another length, holds a NaN or has no length."""
-    value = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & ~F.isnan(value), value)
 
 
