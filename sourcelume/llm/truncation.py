@@ -121,7 +121,7 @@ def features(text: str, source: str | None, limits: list[int], counts: np.ndarra
     first = kind + ("1" if single else "")
     out = [
         "bias", f"src {src}", f"mark {bool(mark)} {cut_space}", f"tail {tail}", f"tail {tail} {kind}", f"closed {closed} {src}", f"closed {closed} {kind} {open_fence}", f"fence {open_fence}", f"fence {open_fence} {kind} {tail}",
-        f"at {at} {closed}", f"at {at}", f"kind {kind} {src}", f"single {single} {closed} {src}", f"tick {ticks} {closed}", f"quote {quotes}", f"depth {min(3, max(-1, depth))} {closed}",
+        f"at {at} {closed}", f"at {at}", f"at {at} {closed} {src}", f"kind {kind} {src}", f"single {single} {closed} {src}", f"tick {ticks} {closed}", f"quote {quotes}", f"depth {min(3, max(-1, depth))} {closed}",
         f"n {_bucket(n_words)} {closed}", f"n {_bucket(n_words)} {first} {src} {closed}", f"prev {_cat(before)} {tail}", f"len {_bucket(len(text) // 20)} {src} {closed}",
     ]
     if not closed:
@@ -193,7 +193,7 @@ def _examples(shared, seed: int):
                 rng = np.random.default_rng([seed, i & 0x7FFFFFFF])
                 mine = limits.get(s, [])
                 # an intact text may have just the limit's length
-                n = int(mine[int(rng.integers(len(mine)))]) if mine and rng.random() < 0.25 else len(t)
+                n = int(mine[int(rng.integers(len(mine)))]) if mine and rng.random() < 0.08 else len(t)
                 real = len(t) in mine or len(t.encode("utf-8", "surrogatepass")) in mine
                 rows.append(features(t, s, mine, counts, n, n) if not real else features(t, s, mine, counts))
                 labels.append(0)
