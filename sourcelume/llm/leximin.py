@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, partitions
 from .knn import unit_rows, usable
 
 
@@ -56,26 +56,31 @@ def percentile(place: Column, total: Column) -> Column:
 
 def leximin_rank(df: DataFrame, scores: list[str], key: str, per: list[str] | None = None) -> DataFrame:
     """``df`` with a percentile column ``pct_<score>`` for each score, ``leximin`` (the sorted array) and ``rank`` within
-    ``per`` (all rows if empty); equal arrays go by the smaller ``key``, rows with equal keys too in no stated order."""
+    ``per`` (all rows if empty); equal arrays go by the smaller ``key``, rows with equal keys too in no stated order. Columns
+    of ``df`` that have one of the added names are replaced. Null and NaN scores are placed last, together."""
     group = per or ["__all"]
-    out = df if per else df.withColumn("__all", F.lit(0))
+    kept = [c for c in df.columns if c not in ("leximin", "rank", *(f"pct_{s}" for s in scores))]
+    out = df.select(*kept)
+    out = out if per else out.withColumn("__all", F.lit(0))
     total = out.groupBy(*group).agg(F.count(F.lit(1)).alias("__total"))
     for s in scores:
         out = places(out, s, group, f"__place_{s}")
     names = {c: f"__t{i}" for i, c in enumerate(group)}
     total = total.withColumnsRenamed(names)
     out = out.join(total, [out[c].eqNullSafe(total[k]) for c, k in names.items()])
-    out = out.select(*group, *[c for c in df.columns if c not in group], *[percentile(F.col(f"__place_{s}"), F.col("__total")).alias(f"pct_{s}") for s in scores])
+    out = out.select(*group, *[c for c in kept if c not in group], *[percentile(F.col(f"__place_{s}"), F.col("__total")).alias(f"pct_{s}") for s in scores])
     out = out.withColumn("leximin", leximin_vector(*[F.col(f"pct_{s}") for s in scores]))
-    # the rank is a place by the array and the key, counted within ranges of the weakest percentile
-    rank = out.withColumn("__r", F.floor(F.col("leximin")[0] * 4095))
-    ranges = rank.groupBy(*group, "__r").agg(F.count(F.lit(1)).alias("__m"))
-    ranges = ranges.withColumn("__above", F.coalesce(F.sum("__m").over(W.partitionBy(*group).orderBy(F.desc("__r")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__m")
-    names = {c: f"__k{i}" for i, c in enumerate([*group, "__r"])}
-    ranges = ranges.withColumnsRenamed(names)
-    rank = rank.withColumn("__in", F.row_number().over(W.partitionBy(*group, "__r").orderBy(F.desc("leximin"), key)))
-    rank = rank.join(ranges, [rank[c].eqNullSafe(ranges[k]) for c, k in names.items()])
-    return rank.select(*df.columns, *[f"pct_{s}" for s in scores], "leximin", (F.col("__above") + F.col("__in")).cast("long").alias("rank"))
+    # sorted by ranges of (array, key), so that ties spread over tasks too; a rank is the rows of the ranges before, and
+    # the place within its own
+    desc = F.transform("leximin", lambda x: -x)
+    out = out.withColumn("__d", desc).repartitionByRange(partitions(df.sparkSession), *group, "__d", key).sortWithinPartitions(*group, "__d", key)
+    out = cut_lineage(out.drop("__d").withColumn("__m", F.monotonically_increasing_id()).withColumn("__pid", F.spark_partition_id()))
+    parts = out.groupBy(*group, "__pid").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    parts = parts.withColumn("__above", F.coalesce(F.sum("__n").over(W.partitionBy(*group).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    names = {c: f"__k{i}" for i, c in enumerate([*group, "__pid"])}
+    parts = parts.drop("__n").withColumnsRenamed(names)
+    out = out.join(parts, [out[c].eqNullSafe(parts[k]) for c, k in names.items()])
+    return out.select(*kept, *[f"pct_{s}" for s in scores], "leximin", (F.col("__above") + F.col("__m") - F.col("__first") + 1).alias("rank"))
 
 
 #: Fixed value: an entry of a search vector in text form, the word quoted (quotes doubled), then its positions.

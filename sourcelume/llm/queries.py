@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .credentials import credential_lines, redacted
 from .foreign_source import files_to_set_aside
 from .invalid_source import error_rates, parse_errors
@@ -22,11 +22,11 @@ from .truncation import truncated, truncation_rates
 
 
 def _errors(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_errors(table(spark, sf, "files"), ["id", "repo_id"]).dropDuplicates(["id"])
+    return parse_errors(spread(table(spark, sf, "files").select("id", "repo_id", "lang", "content")), ["id", "repo_id"]).dropDuplicates(["id"])
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    errors = parse_errors(table(spark, sf, "files"), ["id"])
+    errors = parse_errors(spread(table(spark, sf, "files").select("id", "repo_id", "lang", "content")), ["id"])
     return errors.where("error_line IS NOT NULL").select(F.col("id").alias("file_id")).distinct()
 
 
@@ -49,7 +49,7 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranking(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "embedding", "ts")
+    chunks = spread(table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "embedding", "ts"))
     return rank_for_queries(chunks, table(spark, sf, "search_queries"), 5)
 
 
@@ -67,7 +67,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_places(spark: SparkSession, sf: str) -> DataFrame:
-    lines = credential_lines(table(spark, sf, "files").select("id", "content"))
+    lines = credential_lines(spread(table(spark, sf, "files").select("id", "content")))
     return lines.select(F.col("id").cast("int").alias("file_id"), "line_no", "kind").distinct()
 
 
@@ -76,12 +76,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    out = redacted(table(spark, sf, "files").select(F.col("id").alias("file_id"), "content"), key="file_id")
+    out = redacted(spread(table(spark, sf, "files").select(F.col("id").alias("file_id"), "content")), key="file_id")
     return out.where("masked > 0").dropDuplicates(["file_id"])
 
 
 def p6_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "files").select("id", "repo_id", "path", "lang", "content", "content_sha")
+    files = spread(table(spark, sf, "files").select("id", "repo_id", "path", "lang", "content", "content_sha"))
     aside = files_to_set_aside(files, table(spark, sf, "repos").select("id", "name"))
     return aside.select(F.col("id").alias("file_id"), F.array_join("reasons", ",").alias("reasons"))
 
@@ -91,19 +91,19 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "files").select("id", "content", "content_sha")
+    files = spread(table(spark, sf, "files").select("id", "content", "content_sha"))
     return duplicate_pairs(files, 0.70).select(F.col("id_a").alias("file_id_a"), F.col("id_b").alias("file_id_b")).distinct()
 
 
 def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "files").select("id", "content", "content_sha")
+    files = spread(table(spark, sf, "files").select("id", "content", "content_sha"))
     return duplicate_groups(files, 0.70).withColumnRenamed("id", "file_id")
 
 
 def _containers(spark: SparkSession, sf: str) -> DataFrame:
     # a handful of named capacities, whatever the corpus
     budgets = [(r["name"], r["capacity_tokens"]) for r in table(spark, sf, "token_budgets").collect()]
-    return pack_documents(table(spark, sf, "documents").select("doc_id", "text"), budgets)
+    return pack_documents(spread(table(spark, sf, "documents").select("doc_id", "text")), budgets)
 
 
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +115,7 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture(table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "mix_targets"))
+    return mixture(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), table(spark, sf, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +124,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = truncated(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    scored = truncated(spread(table(spark, sf, "documents").select("doc_id", "text", "source")))
     return scored.select("doc_id", "source", F.round("score", 6).alias("score"), "cut")
 
 
