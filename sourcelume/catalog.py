@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions.chunks import chunk_files, embed_chunks, hash_embedder
 from .functions.extract import edges_of, extract_files, symbols_of
 from .functions.text import content_sha, cosine, glob_pattern, language, lines, usable_vector
-from .operators import index as idx, references as ref
+from .operators import index as idx, references as ref, trigrams as tri
 from .operators.grep import grep, within_bytes
 from .operators.search import file_lines, get_file, list_repos, merged_files, permalink_branch, resolve_commits
 from .operators.semantic import bm25, fuse, hybrid, leg_rank, nearest, scoped_chunks
@@ -17,7 +17,7 @@ from .operators.symbols import find_symbols
 from .plans.corpus import Corpus, default_branch, has_branch, page, select_files
 from .plans.language import ProseQuery, case_of, parse
 from .sources.listing import choose_branches, choose_repos
-from .sources.tables import table
+from .sources.tables import spread, table
 from .streaming.incremental import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -544,24 +544,37 @@ def events_by_hour(spark, sf):
     return event_counts(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
 
 
+@query("SELECT gram, count(*) AS files FROM (SELECT DISTINCT id, unnest(list_transform(range(1, length(content) - 1), lambda i: substr(lower(content), i, 3))) AS gram FROM files WHERE length(content) >= 3 AND length(lower(content)) = length(content)) GROUP BY gram")
+def trigram_table(spark, sf):
+    files = Corpus.load(spark, sf).files.where(F.length(F.lower("content")) == F.length("content"))
+    return tri.build(files).groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(f"SELECT {FILE_ROW} {FROM} WHERE contains(lower(f.content), 'sorted(') AND {ON_DEFAULT}")
+def trigram_search(spark, sf):
+    c = Corpus.load(spark, sf)
+    node = parse('"sorted("')
+    return select_files(tri.narrow(c, tri.build(c.files), node), node).select(F.col("id").alias("file_id"), "repo_id", "path")
+
+
 # Extraction and chunking have no SQL: they are tested on fixtures and against the tables' own rows.
 
 
 @query()
 def extract_symbols(spark, sf):
-    return symbols_of(extract_files(Corpus.load(spark, sf).files))
+    return symbols_of(extract_files(spread(table(spark, sf, "files").select("id", "lang", "content"))))
 
 
 @query()
 def extract_edges(spark, sf):
-    return edges_of(extract_files(Corpus.load(spark, sf).files))
+    return edges_of(extract_files(spread(table(spark, sf, "files").select("id", "lang", "content"))))
 
 
 @query()
 def chunk_lines(spark, sf):
-    return chunk_files(Corpus.load(spark, sf).files)
+    return chunk_files(spread(table(spark, sf, "files").select("id", "content")))
 
 
 @query()
 def embed_contents(spark, sf):
-    return embed_chunks(chunk_files(Corpus.load(spark, sf).files), hash_embedder(), 128).select("file_id", "chunk_index", "embedding")
+    return embed_chunks(chunk_files(spread(table(spark, sf, "files").select("id", "content"))), hash_embedder(), 128).select("file_id", "chunk_index", "embedding")

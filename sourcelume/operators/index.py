@@ -139,3 +139,29 @@ class RunOutcome:
 def may_purge(stored: int, to_purge: int) -> bool:
     """Whether a purge is plausible: not more than half of what is stored."""
     return to_purge * 2 <= stored
+
+
+MAX_CHUNKS = 8000
+
+
+def degraded_branches(chunks: DataFrame, files: DataFrame, most: int = MAX_CHUNKS) -> DataFrame:
+    """``(repo_id, branch, chunks)`` of branches with more than ``most`` chunks: they are indexed without chunks and marked
+    degraded, so that one huge branch does not fail a run."""
+    per_file = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = files.select(F.col("id").alias("file_id"), "repo_id", F.explode("branches").alias("branch")).join(per_file, "file_id")
+    return rows.groupBy("repo_id", "branch").agg(F.sum("n").alias("chunks")).where(F.col("chunks") > most)
+
+
+def run_report(deliveries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row a wanted branch (``repo_id, branch``): how many files came, the first error if any, and ``status``:
+    ``indexed``, ``failed`` or ``missing``. A branch that failed says nothing about the others."""
+    got = deliveries.groupBy("repo_id", "branch").agg(F.count("path").alias("files"), F.min("error").alias("error"))
+    out = wanted.select("repo_id", "branch").distinct().join(got, ["repo_id", "branch"], "left")
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("files").isNull(), "missing").otherwise("indexed")
+    return out.select("repo_id", "branch", F.coalesce("files", F.lit(0)).alias("files"), "error", status.alias("status"))
+
+
+def outcome(report: DataFrame, conflicts: int = 0) -> RunOutcome:
+    """What a report allows: nothing is retired or purged after a run with a failed or missing branch."""
+    row = report.agg(F.count(F.when(F.col("status") == "failed", 1)), F.count(F.when(F.col("status") == "missing", 1))).first()
+    return RunOutcome(failures=row[0], conflicts=conflicts, all_repos=row[1] == 0, all_complete=row[1] == 0)

@@ -6,8 +6,10 @@ Network access stays outside: listing and download are callables that are handed
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
-from collections.abc import Callable, Iterable
+import shutil
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -136,3 +138,41 @@ def choose_branches(branches: DataFrame, patterns: Iterable[str], most: int = MA
 
 def matches_glob(name: str, pattern: str) -> bool:
     return fnmatch.fnmatchcase(name, pattern)
+
+
+class Unavailable(RuntimeError):
+    """Something the run needs is not there: room on disk, or an archive within its limits."""
+
+
+def check_headroom(path: str, least: int = 500_000_000) -> None:
+    """An error if the disk under ``path`` has fewer than ``least`` bytes free."""
+    if shutil.disk_usage(path).free < least:
+        raise Unavailable(f"less than {least} bytes free under {path}")
+
+
+def download(open_stream: Callable[[str], Iterable[bytes]], url: str, target: str, most: int = 500_000_000) -> int:
+    """Writes an archive named by an immutable commit to ``target``, part by part; the bytes written. A longer one than
+    ``most`` is an error and leaves no file."""
+    n = 0
+    part = target + ".part"
+    try:
+        with open(part, "wb") as f:
+            for data in open_stream(url):
+                n += len(data)
+                if n > most:
+                    raise Unavailable(f"archive of more than {most} bytes")
+                f.write(data)
+        os.replace(part, target)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return n
+
+
+def resolve_heads(repos: Iterable[str], head: Callable[[str, str | None], tuple[str, str]], branches: Callable[[str], list[str]]) -> Iterator[tuple[str, str, str, str]]:
+    """``(repo, default branch, branch, commit)`` of every branch listed, by callables that ask for a repository's default
+    head, a branch's head, and its branches."""
+    for repo in repos:
+        default, _ = head(repo, None)
+        for b in branches(repo):
+            yield repo, default, b, head(repo, b)[1]

@@ -8,3 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The relation ``name`` under ``root``; columns and filters are pruned into the scan by Catalyst."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with at least as many partitions as cores: a small file is one split, but work in Python on its rows
+    needs every core. Large inputs have splits enough and are left as they are, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

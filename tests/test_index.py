@@ -194,3 +194,36 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(e, "a", "b").collect()}
     assert {got[i] for i in range(1, 61)} == {1} and {got[i] for i in (100, 101, 102, 200)} == {100} and len(got) == 64
     assert connected_components(e.limit(0), "a", "b").count() == 0
+
+
+def test_reports_and_downloads(spark, tmp_path):
+    d = spark.createDataFrame([(1, "main", "a", None), (1, "main", "b", None), (2, "main", None, "unreadable")], "repo_id int, branch string, path string, error string")
+    w = spark.createDataFrame([(1, "main"), (2, "main"), (3, "x"), (1, "main")], "repo_id int, branch string")
+    report = idx.run_report(d, w)
+    assert {(r["repo_id"], r["files"], r["status"]) for r in report.collect()} == {(1, 2, "indexed"), (2, 0, "failed"), (3, 0, "missing")}
+    assert not idx.outcome(report).may_reconcile and idx.outcome(report.where("status = 'indexed'")).may_reconcile
+    files = spark.createDataFrame([(1, 7, ["m", "n"]), (2, 7, ["m"])], "id int, repo_id int, branches array<string>")
+    chunks = spark.createDataFrame([(1,), (1,), (2,)], "file_id int")
+    assert [(r["branch"], r["chunks"]) for r in idx.degraded_branches(chunks, files, 2).collect()] == [("m", 3)]
+    from sourcelume.sources.listing import Unavailable, check_headroom, download, resolve_heads
+
+    target = str(tmp_path / "x.tar.gz")
+    assert download(lambda u: [b"ab", b"c"], "u", target) == 3 and open(target, "rb").read() == b"abc"
+    with pytest.raises(Unavailable):
+        download(lambda u: [b"abc"], "u", str(tmp_path / "y"), most=2)
+    assert sorted(os.listdir(tmp_path)) == ["x.tar.gz"]
+    check_headroom(str(tmp_path), 1)
+    with pytest.raises(Unavailable):
+        check_headroom(str(tmp_path), 10**18)
+    assert list(resolve_heads(["r"], lambda r, b: ("main", f"{b}-sha"), lambda r: ["main", "dev"])) == [("r", "main", "main", "main-sha"), ("r", "main", "dev", "dev-sha")]
+
+
+def test_trigrams(spark, tmp_path):
+    from sourcelume.operators import trigrams as tri
+
+    rows = [(1, "Hello sorted(x)"), (2, "ab"), (3, None), (4, "unsorted list"), (5, "")]
+    table = tri.build(spark.createDataFrame(rows, "id int, content string"))
+    tri.write(table, str(tmp_path / "t"), 3)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert {r["file_id"] for r in tri.candidates(stored, "SORTED").collect()} == {1, 4} and {r["file_id"] for r in tri.candidates(stored, "sorted(").collect()} == {1}
+    assert tri.candidates(stored, "ab") is None and tri.candidates(stored, "zzz").count() == 0
