@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import ts_entries
 from ..session import cut_lineage, partitions
 from .knn import unit_rows, usable
 
@@ -83,15 +84,10 @@ def leximin_rank(df: DataFrame, scores: list[str], key: str, per: list[str] | No
     return out.select(*kept, *[f"pct_{s}" for s in scores], "leximin", (F.col("__above") + F.col("__m") - F.col("__first") + 1).alias("rank"))
 
 
-#: Fixed value: an entry of a search vector in text form, the word quoted (quotes doubled), then its positions.
-ENTRY = r"'((?:[^']|'')+)':([0-9]+[A-D]?(?:,[0-9]+[A-D]?)*)"
-
-
 def text_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, chunk_id, hits)`` with hits > 0: positions in ``ts`` of the distinct words of ``query_text``."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("query_text")), r"\s+"))).alias("word")).where("word <> ''")
-    entries = chunks.select("chunk_id", F.explode(F.arrays_zip(F.regexp_extract_all("ts", F.lit(ENTRY), F.lit(1)).alias("w"), F.regexp_extract_all("ts", F.lit(ENTRY), F.lit(2)).alias("p"))).alias("e"))
-    entries = entries.select("chunk_id", F.lower(F.replace(F.col("e.w"), F.lit("''"), F.lit("'"))).alias("word"), F.size(F.split("e.p", ",")).alias("n"))
+    entries = chunks.select("chunk_id", F.explode(ts_entries(F.col("ts"))).alias("e")).select("chunk_id", "e.word", "e.n")
     return entries.join(words, "word").groupBy("query_id", "chunk_id").agg(F.sum("n").alias("hits"))
 
 
