@@ -78,10 +78,16 @@ def glob_pattern(glob: str) -> str:
 
 
 #: Fixed value: an entry of a search vector in text form, the word quoted (quotes doubled), then its positions.
-TS_ENTRY = r"'((?:[^']|'')+)':([0-9]+[A-D]?(?:,[0-9]+[A-D]?)*)"
+TS_ENTRY = r"'(?:[^']|'')+':[0-9]+[A-D]?(?:,[0-9]+[A-D]?)*"
 
 
 def ts_entries(ts: Column) -> Column:
-    """``array<struct<word, n>>`` of a search vector in text form: its words and how often each occurs."""
-    words, places = (F.regexp_extract_all(ts, F.lit(TS_ENTRY), F.lit(i)) for i in (1, 2))
-    return F.zip_with(words, places, lambda w, p: F.struct(F.lower(F.replace(w, F.lit("''"), F.lit("'"))).alias("word"), F.size(F.split(p, ",")).alias("n")))
+    """``array<struct<word, n>>`` of a search vector in text form: its words and how often each occurs. One pass of the
+    pattern; an entry is then cut at its last colon."""
+
+    def entry(e: Column) -> Column:
+        places = F.substring_index(e, ":", -1)
+        word = F.substring(e, F.lit(2), F.length(e) - F.length(places) - 3)
+        return F.struct(F.lower(F.replace(word, F.lit("''"), F.lit("'"))).alias("word"), F.size(F.split(places, ",")).alias("n"))
+
+    return F.transform(F.regexp_extract_all(ts, F.lit(TS_ENTRY), F.lit(0)), entry)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import cosine, ts_entries, usable_vector
 from ..plans.corpus import Corpus, default_branch, has_branch, matches
 from ..plans.language import ProseQuery
+from ..session import cut_lineage
 
 #: The constant of reciprocal rank fusion, rows of each leg, and BM25's usual parameters.
 RRF_K, LEG, K1, B = 60, 200, 1.2, 0.75
@@ -35,11 +36,13 @@ def nearest(chunks: DataFrame, vector: list[float], k: int = LEG) -> DataFrame:
 
 def bm25(chunks: DataFrame, words: list[str], k: int | None = LEG) -> DataFrame:
     """``(id, score)`` by Okapi BM25 over the chunks given, from their search vectors; only chunks with a hit."""
-    docs = chunks.where(F.col("ts").isNotNull()).select("id", ts_entries(F.col("ts")).alias("e"))
-    sized = docs.select("id", "e", F.aggregate("e", F.lit(0), lambda a, x: a + x["n"]).alias("len"))
-    docs, avg_len = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
     wanted = sorted(set(words))
-    hits = sized.select("id", "len", F.explode(F.filter("e", lambda x: x["word"].isin(*wanted) if wanted else F.lit(False))).alias("h")).select("id", "len", "h.word", F.col("h.n").alias("tf"))
+    entries = chunks.where(F.col("ts").isNotNull()).select("id", ts_entries(F.col("ts")).alias("e"))
+    hit = F.filter("e", lambda x: x["word"].isin(*wanted)) if wanted else F.filter("e", lambda x: F.lit(False))
+    # search vectors are parsed once: what is kept is the length of a chunk and its entries for the words asked for
+    sized = cut_lineage(entries.select("id", F.aggregate("e", F.lit(0), lambda a, x: a + x["n"]).alias("len"), hit.alias("h")))
+    docs, avg_len = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
+    hits = sized.select("id", "len", F.explode("h").alias("h")).select("id", "len", "h.word", F.col("h.n").alias("tf"))
     df = hits.groupBy("word").agg(F.countDistinct("id").alias("df"))
     idf = df.select("word", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avg_len or 1.0))))
