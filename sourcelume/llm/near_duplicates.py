@@ -144,12 +144,10 @@ def _multiply(t: float, rows_at_once: int):
         stop = np.r_[start[1:], len(gram)]
         end_of = np.repeat(stop, stop - start)
         # partners follow in the same run, up to the size that the bound allows
-        far = np.empty(len(gram), np.int64)
-        for s, e in zip(start, stop):
-            if e - s == 1:
-                far[s] = s + 1
-            else:
-                far[s:e] = s + np.searchsorted(size[s:e], np.floor(size[s:e] / t + 1e-9), side="right")
+        far = np.arange(1, len(gram) + 1)
+        shared = stop - start > 1
+        for s, e in zip(start[shared], stop[shared]):
+            far[s:e] = s + np.searchsorted(size[s:e], np.floor(size[s:e] / t + 1e-9), side="right")
         n = np.minimum(far, end_of) - np.arange(len(gram)) - 1
         i = 0
         while i < len(gram):
@@ -224,9 +222,9 @@ def similar_texts(
     ``key`` is a long that is unique in ``docs``, whose texts should be distinct and which should be partitioned by it (see
     ``distinct_texts``): its rows then do not move again. The set of a text holds its distinct runs of ``n`` successive
     words ``[A-Za-z0-9_]+``; texts of fewer than ``least_words`` words, null and empty ones take no part. The table of
-    hashed counts has some 16 cells a text, ``2**max_count_bits`` at most (4 bytes each, broadcast);
-    ``every`` may name the rows to count instead, before copies were taken out, which spares a shuffle. Multiplying a share ``extra`` of each row beyond
-    what is needed to find every pair sharpens the second bound. No pair is lost, none is capped.
+    hashed counts has some 16 cells a text, ``2**max_count_bits`` at most (4 bytes each, broadcast); ``every`` may name the
+    rows to count instead, before copies were taken out, which spares a shuffle. Multiplying a share ``extra`` of each row
+    beyond what is needed to find every pair sharpens the second bound. No pair is lost, none is capped.
     """
     spark = docs.sparkSession
     counted = docs.select(text) if every is None else every.select(text)

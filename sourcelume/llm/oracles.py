@@ -17,15 +17,27 @@ SELECT query_id, id AS chunk_id FROM r QUALIFY row_number() OVER (PARTITION BY q
 P5 = f"""WITH u AS MATERIALIZED (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE {USABLE}),
 p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM u a JOIN u b ON a.id <> b.id)
 SELECT a AS chunk_id, b AS neighbour_id FROM p WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5"""
-P7 = """WITH d AS (SELECT content_sha AS sha, min(content) AS content FROM files WHERE content IS NOT NULL GROUP BY 1),
+PAIRS = """d AS (SELECT content_sha AS sha, min(content) AS content FROM files WHERE content IS NOT NULL GROUP BY 1),
 w AS (SELECT sha, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM d),
 g AS (SELECT DISTINCT sha, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) >= 50),
 n AS (SELECT sha, count(*) AS n FROM g GROUP BY 1),
 c AS (SELECT a.sha AS a, b.sha AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.sha < b.sha GROUP BY 1, 2),
-p AS (SELECT a, b FROM c JOIN n x ON x.sha = a JOIN n y ON y.sha = b WHERE k >= 0.7 * (x.n + y.n - k))
+p AS (SELECT a, b FROM c JOIN n x ON x.sha = a JOIN n y ON y.sha = b WHERE k >= 0.7 * (x.n + y.n - k))"""
+P7 = f"""WITH {PAIRS}
 SELECT DISTINCT least(x.id, y.id) AS file_id_a, greatest(x.id, y.id) AS file_id_b FROM p JOIN files x ON x.content_sha = p.a JOIN files y ON y.content_sha = p.b
 WHERE x.content IS NOT NULL AND y.content IS NOT NULL"""
 
+P7_GROUPS = f"""WITH RECURSIVE {PAIRS},
+f AS (SELECT DISTINCT id, content_sha AS sha, content IS NULL AS lost FROM files),
+rep AS (SELECT sha, min(id) AS id FROM f WHERE NOT lost GROUP BY 1),
+dir AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+links AS (SELECT a AS sha, count(*) AS n FROM dir GROUP BY 1),
+e AS (SELECT x.id AS a, y.id AS b FROM dir JOIN rep x ON x.sha = dir.a JOIN rep y ON y.sha = dir.b),
+r AS (SELECT id, id AS root FROM rep UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+cc AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+SELECT f.id AS file_id, CAST(CASE WHEN f.lost THEN f.id ELSE cc.root END AS BIGINT) AS class_id, CAST(CASE WHEN f.lost THEN 0 ELSE coalesce(l.n, 0) END AS INTEGER) AS links
+FROM f LEFT JOIN rep ON rep.sha = f.sha LEFT JOIN cc ON cc.id = rep.id LEFT JOIN links l ON l.sha = f.sha"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p3_found": P3, "p5_found": P5, "p7_found": P7}
+    return {"p2_found": P2, "p3_found": P3, "p5_found": P5, "p7_found": P7, "p7_groups": P7_GROUPS}

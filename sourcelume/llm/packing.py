@@ -131,7 +131,7 @@ def _pack(window: int, good: float):
 
 
 def pack_documents(
-    docs: DataFrame, budgets: list[tuple[str, int]], key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT, window: int = 8192, good: float = 0.98
+    docs: DataFrame, budgets: list[tuple[str, int]], key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT, window: int = 8192, good: float = 0.98, per_task: int = 150
 ) -> DataFrame:
     """``(name, capacity_tokens, container_id, key, piece, first_token, tokens)``: where every document goes, for each of
     the named capacities.
@@ -139,6 +139,8 @@ def pack_documents(
     Every document is in one container of each capacity, whole (``piece`` 0) unless it alone exceeds the capacity: then it
     is split into pieces of exactly the capacity, each a container of its own, and the rest, which is packed like others.
     Null texts are left out, empty ones take no room but have a place. Rows that repeat are packed as often as they come.
+    There are as many tasks as have ``per_task`` containers of the largest capacity to fill, up to what the session offers
+    (and beyond it only so that none has more than 16 times as many).
     """
     if any(c <= 0 for _, c in budgets):
         raise ValueError("capacities must be positive")
@@ -158,7 +160,11 @@ def pack_documents(
         "name", "cap", "id", F.when(over, (F.col("tokens") / F.col("cap")).cast("int")).otherwise(0).alias("piece"), F.when(over, F.col("tokens") % F.col("cap")).otherwise(F.col("tokens")).alias("tokens"),
         F.when(over, F.col("tokens") - F.col("tokens") % F.col("cap")).otherwise(F.lit(0).cast("long")).alias("first_token"), "place",
     )
-    rest = rest.repartitionByRange(partitions(spark), "place", F.xxhash64("id")).sortWithinPartitions("place", F.xxhash64("id"))
+    # a task leaves a container or two of each capacity half filled, so it should have some hundred to fill
+    total = sized.agg(F.sum("tokens")).first()[0] or 0
+    largest = max((int(c) for _, c in budgets), default=1)
+    tasks = int(max(1, min(max(partitions(spark), total // (16 * per_task * largest)), total // (per_task * largest))))
+    rest = rest.repartitionByRange(tasks, "place", F.xxhash64("id")).sortWithinPartitions("place", F.xxhash64("id"))
     packed = rest.select("name", "cap", "id", "piece", "tokens", "first_token").mapInArrow(
         _pack(window, good), "name string, capacity_tokens long, container_id string, id long, piece int, tokens long, first_token long"
     )
