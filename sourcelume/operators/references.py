@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.corpus import HEAD, Corpus, default_branch, has_branch
+from ..session import broadcast_if_small
 
 CAP = 32
 #: Kinds of symbols that a call can mean.
@@ -18,7 +19,7 @@ def _in_branch(branch: str | None) -> Column:
 def _files(corpus: Corpus, branch: str | None, prefix: str) -> DataFrame:
     """Files of the branch (of every repository's default branch if None) under prefixed names."""
     repos = corpus.repos.select(F.col("id").alias("repo_id"), F.col("name").alias("repo"), "default_branch")
-    f = corpus.files.select(F.col("id").alias("file_id"), "repo_id", "path", "branches").join(repos, "repo_id").where(_in_branch(branch))
+    f = corpus.files.select(F.col("id").alias("file_id"), "repo_id", "path", "branches").join(broadcast_if_small(repos), "repo_id").where(_in_branch(branch))
     return f.select(*[F.col(c).alias(prefix + c) for c in ("file_id", "repo_id", "path", "repo")])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import cosine, ts_entries, usable_vector
 from ..plans.corpus import Corpus, default_branch, has_branch, matches
 from ..plans.language import ProseQuery
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 
 #: The constant of reciprocal rank fusion, rows of each leg, and BM25's usual parameters.
 RRF_K, LEG, K1, B = 60, 200, 1.2, 0.75
@@ -18,7 +18,7 @@ RRF_K, LEG, K1, B = 60, 200, 1.2, 0.75
 def scoped_chunks(corpus: Corpus, filters: ProseQuery = ProseQuery(), branch: str | None = None) -> DataFrame:
     """Chunks of the files that a semantic query's filters allow, with file and repository. Filters come before ranking."""
     repos = corpus.repos.select(F.col("id").alias("repo_id"), F.col("name").alias("repo"), "default_branch")
-    f = corpus.files.select(F.col("id").alias("file_id"), "repo_id", "path", "lang", "branches").join(repos, "repo_id")
+    f = corpus.files.select(F.col("id").alias("file_id"), "repo_id", "path", "lang", "branches").join(broadcast_if_small(repos), "repo_id")
     named = sorted({*filters.branches, *([branch] if branch else [])})
     conditions: list[Column] = [has_branch(b) for b in named] or [has_branch(default_branch(F.col("default_branch")))]
     conditions += [matches(F.col("repo"), p, False) for p in filters.repos] + [matches(F.col("path"), p, False) for p in filters.paths]

@@ -21,10 +21,12 @@ def trigrams(text: str) -> list[str]:
 
 def build(files: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """``(gram, file_id)``, each pair once; contents of under three characters and null ones have none."""
-    low = F.lower(content)
-    places = F.sequence(F.lit(1), F.length(low) - 2)
-    grams = F.array_distinct(F.transform(places, lambda i: F.substring(low, i, F.lit(3))))
-    rows = files.where(F.col(content).isNotNull() & (F.length(content) >= 3)).select(F.col(key).alias("file_id"), F.explode(grams).alias("gram"))
+    # pairs of neighbouring characters joined with the next ones: one pass, where a substring at each place would need many
+    chars = F.filter(F.split(F.lower(content), ""), lambda c: c != "")
+    pairs = lambda a, n: F.zip_with(a, F.slice("__c", n, F.greatest(F.size("__c"), F.lit(1))), lambda x, y: F.concat(x, y))
+    grams = F.array_distinct(F.filter(pairs(pairs(F.col("__c"), 2), 3), lambda g: g.isNotNull()))
+    rows = files.where(F.col(content).isNotNull() & (F.length(content) >= 3)).select(F.col(key).alias("file_id"), chars.alias("__c"))
+    rows = rows.select("file_id", F.explode(grams).alias("gram"))
     return rows.select("gram", "file_id").distinct()
 
 

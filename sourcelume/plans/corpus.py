@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import broadcast_if_small
 from ..sources.tables import table
 from .language import And, Node, Not, Or, Term, names_branches, walk
 from .regex_dialect import to_java
@@ -67,7 +68,7 @@ class Plan:
         if not names_branches(node):
             condition.append(has_branch(default_branch(F.col("default_branch"))))
         names = c.repos.select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name"), "default_branch")
-        out = c.files.join(names, "repo_id")
+        out = c.files.join(broadcast_if_small(names), "repo_id")
         for t in needed:
             out = out.join(self._symbol_files(t.value), out["id"] == F.col("__sym_file"), "left_semi")
         for flags, key in self._flags:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "sourcelume", partitions: int | None = None) -> SparkSession:
@@ -50,3 +50,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later actions neither repeat it nor depend on one executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its plan's estimated size is at most ``limit`` bytes; otherwise as it is, so that the
+    join goes by shuffle (or whatever adaptive execution finds). For dimensions beside tables of contents: moving the
+    contents to meet them is what must not happen while it can be avoided."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= limit else df

@@ -15,3 +15,10 @@ def spread(scan: DataFrame) -> DataFrame:
     needs every core. Large inputs have splits enough and are left as they are, without a shuffle."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a catalog table bucketed and sorted by ``key``. Files (by ``id``) and the tables that belong to them
+    (symbols, edges and chunks by ``file_id``) saved with one number of buckets join without moving either side."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)

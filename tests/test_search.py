@@ -138,3 +138,32 @@ def test_service(spark, corpus):
     assert two.semantic("handler")["results"][0]["similarity"] == 1.0
     assert Limits().clamp(0) == 200 and Limits().clamp(5000) == 1000 and Limits().budget(1) == 1024 and Limits().budget(10**9) == 100_000
     assert len(s.repos()) == 6 and s.ready()
+
+
+def test_plans(spark, corpus, tmp_path):
+    """What a plan must show: pruned columns, pushed filters, dimensions broadcast only while they are small."""
+    from sourcelume.session import broadcast_if_small
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    corpus.files.write.parquet(str(tmp_path / "files.parquet"))
+    stored = Corpus(corpus.repos, spark.read.parquet(str(tmp_path / "files.parquet")), corpus.symbols, corpus.reference_edges, corpus.repo_branches, corpus.chunks)
+    text = plan(select_files(stored, parse("lang:go -branch:x")).select("id"))
+    scan = next(line for line in text.split("\n") if "FileScan parquet" in line)
+    assert "EqualTo(lang,go)" in scan and "content" not in scan.split("ReadSchema")[1]
+    small, large = spark.range(10).withColumnRenamed("id", "k"), spark.range(10**9).withColumnRenamed("id", "k")
+    assert "BroadcastHashJoin" in plan(large.join(broadcast_if_small(small), "k")) and "hint" not in plan(broadcast_if_small(large)).lower()
+
+
+def test_bucketed_join_moves_nothing(spark):
+    from sourcelume.sources.tables import save_bucketed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = save_bucketed(spark.range(100).selectExpr("id", "id * 2 AS x"), "t_files", "id", 4)
+        chunks = save_bucketed(spark.range(300).selectExpr("id % 100 AS file_id", "id AS chunk"), "t_chunks", "file_id", 4)
+        joined = chunks.join(files, chunks["file_id"] == files["id"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for t in ("t_files", "t_chunks"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
