@@ -75,14 +75,19 @@ def split_oversized(
     inside = F.aggregate("__in", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["__o"] < F.col(order), x["__n"]).otherwise(0))
     items = items.withColumn("__base", F.col(order) + F.coalesce(F.col("__earlier") + inside, F.lit(0)))
 
-    # running end of every part in code points and in line ends
-    lines = F.transform("__parts", lambda p: F.when(F.col("pieces") > 1, _line_ends(p)).otherwise(0))
-    items = items.withColumn("__ends", lines)
-    upto = lambda arr, i: F.aggregate(F.slice(arr, 1, i), F.lit(0), lambda a, x: a + x)
-    out = items.select(*keep, order, "start_line", "end_line", "pieces", "__base", "__parts", "__ends", F.posexplode_outer("__parts").alias("__i", "__part"))
+    # what a piece needs of the ones before it is put beside it before they part, so that no row carries the whole item
+    items = items.withColumn("__ends", F.transform("__parts", lambda p: F.when(F.col("pieces") > 1, _line_ends(p)).otherwise(0)))
+
+    def piece(part: Column, i: Column) -> Column:
+        lookback = F.when(i > 0, F.right(F.element_at("__parts", i), F.lit(overlap))).otherwise(F.lit("")) if overlap else F.lit("")
+        before = F.aggregate(F.slice("__ends", F.lit(1), i), F.lit(0), lambda a, x: a + x)
+        return F.struct(part.alias("part"), lookback.alias("head"), before.alias("before"))
+
+    rest = [c for c in keep if c != content]
+    out = items.select(*rest, order, "start_line", "end_line", "pieces", "__base", F.posexplode_outer(F.transform("__parts", piece)).alias("__i", "__x"))
     i = F.coalesce(F.col("__i"), F.lit(0))
-    head = F.when(i > 0, F.expr(f"right(element_at(__parts, __i), {overlap})") if overlap else F.lit("")).otherwise(F.lit(""))
-    out = out.withColumn("__head", head).withColumn("__first", F.col("start_line") + upto(F.col("__ends"), i) - F.when(i > 0, _line_ends(F.col("__head"))).otherwise(0))
+    out = out.withColumns({"__part": F.col("__x.part"), "__head": F.coalesce(F.col("__x.head"), F.lit(""))})
+    out = out.withColumn("__first", F.col("start_line") + F.coalesce(F.col("__x.before"), F.lit(0)) - F.when(i > 0, _line_ends(F.col("__head"))).otherwise(0))
     text = F.when(F.col("pieces") > 1, F.concat("__head", "__part")).otherwise(F.col("__part"))
     # the last line of a piece: a line end that closes the piece opens no further line
     inner = _line_ends(F.regexp_replace(F.concat("__head", "__part"), f"(?:{LINE_END})\\z", ""))
