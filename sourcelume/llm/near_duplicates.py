@@ -89,8 +89,9 @@ def _counts(bits: int, n: int, least: int):
             sets = [s for s in shingle_hashes(b.column(0).to_pylist(), n, least) if s is not None]
             if sets:
                 table += np.bincount(_cells(np.concatenate(sets) >> np.uint64(24), bits), minlength=1 << bits)
-        for k in range(0, len(table), SEGMENT):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([table[k : k + SEGMENT].tobytes()], pa.binary())], names=["segment", "counts"])
+        small = np.minimum(table, 2**31 - 1).astype(np.int32)
+        for k in range(0, len(small), SEGMENT):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([small[k : k + SEGMENT].tobytes()], pa.binary())], names=["segment", "counts"])
 
     return run
 
@@ -98,7 +99,7 @@ def _counts(bits: int, n: int, least: int):
 def _sum_counts(parts: pa.Table) -> pa.Table:
     total = np.zeros(SEGMENT, np.int64)
     for c in parts.column("counts").to_pylist():
-        total += np.frombuffer(c, np.int64)
+        total += np.frombuffer(c, np.int32)
     return pa.table({"segment": parts.column("segment")[:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
