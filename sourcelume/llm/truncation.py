@@ -120,8 +120,8 @@ def features(text: str, source: str | None, limits: list[int], counts: np.ndarra
     single = len(lines) == 1
     first = kind + ("1" if single else "")
     out = [
-        "bias", f"src {src}", f"mark {bool(mark)} {cut_space}", f"tail {tail}", f"tail {tail} {kind}", f"closed {closed} {src}", f"closed {closed} {kind} {open_fence}", f"fence {open_fence}", f"fence {open_fence} {kind} {tail}",
-        f"at {at} {closed}", f"at {at}", f"at {at} {closed} {src}", f"kind {kind} {src}", f"single {single} {closed} {src}", f"tick {ticks} {closed}", f"quote {quotes}", f"depth {min(3, max(-1, depth))} {closed}",
+        "bias", f"src {src}", f"mark {bool(mark)} {cut_space}", f"mark {mark}", f"mark {bool(mark)} {closed}", f"mark {bool(mark)} {src}", f"tail {tail}", f"tail {tail} {kind}", f"closed {closed} {src}", f"closed {closed} {kind} {open_fence}", f"fence {open_fence}", f"fence {open_fence} {kind} {tail}",
+        f"at {at} {closed}", f"at {at}", f"at {at} {closed} {src}", f"at {at} {closed} {kind}", f"at {at} {ends_in_word} {closed}", f"kind {kind} {src}", f"single {single} {closed} {src}", f"tick {ticks} {closed}", f"quote {quotes}", f"depth {min(3, max(-1, depth))} {closed}",
         f"n {_bucket(n_words)} {closed}", f"n {_bucket(n_words)} {first} {src} {closed}", f"prev {_cat(before)} {tail}", f"len {_bucket(len(text) // 20)} {src} {closed}",
     ]
     if not closed:
