@@ -1,8 +1,9 @@
 """Most similar vectors for every vector: multi-index hashing over learned rotated binary codes, then a float rerank.
 
-* **Codes.** Unit vectors are centred, rotated and reduced to signs. The rotation is learned (iterative quantization:
-  alternate between the signs and the orthogonal Procrustes solution) on a bounded sample; each code block of ``dim``
-  bits has a rotation of its own, learned from another start.
+* **Codes.** Unit vectors are rotated and reduced to signs, without centring: tables and radius follow from the angle of the
+  raw cosine, and about any other point than the origin that angle is wider. The rotation is learned (iterative
+  quantization: alternate between the signs and the orthogonal Procrustes solution) on a bounded sample; each code block of
+  ``dim`` bits has a rotation of its own, learned from another start.
 * **Index.** A code is cut into substrings of ``width`` bits, each with a table of its own that holds every vector. Two
   vectors whose cosine is ``c`` differ in a bit with probability ``acos(c) / pi``; by the pigeonhole principle close codes
   agree, up to one bit, in some substring. Probing every bucket within one bit of a vector's own retrieves them. ``width``
@@ -34,19 +35,16 @@ def usable(vector: str, dim: int):
     return F.coalesce(good, F.lit(False))
 
 
-def learn_rotations(sample: np.ndarray, blocks: int, rounds: int = 25, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and ``blocks`` rotations (dim x dim) that make signs of the rotated, centred sample quantize it well."""
-    mean = sample.mean(axis=0)
-    x = sample - mean
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def learn_rotations(sample: np.ndarray, blocks: int, rounds: int = 25, seed: int = 7) -> np.ndarray:
+    """``blocks`` rotations (dim x dim) that make signs of the rotated sample, unit vectors, quantize it well."""
     out = []
     for k in range(blocks):
-        r = np.linalg.qr(np.random.default_rng(seed + k).normal(size=(x.shape[1], x.shape[1])))[0]
+        r = np.linalg.qr(np.random.default_rng(seed + k).normal(size=(sample.shape[1], sample.shape[1])))[0]
         for _ in range(rounds):
-            u, _, vt = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
+            u, _, vt = np.linalg.svd(np.where(sample @ r >= 0, 1.0, -1.0).T @ sample)
             r = (u @ vt).T
         out.append(r)
-    return mean, np.stack(out)
+    return np.stack(out)
 
 
 def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -56,12 +54,12 @@ def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
 
 def _encode(model, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, rotations = model.value
+        rotations = model.value
         for b in batches:
             if not b.num_rows:
                 continue
             x = unit_rows(b.column(1), dim)
-            bits = np.concatenate([((x - mean) @ r) >= 0 for r in rotations], axis=1)
+            bits = np.concatenate([(x @ r) >= 0 for r in rotations], axis=1)
             pad = -bits.shape[1] % 64
             packed = np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -211,8 +209,8 @@ def nearest_neighbours(
     sample = classes.orderBy(F.xxhash64("id")).limit(sample_rows).select("v").toArrow()
     width, tables, t = plan_tables(n, dim, least_cosine, recall, group_rows)
     sample_x = unit_rows(sample.column(0).combine_chunks(), dim) if n else np.eye(dim)
-    mean, rotations = learn_rotations(sample_x, -(-tables * width // dim))
-    model = spark.sparkContext.broadcast((mean, rotations))
+    rotations = learn_rotations(sample_x, -(-tables * width // dim))
+    model = spark.sparkContext.broadcast(rotations)
     bits = len(rotations) * dim
     p = math.acos(least_cosine) / math.pi
     radius = bits * p + 3.0 * math.sqrt(bits * p * (1 - p))

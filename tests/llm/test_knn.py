@@ -52,3 +52,24 @@ def test_empty_and_plan(spark):
     assert nearest_neighbours(spark.createDataFrame([(1, [1.0] * 16, None)], SCHEMA), dim=16).count() == 0
     width, tables, t = plan_tables(15_000_000, 128, 0.8, 0.97, 1 << 17)
     assert width == 20 and tables > 10 and t == 7
+
+
+def test_recall_round_one_centre(spark):
+    """Raw cosines just above the floor are found though many rows share a direction, so that the mean is far from zero."""
+    rng = np.random.default_rng(11)
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+    centre, n = unit(rng.normal(size=128)), 900
+    for share in (1 / 3, 1.0):
+        x = unit(rng.normal(size=(n, 128)))
+        m = int(share * n)
+        x[:m] = unit(np.sqrt(0.7) * centre + np.sqrt(0.3) * x[:m])  # of typical cosine 0.7
+        g = x[rng.permutation(m)][rng.integers(0, m, n)]
+        side = unit(g - (g * x).sum(axis=1, keepdims=True) * x + 1e-9 * rng.normal(size=x.shape))
+        c = rng.uniform(0.805, 0.85, size=(n, 1))
+        rows = [(i, [float(e) for e in v], None) for i, v in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * side]))]
+        unit_rows = np.array([r[1] for r in rows], np.float32).astype(float)
+        s = np.round(unit(unit_rows) @ unit(unit_rows).T, 9)
+        np.fill_diagonal(s, -1)
+        want = {(i, int(j)) for i in range(len(s)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.8}
+        got = {(r["id"], r["neighbour"]) for r in nearest_neighbours(spark.createDataFrame(rows, SCHEMA), dim=128, k=5, least_cosine=0.8).collect()}
+        assert len(want) >= 2 * n - 10 and len(got & want) >= 0.97 * len(want), (share, len(got & want), len(want))
