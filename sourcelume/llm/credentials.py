@@ -3,8 +3,9 @@
 A text is searched for string literals (pieces joined by ``+`` or juxtaposition count as one), unquoted values, URLs,
 headers and key blocks. A value is a credential by its form (a private key, a signed token, a key id of a known form, login
 data in a URL or header) or by its name together with its form (``db_pass = "..."``). Literals are decoded layer by layer
-(escapes, percent, base64, hex), key containers are told from other data by their binary grammar (DER, OpenSSH), and what
-comes out is searched again; a hit inside masks the literal that encloses it.
+(escapes, percent, base64, hex; each encoded run inside a value, too, its lines joined if it is wrapped), key containers are
+told from other data by their binary grammar (DER, OpenSSH), and what comes out is searched like the text outside; a hit
+inside masks the literal that encloses it, or the run where it stands unquoted.
 """
 
 from __future__ import annotations
@@ -59,6 +60,12 @@ _PROSE = re.compile(r"\b(?:log(?:ged)? ?in|sign(?:ed)? ?in|password|passphrase|p
 _USER = re.compile(r"\s(?:-u|--user)[ =]+[\"']?([^\s:\"']+):([^\s\"'`]{4,})")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}$")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){8,}$")
+#: Maximal encoded runs inside a value: either alphabet of base64, its parts in one alphabet, hex, and runs wrapped over lines.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}+={0,2}")
+_PARTS = [re.compile(rf"[{a}]{{12,}}+={{0,2}}") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")]
+_HEX_RUN = re.compile(r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}){8,}+(?![0-9a-fA-F])")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+(?:[ \t]*\r?\n[ \t]*(?:(?:#|//|\*|;|>)[ \t]+)?[A-Za-z0-9+/_-]++(?=={0,2}[ \t]*(?:\r?\n|\Z)))++={0,2}")
+_LINE_RUN = re.compile(r"(?:^|(?<=\n))[ \t]*(?:(?:#|//|\*|;|>)[ \t]+)?([A-Za-z0-9+/_-]++={0,2})")
 _QUICK = re.compile(r"pass|pwd|secret|token|key|auth|cred|pem\b|login|dial|connect|bearer|basic|://[^\s/]*@|AKIA|ASIA|eyJ|-----BEGIN|_live_|[a-z]{2,5}[.-][A-Za-z0-9]{20}|[A-Za-z0-9+/_-]{24}|(?:\\x|%)[0-9a-fA-F]{2}|[0-9a-fA-F]{24}", re.I)
 
 
@@ -129,13 +136,41 @@ def _unescape(v: str) -> str:
     return re.sub(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]{1,6}\}|.)", one, v, flags=re.S)
 
 
-def layers(v: str) -> Iterator[tuple[str | None, bytes]]:
-    """What one layer of encoding around ``v`` hides: (text or None, bytes)."""
+def _runs(v: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans of the encoded runs of ``v``, the lines of a wrapped one as one list; wrapped ones first, longer ones first."""
+    for m in _WRAPPED.finditer(v):
+        lines = [(m.start() + k.start(1), m.start() + k.end(1)) for k in _LINE_RUN.finditer(m.group())]
+        yield lines
+        i = 0
+        while i < len(lines):  # lines of one length and a shorter last one
+            n, j = lines[i][1] - lines[i][0], i + 1
+            while j < len(lines) and lines[j][1] - lines[j][0] == n:
+                j += 1
+            j += j < len(lines) and lines[j][1] - lines[j][0] < n
+            if 1 < j - i < len(lines):
+                yield lines[i:j]
+            i = j
+    for m in _RUN.finditer(v):
+        run, at = m.group(), m.start()
+        for a, b in _telling(run) if len(run) < 256 else _telling.__wrapped__(run):
+            yield [(at + a, at + b)]
+
+
+@lru_cache(maxsize=100_000)
+def _telling(run: str) -> tuple[tuple[int, int], ...]:
+    """Spans of ``run`` and of its parts that decode to text or to a key container; of most names there are none."""
+    spans = dict.fromkeys([(0, len(run)), *(k.span() for part in _PARTS for k in part.finditer(run)), *(k.span() for k in _HEX_RUN.finditer(run))])
+    return tuple((a, b) for a, b in spans if any(len(text) >= 6 if text is not None else is_private_der(raw) for text, raw in _decoded(run[a:b])))
+
+
+def _unquoted(v: str) -> Iterator[tuple[str | None, bytes]]:
     if "\\" in v and (u := _unescape(v)) != v:
         yield u, u.encode("utf-8", "replace")
     if "%" in v and (u := unquote(v)) != v:
         yield u, u.encode("utf-8", "replace")
-    s = "".join(v.split())
+
+
+def _decoded(s: str) -> Iterator[tuple[str | None, bytes]]:
     if _HEX.match(s):
         raw = binascii.unhexlify(s)
         yield _text(raw), raw
@@ -147,6 +182,18 @@ def layers(v: str) -> Iterator[tuple[str | None, bytes]]:
         yield _text(raw), raw
 
 
+def layers(v: str) -> Iterator[tuple[str | None, bytes]]:
+    """What one layer of encoding around ``v``, or around a run inside it, hides: (text or None, bytes)."""
+    yield from _unquoted(v)
+    seen = {whole := "".join(v.split())}
+    yield from _decoded(whole)
+    for spans in _runs(v):
+        s = "".join(v[a:b] for a, b in spans)
+        if s not in seen:
+            seen.add(s)
+            yield from _decoded(s)
+
+
 def _text(raw: bytes) -> str | None:
     try:
         t = raw.decode("utf-8")
@@ -170,15 +217,26 @@ def by_form(v: str, depth: int = 4) -> str | None:
         return "header"
     if depth:
         for text, raw in layers(v):
-            if text is not None and len(text) >= 6:
-                k = by_form(text, depth - 1) or _named_inside(text)
-                if k:
-                    return "encoded_" + k.removeprefix("encoded_")
-            if text is None and is_private_der(raw):
-                return "encoded_private_key"
+            if k := _hidden(text, raw, depth):
+                return k
     return None
 
 
+def _hidden(text: str | None, raw: bytes, depth: int) -> str | None:
+    """The kind of credential in what a layer hides, searched like a text of its own."""
+    if text is None:
+        return "encoded_private_key" if is_private_der(raw) else None
+    if len(text) < 6:
+        return None
+    k = by_form(text, depth - 1) or _named_inside(text) or next((h.kind for h in find(text, depth - 1)), None)
+    return "encoded_" + k.removeprefix("encoded_") if k else None
+
+
+@lru_cache(maxsize=50_000)
+def _encoded_run(s: str, depth: int) -> str | None:
+    return next((k for text, raw in _decoded(s) if (k := _hidden(text, raw, depth))), None)
+
+
 def _masked(body: str) -> bool:
     """Whether no key follows a BEGIN mark: nothing at all, or what ``redact`` leaves."""
     return not re.search(r"[^xX.…\s\\n\"'`+,;#*/]", PRIVATE_END.split(body)[0])
@@ -202,7 +260,7 @@ def _header_secret(scheme: str, v: str) -> bool:
     if _PLACEHOLDER.search(v) or re.fullmatch(r"[{$%].*", v):
         return False
     if scheme == "Basic":
-        for text, _ in layers(v):
+        for text, _ in (*_unquoted(v), *_decoded(v)):
             if text and ":" in text and not _PLACEHOLDER.search(text.split(":", 1)[1]):
                 return True
         return False
@@ -229,8 +287,9 @@ def _name_before(text: str, at: int) -> str:
     return m.group(1) if m else ""
 
 
-def find(text: str) -> list[Hit]:
-    """Every credential of ``text`` with its line (from 1) and the span to mask, in order; spans do not overlap."""
+def find(text: str, depth: int = 4) -> list[Hit]:
+    """Every credential of ``text``, under ``depth`` layers of encoding at most, with its line (from 1) and the span to mask, in
+    order; spans do not overlap."""
     out: list[Hit] = []
     covered: list[tuple[int, int]] = []
 
@@ -266,7 +325,7 @@ def find(text: str) -> list[Hit]:
         v = "".join(text[a:b] for a, b in pieces)
         if len(v) < 6:
             continue
-        kind = by_form(v) if len(v) < 100_000 and _QUICK.search(v) else None
+        kind = by_form(v, depth) if len(v) < 100_000 and _QUICK.search(v) else None
         if kind is None and secret_value(v):
             name = _name_before(text, m.start())
             start = text.rfind("\n", 0, m.start()) + 1
@@ -284,6 +343,9 @@ def find(text: str) -> list[Hit]:
                         add(m.start(), kind, *u.span(2))
             else:
                 hit_line_at = m.start()
+                if kind.startswith("encoded_") and "\n" in v:
+                    inside_of = ([(a + m.start(), b + m.start()) for a, b in r] for r in _runs(m.group()))
+                    hit_line_at = next((r[0][0] for r in inside_of if _encoded_run("".join(text[a:b] for a, b in r), depth)), m.start())
                 if kind == "private_key":
                     p = PRIVATE.search(text, pieces[0][0], pieces[-1][1])
                     hit_line_at = p.start() if p else hit_line_at
@@ -315,13 +377,17 @@ def find(text: str) -> list[Hit]:
     for m in _USER.finditer(text):
         if secret_value(m.group(2)):
             add(m.start(2), "login", *m.span(2))
+    for spans in _runs(text) if depth else ():
+        if not quoted(spans[0][0]) and (k := _encoded_run("".join(text[a:b] for a, b in spans), depth)):
+            for a, b in spans:
+                add(spans[0][0], k, a, b)
     for m in _BARE.finditer(text):
         v = m.group(1).rstrip(";.")
         if v.isdigit() or v.isalpha() and (len(v) < 16 or v.islower()) or quoted(m.start(1)):
             continue
         if secret_value(v) and not re.search(r"[\w\])]\(|\)$|=>|&&|\|\||->", v) and _bare_ok(v) and name_is_secret(_bound(text, m.start())):
             add(m.start(1), "named", m.start(1), m.start(1) + len(v))
-        elif len(v) >= 16 and _QUICK.search(v) and (k := by_form(v)) and not _HASH_NAME.search(_bound(text, m.start())):
+        elif len(v) >= 16 and _QUICK.search(v) and (k := by_form(v, depth)) and not _HASH_NAME.search(_bound(text, m.start())):
             add(m.start(1), k, m.start(1), m.start(1) + len(v))
     return sorted(out, key=lambda h: h.start)
 

@@ -67,3 +67,22 @@ def test_operators(spark):
     out = {r["id"]: (r["content"], r["masked"], r["kind"]) for r in redacted(files).collect()}
     assert out[2] == (None, 0, None) and out[1] == ('a\npassword = "xxxxxxxxxxxx"\n', 1, "k") and out[4][1] == 0
     assert credential_lines(files.limit(0)).count() == 0
+
+
+def _b64(text, width=0):
+    s = base64.b64encode(text.encode()).decode()
+    return "\n".join(s[i : i + width] for i in range(0, len(s), width)) if width else s
+
+
+def test_encoded_runs_inside_values():
+    whole, public = _b64(KEY), _b64(KEY.replace("RSA PRIVATE", "PUBLIC"))
+    for text, line in (
+        (f'env = ["A=b", "TLS_KEY={whole}"]\n', 1), (f'u = "data:application/x-pem-file;base64,{whole}"\n', 1), (f'u = "certs/prod-{whole}"\n', 1), (f'u = "0x{KEY.encode().hex()};"\n', 1),
+        ('blob = "' + _b64('{"tls_crt_key":"' + whole + '"}') + '"\n', 1), ('blob = "' + _b64("x = 'a' \nmysql -u root:Tr0ub4dor3x\n") + '"\n', 1), (f"files:\n  - data:text/plain;base64,{whole}\n", 2),
+        ("a: 1\nblob: |\n  " + _b64(KEY, 64).replace("\n", "\n  ") + "\nb: plainword\n", 3), ('doc = """\nnotes\n' + _b64(KEY, 76) + '\n"""\n', 3),
+    ):
+        out, hits = redact(text)
+        assert {h.line for h in hits} == {line} and whole[:40] not in out and whole[100:130] not in out.replace("\n", "") and out.count("\n") == text.count("\n"), text
+        assert find(text.replace(whole, public)) == [] or whole not in text
+    assert redact("blob: |\n  " + _b64(KEY, 64).replace("\n", "\n  ") + "\nb: plainword\n")[0].endswith("x\nb: plainword\n")
+    assert all(x.startswith("  x") for x in redact("blob: |\n  " + _b64(KEY, 64).replace("\n", "\n  "))[0].split("\n")[1:])
