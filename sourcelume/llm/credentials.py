@@ -49,7 +49,7 @@ FORMS = re.compile(
     r"|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|[a-z]{2,8}_live_[A-Za-z0-9]{16,}|[a-z]{3,5}(?:\.|-)(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9]{24,64})(?![A-Za-z0-9+/=_])"
     r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 )
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@\"'`<>]*):([^\s@\"'`<>]{3,}?)@(?=[\w\[-])")
+URL = re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://([^\s:/@\"'`<>]*):([^\s@\"'`<>]{3,}?)@(?=[\w\[-])")
 HEADER = re.compile(r"\b(Bearer|Basic|Token)\s+([^\s\"'`,;)<>]{8,})")
 _LITERAL = re.compile(r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`")
 _GLUE = re.compile(r"[ \t]*(?:\+|\.\.|\.|\\)?[ \t]*$")
@@ -66,17 +66,16 @@ _PARTS = [re.compile(rf"[{a}]{{12,}}+={{0,2}}") for a in ("A-Za-z0-9+/", "A-Za-z
 _HEX_RUN = re.compile(r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}){8,}+(?![0-9a-fA-F])")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+(?:[ \t]*\r?\n[ \t]*(?:(?:#|//|\*|;|>)[ \t]+)?[A-Za-z0-9+/_-]++(?=={0,2}[ \t]*(?:\r?\n|\Z)))++={0,2}")
 _LINE_RUN = re.compile(r"(?:^|(?<=\n))[ \t]*(?:(?:#|//|\*|;|>)[ \t]+)?([A-Za-z0-9+/_-]++={0,2})")
-_QUICK = re.compile(r"pass|pwd|secret|token|key|auth|cred|pem\b|login|dial|connect|bearer|basic|://[^\s/]*@|AKIA|ASIA|eyJ|-----BEGIN|_live_|[a-z]{2,5}[.-][A-Za-z0-9]{20}|[A-Za-z0-9+/_-]{24}|(?:\\x|%)[0-9a-fA-F]{2}|[0-9a-fA-F]{24}", re.I)
 
 
 def _entropy_like(v: str) -> bool:
     """Random-looking or password-shaped: of at least two character classes beyond lower-case words."""
-    if len(v) < 6 or len(v) > 4096:
+    if len(v) < 6:
         return False
     digit, upper, lower = any(c.isdigit() for c in v), any(c.isupper() for c in v), any(c.islower() for c in v)
     odd = any(not c.isalnum() and c not in "-_./: " for c in v)
     if len(v) >= 16 and " " not in v:
-        return digit and (upper or lower) or upper and lower and not re.fullmatch(r"(?:[A-Z]?[a-z]+)+|(?:[a-z]+[A-Z][a-z]*)+", v) or odd and (upper or lower)
+        return digit and (upper or lower) or upper and lower and not re.fullmatch(r"(?:[A-Z]?[a-z]++)++|[a-z]++(?:[A-Z][a-z]++)*+[A-Z]", v) or odd and (upper or lower)
     return (digit and odd and (upper or lower)) or (digit and upper and lower) or (len(v) >= 8 and odd and upper and lower and not v.endswith(("=", ":")))
 
 
@@ -202,9 +201,13 @@ def _text(raw: bytes) -> str | None:
     return t if t and sum(c.isprintable() or c in "\r\n\t" for c in t) == len(t) else None
 
 
-@lru_cache(maxsize=20_000)
 def by_form(v: str, depth: int = 4) -> str | None:
-    """The kind of credential that ``v`` is or encodes, whatever its name; None if none."""
+    """The kind of credential that ``v`` is or encodes, whatever its name; None if none. Only short values are remembered."""
+    return _by_form(v, depth) if len(v) < 4096 else _by_form.__wrapped__(v, depth)
+
+
+@lru_cache(maxsize=20_000)
+def _by_form(v: str, depth: int) -> str | None:
     if (p := PRIVATE.search(v)) and not _masked(v[p.end() :]):
         return "private_key"
     if (m := FORMS.search(v)) and not _PLACEHOLDER.search(v):
@@ -232,8 +235,12 @@ def _hidden(text: str | None, raw: bytes, depth: int) -> str | None:
     return "encoded_" + k.removeprefix("encoded_") if k else None
 
 
-@lru_cache(maxsize=50_000)
 def _encoded_run(s: str, depth: int) -> str | None:
+    return _short_run(s, depth) if len(s) < 4096 else _short_run.__wrapped__(s, depth)
+
+
+@lru_cache(maxsize=50_000)
+def _short_run(s: str, depth: int) -> str | None:
     return next((k for text, raw in _decoded(s) if (k := _hidden(text, raw, depth))), None)
 
 
@@ -325,7 +332,7 @@ def find(text: str, depth: int = 4) -> list[Hit]:
         v = "".join(text[a:b] for a, b in pieces)
         if len(v) < 6:
             continue
-        kind = by_form(v, depth) if len(v) < 100_000 and _QUICK.search(v) else None
+        kind = by_form(v, depth)
         if kind is None and secret_value(v):
             name = _name_before(text, m.start())
             start = text.rfind("\n", 0, m.start()) + 1
@@ -387,7 +394,7 @@ def find(text: str, depth: int = 4) -> list[Hit]:
             continue
         if secret_value(v) and not re.search(r"[\w\])]\(|\)$|=>|&&|\|\||->", v) and _bare_ok(v) and name_is_secret(_bound(text, m.start())):
             add(m.start(1), "named", m.start(1), m.start(1) + len(v))
-        elif len(v) >= 16 and _QUICK.search(v) and (k := by_form(v, depth)) and not _HASH_NAME.search(_bound(text, m.start())):
+        elif len(v) >= 12 and (k := by_form(v, depth)) and not _HASH_NAME.search(_bound(text, m.start())):
             add(m.start(1), k, m.start(1), m.start(1) + len(v))
     return sorted(out, key=lambda h: h.start)
 

@@ -86,3 +86,15 @@ def test_encoded_runs_inside_values():
         assert find(text.replace(whole, public)) == [] or whole not in text
     assert redact("blob: |\n  " + _b64(KEY, 64).replace("\n", "\n  ") + "\nb: plainword\n")[0].endswith("x\nb: plainword\n")
     assert all(x.startswith("  x") for x in redact("blob: |\n  " + _b64(KEY, 64).replace("\n", "\n  "))[0].split("\n")[1:])
+
+
+def test_length_is_no_switch():
+    filler = "# plain words here\n" * 6_000
+    for text in (
+        f'blob = "{_b64(filler + KEY)}"\n', 'secret_key = "' + "q7R-zT1v" * 700 + '"\n',
+        'blob = "cGFzcz1YeTEhYWI="\n', "blob: cGFzcz1YeTEhYWI=\n", f'blob = "{b"pwd=Xy1!ab".hex()}"\n',
+    ):
+        out, hits = redact(text)
+        assert len(hits) == 1, text[:60]
+        assert find(out) == [] and len(out) == len(text)
+    assert find('key_text = "' + "someWords" * 20_000 + '-"\n') == [] and find('x = "' + "0a" * 100_000 + '"\n') == []
