@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
-def boundary_pattern(room: int) -> str:
-    """Java regex that takes at most ``room`` code points and ends at the strongest boundary found in the later part."""
+def boundary_pattern(room: int, overlap: int = 0) -> str:
+    """Java regex that takes at most ``room`` code points and ends at the strongest boundary found in the later part,
+    else in the earlier one, else at a plain character. No piece is shorter than ``overlap``, which the next one repeats."""
     half, quarter = max(1, room // 2), max(1, room // 4)
+    least = max(1, overlap)
     whole = r"(?!(?<=\r)\n)"  # never between CR and LF
     return (
         f"(?s).{{1,{room}}}\\z"
@@ -23,6 +25,9 @@ def boundary_pattern(room: int) -> str:
         f"|.{{{quarter},{room}}}(?<=[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]){whole}"
         f"|.{{{quarter},{room}}}(?<=[;,.!?}}\\u3002\\uff01\\uff1f]|[;,.!?}}] )"
         f"|.{{{quarter},{room}}}(?<=\\s){whole}"
+        f"|.{{{least},{room}}}(?<=[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]){whole}"
+        f"|.{{{least},{room}}}(?<=[;,.!?}}\\u3002\\uff01\\uff1f]|[;,.!?}}] )"
+        f"|.{{{least},{room}}}(?<=\\s){whole}"
         f"|.{{1,{room}}}{whole}"
         f"|.{{1,{room}}}"
     )
@@ -58,7 +63,7 @@ def split_oversized(
     room = limit - overlap
     keep = [c for c in df.columns if c not in ("piece", "pieces", "overlap_chars", "chunk_index", "start_line", "end_line")]
     big = F.length(F.col(content)) > limit
-    parts = F.when(big, F.regexp_extract_all(F.col(content), F.lit(boundary_pattern(room)), F.lit(0))).otherwise(F.array(F.col(content)))
+    parts = F.when(big, F.regexp_extract_all(F.col(content), F.lit(boundary_pattern(room, overlap)), F.lit(0))).otherwise(F.array(F.col(content)))
     items = df.withColumn("__parts", parts).withColumn("pieces", F.size("__parts"))
 
     # pieces added by earlier items of the group; a block's list holds at most ``block`` order values

@@ -55,3 +55,12 @@ def test_empty_and_repeated(spark):
     assert split_oversized(empty).count() == 0
     rows = [(1, 1, 0, "a b " * 100, 1, 1, None)] * 2
     assert split_oversized(spark.createDataFrame(rows, SCHEMA), limit=100, overlap=10).count() == 2 * len(pieces_of(spark, rows[:1], limit=100, overlap=10)[1])
+
+
+def test_early_boundary_before_plain_character(spark):
+    for early in ("line one\n", "one; two;", "some words "):
+        run = "y" * 90
+        text = early + run + "\n" + "more words " * 6
+        ps = pieces_of(spark, [(1, 1, 0, text, 1, 5, None)], limit=100, overlap=5)[1]
+        assert ps[0]["content"] == early and any(run in p["content"] for p in ps)
+        assert "".join(p["content"][p["overlap_chars"] :] for p in ps) == text
