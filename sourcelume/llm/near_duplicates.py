@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.components import connected_components
+from .components import connected_components
 from ..session import cut_lineage, partitions
 
 #: Cells of the table of counts that are summed together.
