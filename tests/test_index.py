@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from sourcelume.functions.chunks import chunk_text, embed_chunks, hash_embedder
 from sourcelume.functions.text import byte_offset, content_sha, cosine, glob_pattern, merge_spans
 from sourcelume.operators import index as idx
-from sourcelume.operators.components import connected_components
 from sourcelume.sources.archives import BadArchive, check_link, read_archives, read_tree, safe_name, scan_archive
 from sourcelume.sources.listing import ConfigError, check_ceiling, choose_branches, choose_repos, collect_pages, matches_glob, parse_config, rate_limited, repo_slug
 from sourcelume.sources.snapshots import SnapshotStore, StaleSnapshot
@@ -189,13 +188,6 @@ def test_expressions(spark):
     assert [r["n"] for r in names.where(F.col("n").rlike(glob_pattern("o/a.?"))).collect()] == ["o/a.b"] and names.where(F.col("n").rlike(glob_pattern("[!o]/*"))).count() == 1
 
 
-def test_components(spark):
-    e = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (5, 5), (None, 3), (200, 100)], "a int, b int")
-    got = {r["node"]: r["component"] for r in connected_components(e, "a", "b").collect()}
-    assert {got[i] for i in range(1, 61)} == {1} and {got[i] for i in (100, 101, 102, 200)} == {100} and len(got) == 64
-    assert connected_components(e.limit(0), "a", "b").count() == 0
-
-
 def test_reports_and_downloads(spark, tmp_path):
     d = spark.createDataFrame([(1, "main", "a", None), (1, "main", "b", None), (2, "main", None, "unreadable")], "repo_id int, branch string, path string, error string")
     w = spark.createDataFrame([(1, "main"), (2, "main"), (3, "x"), (1, "main")], "repo_id int, branch string")
