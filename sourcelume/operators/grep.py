@@ -87,9 +87,9 @@ def _highlight(patterns: tuple[tuple[str, bool], ...], budget_s: float | None):
                 try:
                     rows = list(match_lines(content or "", compiled, budget_s if engine is not re else None))
                 except TimeoutError:
-                    continue
+                    rows = [(None, None, None)]
                 if budget_s and time.monotonic() - began > budget_s:
-                    continue
+                    rows = [(None, None, None)]
                 for n, line, s in rows:
                     which.append(i)
                     ns.append(n)
@@ -110,7 +110,8 @@ RESULT = ("repo_id", "repo_name", "path", "content_sha", "id", "lang", "branches
 def highlight(files: DataFrame, matchers: Matchers, budget_s: float | None = None) -> DataFrame:
     """One row a matching line of ``files``: ``RESULT``'s columns, ``line`` (from 1), ``text`` and ``byte_ranges``.
 
-    Only rows with a content take part. A pattern that takes longer than ``budget_s`` on a file gives that file up.
+    Only rows with a content take part. A file on which the patterns take longer than ``budget_s`` is given up, which one
+    row says whose ``line``, ``text`` and ``byte_ranges`` are null.
     """
     rows = files.where(F.col("content").isNotNull()).select(*RESULT, "content")
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

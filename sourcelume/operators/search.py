@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.corpus import HEAD, Corpus, default_branch, has_branch
-from ..plans.language import Node, walk
+from ..plans.language import Node, affirmative, walk
 from .grep import RESULT, grep
 from .symbols import find_symbols
 
@@ -33,11 +33,11 @@ def resolve_commits(corpus: Corpus, prefixes: list[str]) -> DataFrame:
 
 
 def commit_mood(node: Node) -> str:
-    """``bare``: the query only names commits; ``scoped``: it also searches; ``none``: it names no commit."""
-    terms = [t for t, _ in walk(node)]
-    if not any(t.kind == "commit" for t in terms):
+    """``bare``: the query only names commits; ``scoped``: it also searches; ``none``: it names no commit to look up. A
+    negated commit excludes, so it is none."""
+    if not affirmative(node, "commit"):
         return "none"
-    return "scoped" if any(t.kind in ("substring", "regex", "sym") for t in terms) else "bare"
+    return "scoped" if any(t.kind in ("substring", "regex", "sym") for t, _ in walk(node)) else "bare"
 
 
 def permalink_branch(branches: Column, wanted: list[str]) -> Column:

@@ -127,16 +127,18 @@ def select_files(corpus: Corpus, node: Node, sensitive: bool | None = None) -> D
     return Plan(corpus, node, sensitive).filter()
 
 
-FILE_ORDER = ("repo_id", "path", "content_sha")
+#: The order of results. The id comes last: a version may be stored twice, and a page may end between the two.
+FILE_ORDER = ("repo_id", "path", "content_sha", "id")
 
 
-def after(cursor: tuple[int, str, str]) -> Column:
-    """Rows past a cursor in the order of results."""
-    r, p, s = cursor
-    return F.struct(*FILE_ORDER) > F.struct(F.lit(r).cast("int").alias("repo_id"), F.lit(p).alias("path"), F.lit(s).alias("content_sha"))
+def after(cursor: tuple) -> Column:
+    """Rows past a cursor (repository, path, sha and, where it is known, id) in the order of results."""
+    kinds = ("int", "string", "string", "bigint")
+    mine = [F.col(c).cast(k).alias(c) for c, k in zip(FILE_ORDER[: len(cursor)], kinds)]
+    return F.struct(*mine) > F.struct(*[F.lit(x).cast(k).alias(c) for x, c, k in zip(cursor, FILE_ORDER, kinds)])
 
 
-def page(files: DataFrame, limit: int | None = 200, cursor: tuple[int, str, str] | None = None) -> DataFrame:
+def page(files: DataFrame, limit: int | None = 200, cursor: tuple | None = None) -> DataFrame:
     """Files in order, past ``cursor``, ``limit`` at most (0 is legal, negative is not)."""
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")

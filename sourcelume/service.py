@@ -51,20 +51,21 @@ class BadCursor(ValueError):
     pass
 
 
-def encode_cursor(repo_id: int, path: str, sha: str) -> str:
-    raw = json.dumps({"v": 1, "r": repo_id, "p": path, "s": sha}, separators=(",", ":")).encode()
+def encode_cursor(repo_id: int, path: str, sha: str, row_id: int | None = None) -> str:
+    more = {} if row_id is None else {"i": row_id}
+    raw = json.dumps({"v": 1, "r": repo_id, "p": path, "s": sha, **more}, separators=(",", ":")).encode()
     return base64.urlsafe_b64encode(raw).decode().rstrip("=")
 
 
-def decode_cursor(text: str) -> tuple[int, str, str]:
+def decode_cursor(text: str) -> tuple:
     try:
         d = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
-        ok = d["v"] == 1 and type(d["r"]) is int and isinstance(d["p"], str) and isinstance(d["s"], str)
+        ok = d["v"] == 1 and type(d["r"]) is int and isinstance(d["p"], str) and isinstance(d["s"], str) and type(d.get("i", 0)) is int
     except (ValueError, KeyError, TypeError, binascii.Error):
         ok = False
     if not ok:
         raise BadCursor("not a cursor of this service")
-    return d["r"], d["p"], d["s"]
+    return (d["r"], d["p"], d["s"], d["i"]) if "i" in d else (d["r"], d["p"], d["s"])
 
 
 class TooSlow(RuntimeError):
@@ -155,11 +156,14 @@ class Service:
         out["duration_ns"] = int((time.monotonic() - began) * 1e9)
         return self._fit_search(out, self.limits.budget(budget), paged or cursor is not None)
 
-    def _search(self, out: dict, node: Node, sensitive: bool, limit: int, at: tuple[int, str, str] | None, paged: bool) -> None:
+    def _search(self, out: dict, node: Node, sensitive: bool, limit: int, at: tuple | None, paged: bool) -> None:
         mood = commit_mood(node)
         resolved = {}
         if mood != "none":
-            rows = resolve_commits(self.corpus, [t.value for t in affirmative(node, "commit")]).orderBy("repo", "branch").limit(self.limits.most_rows).collect()
+            found = resolve_commits(self.corpus, [t.value for t in affirmative(node, "commit")]).orderBy("repo", "branch").limit(self.limits.most_rows + 1)
+            rows = within(self.spark, self.limits.statement_s, found.collect)
+            out["resolved_truncated"] = len(rows) > self.limits.most_rows
+            rows = rows[: self.limits.most_rows]
             out["resolved"] = [{"repo": r["repo"], "branch": r["branch"], "commit": r["commit"], "last_indexed_at": r["last_indexed_at"] and r["last_indexed_at"].isoformat()} for r in rows]
             if not rows:
                 out["commit_not_indexed"] = True
@@ -171,7 +175,7 @@ class Service:
         m = Matchers.of(node)
         out["regex_incompatible"], out["no_content_atom"], out["zero_width_only_atoms"] = m.regex_incompatible, m.no_content_atom, m.zero_width_only
         selected = select_files(self.corpus, node, sensitive)
-        keys = page(selected.select("id", *FILE_ORDER), limit, at)
+        keys = page(selected.select(*FILE_ORDER), limit, at)
         files = selected.join(F.broadcast(keys.select("id")), "id", "left_semi").orderBy(*FILE_ORDER)
         entries: dict[tuple, dict] = {}
         consumed = last = None
@@ -189,7 +193,8 @@ class Service:
                     stopped = "match_budget"
                     break
                 used += len(content.encode("utf-8", "surrogatepass"))
-                consumed = last = (f["repo_id"], f["path"], f["content_sha"])
+                last = (f["repo_id"], f["path"], f["content_sha"])
+                consumed = (*last, f["id"])
                 try:
                     found = list(match_lines(content, compiled, max(0.01, deadline - time.monotonic())))
                 except TimeoutError:
@@ -197,11 +202,15 @@ class Service:
                     break
                 if found:
                     entries[last] = self._entry(f, [{"line": n, "text": t, "byte_ranges": s} for n, t, s in found])
-            exhausted = not stopped and len(rows) < limit
-            if not stopped and len(rows) >= limit and not paged:
-                stopped = "row_cap"
+            full = len(rows) >= limit
             if paged:
-                out["next_cursor"] = None if exhausted else encode_cursor(*consumed) if consumed else encode_cursor(*at) if at else None
+                # out of time before the first file of a page: the same cursor is worth another try; a first file that is
+                # beyond the byte cap would be so again, so there the pages end
+                retry = at if stopped == "match_budget" and consumed is None else None
+                on = consumed if stopped or full else None
+                out["next_cursor"] = encode_cursor(*(on or retry)) if on or retry else None
+            elif not stopped and full:
+                stopped = "row_cap"
         elif paged:
             out["next_cursor"] = None
         if symbol_patterns(node) and at is None:
@@ -224,20 +233,20 @@ class Service:
 
     @staticmethod
     def _entry(f, matches: list[dict]) -> dict:
-        return {"repo": f["repo_name"], "repo_id": f["repo_id"], "file": f["path"], "language": f["lang"], "branches": list(f["branches"]), "matches": matches, "content_sha": f["content_sha"], "permalink_branch": None}
+        return {"repo": f["repo_name"], "repo_id": f["repo_id"], "file": f["path"], "language": f["lang"], "branches": list(f["branches"]), "matches": matches, "content_sha": f["content_sha"], "id": f["id"] if "id" in f else f["file_id"], "permalink_branch": None}
 
     def _fit_search(self, out: dict, budget: int, paged: bool) -> dict:
         """The answer without what only internal callers need, cut to the budget; at least one file stays, and a cut page
         gets the cursor of its last file."""
         lean = {k: v for k, v in out.items() if k != "duration_ns"}
         full = out["files"]
-        lean["files"] = [{k: v for k, v in e.items() if k not in ("content_sha", "repo_id")} | {"matches": [{k: v for k, v in x.items() if k != "byte_ranges"} for x in e["matches"]]} for e in full]
+        lean["files"] = [{k: v for k, v in e.items() if k not in ("content_sha", "repo_id", "id")} | {"matches": [{k: v for k, v in x.items() if k != "byte_ranges"} for x in e["matches"]]} for e in full]
         cut = trim_list(lean, "files", budget, 1 if full else 0)
         if len(cut["files"]) < len(full):
             cut["file_count"] = len(cut["files"])
             last = full[len(cut["files"]) - 1]
             if paged:
-                cut["next_cursor"] = encode_cursor(last["repo_id"], last["file"], last["content_sha"])
+                cut["next_cursor"] = encode_cursor(last["repo_id"], last["file"], last["content_sha"], last["id"])
         return cut
 
     # --- others -------------------------------------------------------------------------------------------------------

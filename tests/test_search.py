@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sourcelume.operators import references as ref
 from sourcelume.operators.grep import Matchers, grep, line_spans, within_bytes
@@ -140,6 +141,41 @@ def test_service(spark, corpus):
     assert len(s.repos()) == 6 and s.ready()
 
 
+def test_negated_commit_only_excludes(spark, corpus):
+    s = Service(spark, corpus)
+    plain, without = s.search("a"), s.search("a -commit:bbbbbb2")
+    assert plain["file_count"] > 0 and without["file_count"] > 0 and "commit_not_indexed" not in without and "resolved" not in without
+    assert s.search("a -commit:1234567")["file_count"] == s.search("a -branch:nowhere")["file_count"] > 0
+    assert commit_mood(parse("a -commit:1234567")) == "none" and commit_mood(parse("commit:1234567 -a")) == "scoped"
+
+
+def test_pages_do_not_lose_twins(spark, corpus):
+    first = corpus.files.where("content IS NOT NULL").orderBy("repo_id", "path", "content_sha", "id").limit(1)
+    twins = corpus.files.unionByName(first.withColumn("id", F.col("id") + 1000)).unionByName(first.withColumn("id", F.col("id") + 2000))
+    c = Corpus(corpus.repos, twins, corpus.symbols, corpus.reference_edges, corpus.repo_branches, corpus.chunks)
+    files = twins.withColumn("x", F.lit(1))
+    ids, cursor = [], None
+    while rows := page(files, 2, cursor).collect():
+        ids += [r["id"] for r in rows]
+        cursor = tuple(rows[-1][k] for k in ("repo_id", "path", "content_sha", "id"))
+    assert sorted(ids) == sorted(r["id"] for r in twins.select("id").collect()) and len(set(ids)) == len(ids)
+    token = encode_cursor(1, "p", "s", 7)
+    assert decode_cursor(token) == (1, "p", "s", 7)
+    # a first file beyond the byte cap ends the pages instead of handing the same cursor back
+    capped = Service(spark, c, Limits(content_bytes=1))
+    out = capped.search("a", limit=2, cursor=encode_cursor(0, "", ""), paged=True)
+    assert out["truncation_reason"] == "byte_cap" and out["next_cursor"] is None
+
+
+def test_files_given_up_are_named(spark, corpus):
+    from sourcelume.operators.grep import Matchers, highlight
+
+    text = "aab" * 4000
+    files = spark.createDataFrame([(1, 1, "r", "p", "s", "go", ["main"], text)], "id int, repo_id int, repo_name string, path string, content_sha string, lang string, branches array<string>, content string")
+    rows = highlight(files, Matchers.of(parse("/a+b/")), 1e-9).collect()
+    assert [(r["id"], r["line"], r["byte_ranges"]) for r in rows] == [(1, None, None)]
+
+
 def test_plans(spark, corpus, tmp_path):
     """What a plan must show: pruned columns, pushed filters, dimensions broadcast only while they are small."""
     from sourcelume.session import broadcast_if_small
