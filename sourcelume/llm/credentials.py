@@ -5,7 +5,8 @@ headers and key blocks. A value is a credential by its form (a private key, a si
 data in a URL or header) or by its name together with its form (``db_pass = "..."``). Literals are decoded layer by layer
 (escapes, percent, base64, hex; each encoded run inside a value, too, its lines joined if it is wrapped), key containers are
 told from other data by their binary grammar (DER, OpenSSH), and what comes out is searched like the text outside; a hit
-inside masks the literal that encloses it, or the run where it stands unquoted.
+inside masks the literal that encloses it, or the run where it stands unquoted. Layers end where nothing decodes any more:
+each is shorter than the one around it, and a string met again is not decoded again.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from urllib.parse import unquote
 
@@ -42,6 +43,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _PLAIN = re.compile(r"[a-z]+(?:[-_./: ][a-z]+)*$|[A-Z]+(?:[-_ ][A-Z]+)*$|[-+]?[0-9.,:_]+$|true$|false$|/[\w./-]*$|[a-z][\w-]*(?:\.[\w-]+)+(?::\d+)?(?:/[\w./-]*)?$|[a-z]+://[^@\s]*$|[A-Z][a-z]+$|[a-z]+[\[(].*", re.S)
 
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+PUTTY = re.compile(r"(PuTTY-User-Key-File-\d:(?:[^\n]*\n)+?Private-Lines:[ \t]*\d+[ \t]*\r?\n)((?:[A-Za-z0-9+/=]+[ \t]*(?:\r?\n|$))+)")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Published forms of keys and tokens that need no name.
 FORMS = re.compile(
@@ -52,9 +54,8 @@ FORMS = re.compile(
 URL = re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://([^\s:/@\"'`<>]*):([^\s@\"'`<>]{3,}?)@(?=[\w\[-])")
 HEADER = re.compile(r"\b(Bearer|Basic|Token)\s+([^\s\"'`,;)<>]{8,})")
 _LITERAL = re.compile(r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`")
-_GLUE = re.compile(r"[ \t]*(?:\+|\.\.|\.|\\)?[ \t]*$")
 _BARE = re.compile(r"[:=]>?[ \t]*(?=([^\s\"'`(){}\[\],<>=]{5,}[^\s\"'`(){}\[\],<>]*))")
-_BOUND = re.compile(r"([A-Za-z_][\w.-]*)[\"']?[ \t]*:?$")
+_NAME = re.compile(r"[A-Za-z_][\w.-]*")
 _CALL = re.compile(r"(?:login|log_in|sign_?in|auth\w*|dial|connect|credentials?|basic_?auth)\w*[^\n\w\"'`]*(?:\([^()\n]*\)[ \t]*=[ \t]*)?\(?[^()\n]*[\"'`][^\"'`\n]*[\"'`][ \t]*,[ \t]*$", re.I)
 _PROSE = re.compile(r"\b(?:log(?:ged)? ?in|sign(?:ed)? ?in|password|passphrase|passwd|credentials?|secret|token|api key|access key)\b[^`\"'\n]{0,60}\b(?:with|is|was|using|to|as)\b[ \t:]*$", re.I)
 _USER = re.compile(r"\s(?:-u|--user)[ =]+[\"']?([^\s:\"']+):([^\s\"'`]{4,})")
@@ -68,6 +69,24 @@ _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+(?:[ \t]*\r?\n[
 _LINE_RUN = re.compile(r"(?:^|(?<=\n))[ \t]*(?:(?:#|//|\*|;|>)[ \t]+)?([A-Za-z0-9+/_-]++={0,2})")
 
 
+class _Memo:
+    """A function of a text with its results so far, forgotten as a whole beyond ``room`` characters (no result depends on it)."""
+
+    def __init__(self, f: Callable, room: int = 16_000_000):
+        self.f, self.room, self.held = f, room, 0
+        self.seen: dict = {}
+
+    def __call__(self, text: str):
+        if text in self.seen:
+            return self.seen[text]
+        out = self.f(text)
+        if self.held > self.room:
+            self.seen, self.held = {}, 0
+        self.held += len(text) + 100
+        self.seen[text] = out
+        return out
+
+
 def _entropy_like(v: str) -> bool:
     """Random-looking or password-shaped: of at least two character classes beyond lower-case words."""
     if len(v) < 6:
@@ -88,8 +107,13 @@ def secret_value(v: str) -> bool:
     return _url_secret(u.group(2)) if u else _entropy_like(v)
 
 
+#: Object identifiers (their octets) of password-based encryption and of PKCS#7 data.
+PKCS5, PKCS12_PBE, PKCS7 = bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"), bytes.fromhex("2a864886f70d0107")
+
+
 def is_private_der(raw: bytes) -> bool:
-    """A private key by its binary grammar: PKCS#1, PKCS#8 or SEC1 in DER, or an OpenSSH container; public keys are not."""
+    """A private key by its binary grammar: PKCS#1, PKCS#8 (encrypted, too), PKCS#12, DSA or SEC1 in DER, or an OpenSSH
+    container; public keys are not."""
     if raw.startswith(b"openssh-key-v1\0"):
         return True
 
@@ -104,24 +128,36 @@ def is_private_der(raw: bytes) -> bool:
             n, at = int.from_bytes(raw[at : at + k], "big"), at + k
         return (tag, at, at + n) if at + n <= len(raw) else None
 
+    def items(at: int, end: int) -> list[tuple[int, int, int]] | None:
+        out = []
+        while at < end:
+            x = item(at)
+            if not x or x[2] > end:
+                return None
+            out.append(x)
+            at = x[2]
+        return out
+
     top = item(0)
     if not top or top[0] != 0x30:
         return False
-    tags, at = [], top[1]
-    while at < top[2] and len(tags) < 10:
-        x = item(at)
-        if not x:
-            return False
-        tags.append((x[0], raw[x[1] : x[2]]))
-        at = x[2]
-    kinds = [t for t, _ in tags]
-    if kinds[:1] != [0x02] or len(tags[0][1]) != 1:
+    parts = items(top[1], top[2])
+    if not parts:
         return False
-    version = tags[0][1][0]
+    kinds = [k for k, _, _ in parts]
+    if kinds == [0x30, 0x04]:  # encrypted: an algorithm, then the key as octets
+        inner = items(parts[0][1], parts[0][2])
+        oid = raw[inner[0][1] : inner[0][2]] if inner and inner[0][0] == 0x06 else b""
+        return oid.startswith((PKCS5, PKCS12_PBE))
+    if kinds[0] != 0x02 or parts[0][2] - parts[0][1] != 1:
+        return False
+    version = raw[parts[0][1]]
     pkcs1 = version in (0, 1) and len(kinds) >= 9 and all(k == 0x02 for k in kinds[:9])
+    dsa = version == 0 and kinds == [0x02] * 6
     pkcs8 = version in (0, 1) and kinds[1:3] == [0x30, 0x04]
     sec1 = version == 1 and kinds[1:2] == [0x04]
-    return pkcs1 or pkcs8 or sec1
+    pkcs12 = version == 3 and kinds[1:2] == [0x30] and PKCS7 in raw[parts[1][1] : parts[1][1] + 16]
+    return pkcs1 or dsa or pkcs8 or sec1 or pkcs12
 
 
 def _unescape(v: str) -> str:
@@ -151,21 +187,25 @@ def _runs(v: str) -> Iterator[list[tuple[int, int]]]:
             i = j
     for m in _RUN.finditer(v):
         run, at = m.group(), m.start()
-        for a, b in _telling(run) if len(run) < 256 else _telling.__wrapped__(run):
+        for a, b in _telling(run):
             yield [(at + a, at + b)]
 
 
-@lru_cache(maxsize=100_000)
+@_Memo
 def _telling(run: str) -> tuple[tuple[int, int], ...]:
     """Spans of ``run`` and of its parts that decode to text or to a key container; of most names there are none."""
     spans = dict.fromkeys([(0, len(run)), *(k.span() for part in _PARTS for k in part.finditer(run)), *(k.span() for k in _HEX_RUN.finditer(run))])
     return tuple((a, b) for a, b in spans if any(len(text) >= 6 if text is not None else is_private_der(raw) for text, raw in _decoded(run[a:b])))
 
 
+_ESCAPED_PERCENT = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")
+
+
 def _unquoted(v: str) -> Iterator[tuple[str | None, bytes]]:
     if "\\" in v and (u := _unescape(v)) != v:
         yield u, u.encode("utf-8", "replace")
-    if "%" in v and (u := unquote(v)) != v:
+    # a percent sign that was escaped many times over is one layer
+    if "%" in v and (u := unquote(_ESCAPED_PERCENT.sub("%", v))) != v:
         yield u, u.encode("utf-8", "replace")
 
 
@@ -201,13 +241,9 @@ def _text(raw: bytes) -> str | None:
     return t if t and sum(c.isprintable() or c in "\r\n\t" for c in t) == len(t) else None
 
 
-def by_form(v: str, depth: int = 4) -> str | None:
-    """The kind of credential that ``v`` is or encodes, whatever its name; None if none. Only short values are remembered."""
-    return _by_form(v, depth) if len(v) < 4096 else _by_form.__wrapped__(v, depth)
-
-
-@lru_cache(maxsize=20_000)
-def _by_form(v: str, depth: int) -> str | None:
+@_Memo
+def by_form(v: str) -> str | None:
+    """The kind of credential that ``v`` is or encodes, whatever its name; None if none."""
     if (p := PRIVATE.search(v)) and not _masked(v[p.end() :]):
         return "private_key"
     if (m := FORMS.search(v)) and not _PLACEHOLDER.search(v):
@@ -218,30 +254,32 @@ def _by_form(v: str, depth: int) -> str | None:
     m = HEADER.search(v)
     if m and _header_secret(m.group(1), m.group(2)):
         return "header"
-    if depth:
-        for text, raw in layers(v):
-            if k := _hidden(text, raw, depth):
-                return k
+    for text, raw in layers(v):
+        if k := _hidden(text, raw):
+            return k
     return None
 
 
-def _hidden(text: str | None, raw: bytes, depth: int) -> str | None:
+def _hidden(text: str | None, raw: bytes) -> str | None:
     """The kind of credential in what a layer hides, searched like a text of its own."""
     if text is None:
         return "encoded_private_key" if is_private_der(raw) else None
-    if len(text) < 6:
-        return None
-    k = by_form(text, depth - 1) or _named_inside(text) or next((h.kind for h in find(text, depth - 1)), None)
+    return _inside(text) if len(text) >= 6 else None
+
+
+@_Memo
+def _inside(text: str) -> str | None:
+    k = by_form(text) or _named_inside(text) or next((h.kind for h in find(text)), None)
     return "encoded_" + k.removeprefix("encoded_") if k else None
 
 
-def _encoded_run(s: str, depth: int) -> str | None:
-    return _short_run(s, depth) if len(s) < 4096 else _short_run.__wrapped__(s, depth)
+@_Memo
+def _encoded_run(s: str) -> str | None:
+    return next((k for text, raw in _decoded(s) if (k := _hidden(text, raw))), None)
 
 
-@lru_cache(maxsize=50_000)
-def _short_run(s: str, depth: int) -> str | None:
-    return next((k for text, raw in _decoded(s) if (k := _hidden(text, raw, depth))), None)
+_BOUND_TO = re.compile(r"[\"']?([A-Za-z_][\w.\-]*)[\"']?(?:\s*\|\||\s*\?\?|\s+or\b)?\s*(?::\s*[^=:]*)?(?:=|:|:=|=>|\|\||\?\?|\bor\b)\s*(?:[bfru&]|str\()?\s*$")
+_ARGUMENT_OF = re.compile(r"([A-Za-z_][\w.\-]*)\s*(?::\s*[^=]*)?(?::=|=|:)\s*[\w.&*]*\(?\s*$")
 
 
 def _masked(body: str) -> bool:
@@ -253,8 +291,9 @@ def _named_inside(text: str) -> str | None:
     for m in _BARE.finditer(text):
         if secret_value(m.group(1)) and name_is_secret(_bound(text, m.start())):
             return "named"
+    marks = Marks(text)
     for m in _LITERAL.finditer(text):
-        if name_is_secret(_name_before(text, m.start())) and secret_value(m.group()[1:-1]):
+        if secret_value(m.group()[1:-1]) and name_is_secret(marks.name_before(m.start())):
             return "named"
     return None
 
@@ -271,7 +310,7 @@ def _header_secret(scheme: str, v: str) -> bool:
             if text and ":" in text and not _PLACEHOLDER.search(text.split(":", 1)[1]):
                 return True
         return False
-    return secret_value(v) or by_form(v, 1) is not None
+    return secret_value(v) or by_form(v) is not None
 
 
 def name_is_secret(name: str) -> bool:
@@ -283,33 +322,77 @@ def name_is_secret(name: str) -> bool:
     return not (tail and tail.start() > SECRET_NAME.search(words).start())
 
 
-def _name_before(text: str, at: int) -> str:
-    """The name a literal is bound to: the last one before it, after the nearest separator."""
-    line = text[max(text.rfind("\n", 0, at) + 1, at - 200) : at]
-    part = re.split(r"[,;({]", line)[-1]
-    m = re.findall(r"[\"']?([A-Za-z_][\w.\-]*)[\"']?(?:\s*\|\||\s*\?\?|\s+or\b)?\s*(?::\s*[^=:]*)?(?:=|:|:=|=>|\|\||\?\?|\bor\b)\s*(?:[bfru&]|str\()?\s*$", part)
-    if m:
-        return m[-1]
-    m = re.search(r"([A-Za-z_][\w.\-]*)\s*(?::\s*[^=]*)?(?::=|=|:)\s*[\w.&*]*\(?\s*$", line)
-    return m.group(1) if m else ""
-
-
-def find(text: str, depth: int = 4) -> list[Hit]:
-    """Every credential of ``text``, under ``depth`` layers of encoding at most, with its line (from 1) and the span to mask, in
+class Marks:
+    """Where lines, statements and arguments of a text begin, so that what stands before a place is found without reading
+    back through a line, however long it is."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lines = [m.start() for m in re.finditer("\n", text)]
+        self._parts: list[int] | None = None
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.lines, at) + 1
+
+    def line_start(self, at: int) -> int:
+        k = bisect_left(self.lines, at)
+        return self.lines[k - 1] + 1 if k else 0
+
+    def _split(self) -> None:
+        if self._parts is None:
+            found = [(m.start(), m.group()) for m in re.finditer(r"[\n,;({]", self.text)]
+            self._parts = [i for i, _ in found]
+            self._calls = [i for i, c in found if c != ","]
+
+    def part_start(self, at: int) -> int:
+        """The begin of the argument or statement that ``at`` stands in."""
+        self._split()
+        k = bisect_left(self._parts, at)
+        return self._parts[k - 1] + 1 if k else 0
+
+    def call_start(self, at: int) -> int:
+        """The begin of the statement, or of the call with its name, whose few arguments ``at`` is one of."""
+        self._split()
+        k = bisect_left(self._calls, at)
+        start = self._calls[k - 1] if k else -1
+        if bisect_left(self._parts, at) - bisect_right(self._parts, start) > 4:
+            return at
+        # the bracket of the call, and one of a type between it and the name
+        for j in range(k - 1, max(k - 3, -1), -1):
+            if self.text[start] != "(":
+                break
+            start = self._calls[j - 1] if j else -1
+            if start < 0:
+                break
+        return start + 1
+
+    def name_before(self, at: int) -> str:
+        """The name a literal is bound to: the last one before it, after the nearest separator."""
+        m = _BOUND_TO.findall(self.text[self.part_start(at) : at])
+        if m:
+            return m[-1]
+        m = _ARGUMENT_OF.search(self.text[self.call_start(at) : at])
+        return m.group(1) if m else ""
+
+
+def find(text: str) -> list[Hit]:
+    """Every credential of ``text``, under any number of layers of encoding, with its line (from 1) and the span to mask, in
     order; spans do not overlap."""
     out: list[Hit] = []
-    covered: list[tuple[int, int]] = []
-
-    def line(at: int) -> int:
-        return text.count("\n", 0, at) + 1
+    starts: list[int] = []  # of the spans to mask, in order, and their ends
+    ends: list[int] = []
+    marks = Marks(text)
 
     def free(s: int, e: int) -> bool:
-        return all(e <= a or s >= b for a, b in covered)
+        k = bisect_left(starts, e)
+        return not k or ends[k - 1] <= s
 
     def add(at: int, kind: str, s: int, e: int) -> None:
         if s < e and free(s, e):
-            covered.append((s, e))
-            out.append(Hit(line(at), kind, s, e))
+            k = bisect_left(starts, s)
+            starts.insert(k, s)
+            ends.insert(k, e)
+            out.append(Hit(marks.line(at), kind, s, e))
 
     for m in PRIVATE.finditer(text):
         end = PRIVATE_END.search(text, m.end())
@@ -318,13 +401,16 @@ def find(text: str, depth: int = 4) -> list[Hit]:
         if _masked(text[m.end() : stop]):
             continue
         add(m.start(), "private_key", m.end(), max(stop, m.end() + 1) if stop > m.end() else min(len(text), m.end() + 1))
+    for m in PUTTY.finditer(text):
+        if not _masked(m.group(2)):
+            add(m.start(), "private_key", *m.span(2))
     lits = [m for m in _LITERAL.finditer(text)]
     i = 0
     while i < len(lits):
         m = lits[i]
         q = 3 if m.group()[:3] in ('"""', "'''") else 1
         pieces = [(m.start() + q, m.end() - q)]
-        while i + 1 < len(lits) and lits[i + 1].group()[:1] in "\"'`" and "\n" not in (gap := text[lits[i].end() : lits[i + 1].start()]) and len(gap) < 8 and re.fullmatch(r"[ \t]*[+.]?[ \t]*", gap) and (gap.strip() or text[lits[i].end() - 1] != ":"):
+        while i + 1 < len(lits) and lits[i + 1].group()[:1] in "\"'`" and "\n" not in (gap := text[lits[i].end() : lits[i + 1].start()]) and re.fullmatch(r"[ \t]*[+.]?[ \t]*", gap) and (gap.strip() or text[lits[i].end() - 1] != ":"):
             i += 1
             k = lits[i]
             pieces.append((k.start() + 1, k.end() - 1))
@@ -332,15 +418,14 @@ def find(text: str, depth: int = 4) -> list[Hit]:
         v = "".join(text[a:b] for a, b in pieces)
         if len(v) < 6:
             continue
-        kind = by_form(v, depth)
+        kind = by_form(v)
         if kind is None and secret_value(v):
-            name = _name_before(text, m.start())
-            start = text.rfind("\n", 0, m.start()) + 1
+            name = marks.name_before(m.start())
             if name_is_secret(name):
                 kind = "named"
-            elif _PROSE.search(text, max(start, m.start() - 160), m.start()):
+            elif _PROSE.search(text, max(marks.line_start(m.start()), m.start() - 160), m.start()):
                 kind = "prose"
-            elif not _HASH_NAME.search(name) and _CALL.search(text, max(start, m.start() - 200), m.start()):
+            elif not _HASH_NAME.search(name) and _CALL.search(text, marks.call_start(m.start()), m.start()):
                 kind = "login"
         if kind:
             if kind == "url" and len(pieces) == 1:
@@ -352,7 +437,7 @@ def find(text: str, depth: int = 4) -> list[Hit]:
                 hit_line_at = m.start()
                 if kind.startswith("encoded_") and "\n" in v:
                     inside_of = ([(a + m.start(), b + m.start()) for a, b in r] for r in _runs(m.group()))
-                    hit_line_at = next((r[0][0] for r in inside_of if _encoded_run("".join(text[a:b] for a, b in r), depth)), m.start())
+                    hit_line_at = next((r[0][0] for r in inside_of if _encoded_run("".join(text[a:b] for a, b in r))), m.start())
                 if kind == "private_key":
                     p = PRIVATE.search(text, pieces[0][0], pieces[-1][1])
                     hit_line_at = p.start() if p else hit_line_at
@@ -384,8 +469,8 @@ def find(text: str, depth: int = 4) -> list[Hit]:
     for m in _USER.finditer(text):
         if secret_value(m.group(2)):
             add(m.start(2), "login", *m.span(2))
-    for spans in _runs(text) if depth else ():
-        if not quoted(spans[0][0]) and (k := _encoded_run("".join(text[a:b] for a, b in spans), depth)):
+    for spans in _runs(text):
+        if not quoted(spans[0][0]) and (k := _encoded_run("".join(text[a:b] for a, b in spans))):
             for a, b in spans:
                 add(spans[0][0], k, a, b)
     for m in _BARE.finditer(text):
@@ -394,15 +479,21 @@ def find(text: str, depth: int = 4) -> list[Hit]:
             continue
         if secret_value(v) and not re.search(r"[\w\])]\(|\)$|=>|&&|\|\||->", v) and _bare_ok(v) and name_is_secret(_bound(text, m.start())):
             add(m.start(1), "named", m.start(1), m.start(1) + len(v))
-        elif len(v) >= 12 and (k := by_form(v, depth)) and not _HASH_NAME.search(_bound(text, m.start())):
+        elif len(v) >= 12 and (k := by_form(v)) and not _HASH_NAME.search(_bound(text, m.start())):
             add(m.start(1), k, m.start(1), m.start(1) + len(v))
     return sorted(out, key=lambda h: h.start)
 
 
 def _bound(text: str, at: int) -> str:
     """The name before an assignment sign."""
-    m = _BOUND.search(text[max(text.rfind("\n", 0, at) + 1, at - 80) : at].rstrip(" \t=:>"))
-    return m.group(1) if m else ""
+    while at and text[at - 1] in " \t=:>":
+        at -= 1
+    end = at - (at > 0 and text[at - 1] in "\"'")
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+        start -= 1
+    m = _NAME.search(text, start, end)
+    return m.group() if m else ""
 
 
 def _bare_ok(v: str) -> bool:
