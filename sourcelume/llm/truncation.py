@@ -2,10 +2,10 @@
 
 No labels exist, so positives are made: intact texts of the corpus are cut, at their source's field limit or anywhere,
 and sometimes given a cut mark; cuts that happen to end a sentence are not used. A logistic regression over hashed features
-of the text's end (closing characters, punctuation, open brackets and code blocks, the last words and how common they are,
-the shape of the last line, length relative to the limit) learns to tell them from the texts as they are. Texts that the
-first fit finds cut leave the negatives and it is fitted again. Every text is then scored; the share of cut texts, which
-differs from that in training, is estimated from the scores themselves and moves the threshold.
+of the text's end (closing characters, punctuation, open brackets and code blocks, the last words, what they usually lead
+to, the shape of the last line, length relative to the limit) learns to tell them from the texts as they are. Texts that a
+fit finds cut which has not seen them leave the negatives and it is fitted again. Every text is then scored; the share of
+cut texts, which differs from that in training, is estimated from the scores of all of them and moves the threshold.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-BITS = 18
+from ..session import cut_lineage, partitions
+from .counting import summed_cells
+
+BITS, FOLDS = 18, 3
 VOCAB_BITS = 20
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: Marks that are put where a text was cut.
@@ -42,13 +44,17 @@ _KIND = (
 )
 
 
-class Model(NamedTuple):
-    weights: np.ndarray
-    shift: float
+_hashes: dict[str, int] = {}
 
 
 def _h(s: str) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+    """The cell of a feature. Most features come again and again, so hashes are remembered, up to a number."""
+    h = _hashes.get(s)
+    if h is None:
+        if len(_hashes) > 300_000:
+            _hashes.clear()
+        h = _hashes[s] = zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+    return h
 
 
 def word_cell(w: str) -> int:
@@ -105,16 +111,15 @@ def features(text: str, source: str | None, limits: list[int], counts: np.ndarra
     before = body[i] if i >= 0 else ""
     closed = end in TERMINAL or (end in CLOSERS and before in TERMINAL)
     tail = _cat(end)
-    words = WORD.findall(last[-200:])
-    w1 = words[-1] if words else ""
-    w2 = words[-2] if len(words) > 1 else ""
+    words = WORD.findall(" ".join(last.rsplit(None, 4)[-4:]))
+    w1, w2, w3 = (words[-k] if len(words) >= k else "" for k in (1, 2, 3))
     ends_in_word = bool(w1) and last.endswith(w1)
     common = int(counts[word_cell(w1)]) if w1 else 0
     freq = str(min(6, int(np.log2(common + 1)))) if w1 else "none"
     # the sentence under way
     cut = max((body.rfind(t) for t in (". ", "! ", "? ", ".\n", "!\n", "?\n", "。", "！", "？", "\n\n")), default=-1)
     sentence = body[cut + 1 :].strip()
-    n_words = len(WORD.findall(sentence[:4000]))
+    n_words = len(WORD.findall(sentence))
     ticks, quotes = last.count("`") % 2, last.count('"') % 2
     depth = sum(sentence.count(a) - sentence.count(b) for a, b in ("()", "[]", "{}", "「」", "（）"))
     single = len(lines) == 1
@@ -127,7 +132,7 @@ def features(text: str, source: str | None, limits: list[int], counts: np.ndarra
     if not closed:
         state = f"{kind} {ends_in_word}"
         out += [
-            f"w1 {w1.lower()} {ends_in_word}", f"w1 {w1.lower()} {kind}", f"w2 {w2.lower()} {kind} {ends_in_word}", f"w12 {w2.lower()} {freq}", f"freq {freq} {state}", f"freq {freq} {src} {state}", f"suf1 {w1[-1:]} {freq} {ends_in_word}", f"suf2 {w1[-2:].lower()} {ends_in_word}",
+            f"w1 {w1.lower()} {ends_in_word}", f"w1 {w1.lower()} {kind}", f"w2 {w2.lower()} {kind} {ends_in_word}", f"w12 {w2.lower()} {freq}", f"w21 {w2.lower()} {w1.lower()}", f"w32 {w3.lower()} {w2.lower()} {state}", f"w31 {w3.lower()} {w1.lower()}", f"w321 {w3.lower()} {w2.lower()} {w1.lower()}", f"freq {freq} {state}", f"freq {freq} {src} {state}", f"suf1 {w1[-1:]} {freq} {ends_in_word}", f"suf2 {w1[-2:].lower()} {ends_in_word}",
             f"suf3 {w1[-3:].lower()} {kind}", f"wl {min(len(w1), 12)} {freq} {state}", f"cap {w1[:1].isupper()} {state}", f"open {ticks} {quotes} {depth > 0} {kind}",
             f"head {' '.join(last.split()[:2])[:24].lower()} {kind}", f"lines {min(len(lines), 6)} {src} {kind}", f"empty {not last.strip()}", f"end {body[-2:]}", f"end3 {body[-3:]} {kind}",
             f"shape {re.sub(r'[a-z]+', 'a', re.sub(r'[A-Z]+', 'A', re.sub(r'[0-9]+', '0', last[-24:])))[-6:]} {kind}",
@@ -154,158 +159,190 @@ def make_cut(text: str, limits: list[int], rng: np.random.Generator) -> tuple[st
     return None
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(1 << VOCAB_BITS, np.int64)
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """For each batch the cells of the words of its texts, each text counting once; the last word may be a cut one."""
+    known: dict[str, int] = {}
     for b in batches:
+        found: list[int] = []
         for t in b.column(0).to_pylist():
-            # the last word of a line may be a cut one
-            cells = {word_cell(w) for x in t.split("\n") for w in WORD.findall(x)[:-1]}
-            np.add.at(table, list(cells), 1)
-    for k in range(0, len(table), 8192):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([table[k : k + 8192].astype(np.int32).tobytes()], pa.binary())], names=["k", "c"])
-
-
-def _add(parts: pa.Table) -> pa.Table:
-    total = np.zeros(8192, np.int64)
-    for c in parts.column("c").to_pylist():
-        total += np.frombuffer(c, np.int32)
-    return pa.table({"k": parts.column("k")[:1], "c": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-
-def field_limits(docs: DataFrame, text: str, source: str, least: int = 5, ratio: float = 8.0, shortest: int = 100) -> list[tuple[str | None, int]]:
-    """(source, limit): lengths in characters or bytes that far more texts of a source have than the lengths around."""
+            cells = set()
+            for w in set(WORD.findall(t)[:-1]):
+                c = known.get(w)
+                if c is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    c = known[w] = word_cell(w)
+                cells.add(c)
+            found += cells
+        yield np.array(found, dtype=np.int64)
+
+
+def field_limits(docs: DataFrame, text: str, source: str, least: int = 5, ratio: float = 8.0) -> list[tuple[str | None, int]]:
+    """(source, limit): lengths in characters or bytes that far more different texts of a source have than there are of the
+    lengths around, and than chance makes. A limit is a spike: of the lengths up to 4 beside it two at most have a third of
+    its texts, which tells it from a usual length."""
     t = F.rtrim(F.col(text))
-    sizes = docs.select(source, F.explode(F.array_distinct(F.array(F.length(t), F.octet_length(t)))).alias("n")).groupBy(source, "n").agg(F.count(F.lit(1)).alias("k"))
-    around = W.partitionBy(source).orderBy("n").rangeBetween(-20, 20)
-    peaks = sizes.withColumn("near", (F.sum("k").over(around) - F.col("k")) / 40.0).where((F.col("n") >= shortest) & (F.col("k") >= least) & (F.col("k") >= ratio * F.greatest("near", F.lit(0.25))))
-    best = peaks.withColumn("r", F.row_number().over(W.partitionBy(source).orderBy(F.desc("k"), "n"))).where("r <= 8")
-    return [(r[0], r[1]) for r in best.select(source, "n").collect()]
+    sizes = docs.select(source, F.array_distinct(F.array(F.length(t), F.octet_length(t))).alias("ns"), F.xxhash64(t).alias("h")).distinct()
+    sizes = sizes.select(source, F.explode("ns").alias("n")).groupBy(source, "n").agg(F.count(F.lit(1)).alias("k")).where("n > 0")
+    order = W.partitionBy(source).orderBy("n")
+    near = (F.sum("k").over(order.rangeBetween(-20, 20)) - F.col("k")) / 40.0
+    beside = F.collect_list("k").over(order.rangeBetween(-4, 4))
+    rows = sizes.withColumn("near", near).withColumn("high", F.size(F.filter(beside, lambda x: x * 3 > F.col("k"))))
+    usual = F.greatest("near", F.lit(0.25))
+    peaks = rows.where((F.col("k") >= least) & (F.col("k") >= ratio * usual) & (F.col("k") >= F.col("near") + 3 * F.sqrt(usual)) & (F.col("high") <= 3))
+    return [(r[0], r[1]) for r in peaks.select(source, "n").orderBy(source, "n").collect()]
 
 
 def _examples(shared, seed: int):
-    """Feature rows of sampled texts as they are (label 0) and cut (label 1)."""
+    """Feature rows of sampled texts as they are (label 0) and cut (label 1); ``h`` tells the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits, counts = shared.value
         for b in batches:
             rows, labels, ids = [], [], []
-            for i, t, s in zip(*(b.column(k).to_pylist() for k in range(3))):
-                rng = np.random.default_rng([seed, i & 0x7FFFFFFF])
+            for h, t, s in zip(*(b.column(k).to_pylist() for k in range(3))):
+                rng = np.random.default_rng([seed, h & 0x7FFFFFFFFFFFFFFF])
                 mine = limits.get(s, [])
                 # an intact text may have just the limit's length
                 n = int(mine[int(rng.integers(len(mine)))]) if mine and rng.random() < 0.08 else len(t)
                 real = len(t) in mine or len(t.encode("utf-8", "surrogatepass")) in mine
                 rows.append(features(t, s, mine, counts, n, n) if not real else features(t, s, mine, counts))
                 labels.append(0)
-                ids.append(i)
+                ids.append(h)
                 for _ in range(2):
                     c = make_cut(t, mine, rng)
                     if c:
                         rows.append(features(c[0], s, mine, counts))
                         labels.append(1)
-                        ids.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], names=["id", "label", "x"])
+                        ids.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], names=["h", "label", "x"])
 
     return run
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.15, l2: float = 1e-5, seed: int = 3) -> np.ndarray:
-    """Weights by minibatch AdaGrad; classes count alike."""
+class Rows:
+    """Lists of feature cells, one after the other."""
+
+    def __init__(self, offsets: np.ndarray, cells: np.ndarray):
+        self.starts, self.sizes, self.cells = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64), cells.astype(np.int64)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of ``rows`` and how many each has."""
+        n = self.sizes[rows]
+        at = np.repeat(self.starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.cells[at], n
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.cells], self.starts)
+
+
+def fit_logistic(rows: Rows, which: np.ndarray, labels: np.ndarray, epochs: int = 6, rate: float = 0.15, l2: float = 1e-5, seed: int = 3, batch: int = 128) -> np.ndarray:
+    """Weights by minibatch AdaGrad over the rows ``which``; classes count alike."""
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
-    share = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
-    order = np.arange(len(rows))
+    y = labels[which]
+    share = np.zeros(len(labels))
+    share[which] = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    order = which.copy()
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
-        for k in range(0, len(order), 64):
-            part = order[k : k + 64]
-            sizes = np.array([len(rows[i]) for i in part])
-            idx = np.concatenate([rows[i] for i in part])
-            z = np.add.reduceat(w[idx], np.r_[0, np.cumsum(sizes)[:-1]])
+        for k in range(0, len(order), batch):
+            part = order[k : k + batch]
+            cells, n = rows.take(part)
+            z = np.add.reduceat(w[cells], np.cumsum(n) - n)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) * share[part]
-            at, inv = np.unique(idx, return_inverse=True)
-            grad = np.bincount(inv, np.repeat(err, sizes)) / len(part) + l2 * w[at]
+            at, inv = np.unique(cells, return_inverse=True)
+            grad = np.bincount(inv, np.repeat(err, n)) / len(part) + l2 * w[at]
             g2[at] += grad * grad
             w[at] -= rate * grad / np.sqrt(g2[at])
     return w
 
 
-def prior_shift(scores: np.ndarray, rounds: int = 50) -> float:
-    """The logit of the share of cut texts among ``scores`` (logits of a classifier trained on even classes)."""
+def prior_shift(scores: np.ndarray, weights: np.ndarray | None = None, rounds: int = 50) -> float:
+    """The logit of the share of cut texts among ``scores`` (logits of a classifier trained on even classes), each of which
+    stands for ``weights`` texts."""
     p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
     share = 0.1
     for _ in range(rounds):
         q = share * p / (share * p + (1 - share) * (1 - p))
-        share = float(np.clip(q.mean(), 1e-4, 0.5))
+        share = float(np.clip(np.average(q, weights=weights), 1e-4, 0.5))
     return float(np.log(share / (1 - share)))
 
 
 def train(docs: DataFrame, key: str, text: str, source: str, sample_rows: int = 20_000, seed: int = 11):
-    """(model, limits by source, word counts). The sample is ``sample_rows`` rows at most, chosen by the hash of their key;
-    limits and word counts come from all rows."""
+    """(weights of each fold, limits by source, word counts). The fit uses ``sample_rows`` different texts at most, chosen by hash; limits
+    and word counts come from all rows."""
     spark = docs.sparkSession
     limits: dict[str | None, list[int]] = {}
     for s, n in field_limits(docs, text, source):
         limits.setdefault(s, []).append(n)
-    parts = docs.select(text).mapInArrow(_vocabulary, "k int, c binary").groupBy("k").applyInArrow(_add, "k int, c binary").toArrow()
-    counts = np.zeros(1 << VOCAB_BITS, np.int32)
-    for k, c in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
-        counts[k : k + 8192] = np.frombuffer(c, np.int32)
+    counts = summed_cells(docs.select(text), _vocabulary, VOCAB_BITS)
     shared = spark.sparkContext.broadcast((limits, counts))
-    rows = docs.select(F.col(key).cast("long").alias("id"), text, source)
-    n = rows.count()
-    # hash thresholding keeps the sample bounded without sorting texts; limit is a backstop
-    keep = F.abs(F.xxhash64("id") % 1_000_000) < int(min(1.0, 0.97 * sample_rows / max(1, n)) * 1_000_000) if n > sample_rows else F.lit(True)
-    got = rows.where(keep).limit(sample_rows).mapInArrow(_examples(shared, seed), "id long, label int, x array<int>").toArrow()
+    n = docs.count()
+    rows = docs.select(F.xxhash64(key, text).alias("g"), F.xxhash64(text).alias("h"), text, source)
+    # hash thresholding keeps the sample bounded without sorting texts; the margin is four standard deviations
+    share = 1.0 if n <= sample_rows else (sample_rows - 4 * sample_rows**0.5) / n
+    picked = rows.where(F.pmod(F.col("g"), F.lit(1 << 30)) < int(share * (1 << 30))).drop("g").repartition(partitions(spark), "h").dropDuplicates(["h"])
+    got = picked.mapInArrow(_examples(shared, seed), "h long, label int, x array<int>").toArrow()
     labels = got.column(1).to_numpy()
-    flat = got.column(2).combine_chunks() if got.num_rows else None
-    if flat is None or labels.sum() == 0 or labels.sum() == len(labels):
-        return Model(np.zeros(1 << BITS), 0.0), shared
-    offsets, values = flat.offsets.to_numpy(), flat.flatten().to_numpy()
-    return fit_clean([values[a:b] for a, b in zip(offsets[:-1], offsets[1:])], labels, got.column(0).to_numpy()), shared
-
-
-def fit_clean(x: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, folds: int = 3, rounds: int = 2) -> Model:
-    """A model fitted without the texts that it finds cut itself: each is judged by a fit that has not seen it."""
-    marks = {_h("at at False"), _h("at near False"), _h("mark True True"), _h("mark True False"), _h("fence True")}
-    use = np.array([lab == 1 or not marks & set(r.tolist()) for r, lab in zip(x, labels)])
-    fold = ids % folds
-    shift = 0.0
+    if not got.num_rows or labels.sum() == 0 or labels.sum() == len(labels):
+        return np.zeros((FOLDS, 1 << BITS)), shared
+    flat = got.column(2).combine_chunks()
+    # rows come in no stated order; a fit goes through them in that of their hash
+    order = np.lexsort((np.arange(len(labels)), got.column(0).to_numpy()))
+    cells, sizes = Rows(flat.offsets.to_numpy(), flat.flatten().to_numpy()).take(order)
+    return fit_clean(Rows(np.r_[0, np.cumsum(sizes)], cells), labels[order], got.column(0).to_numpy()[order]), shared
+
+
+#: What makes a text a suspect: its length is at a limit or just past it and nothing closes it, it has a cut mark, or a
+#: block of code is open.
+SUSPECT = ("at at False", "at near False", "mark True True", "mark True False", "fence True")
+
+
+def fit_clean(rows: Rows, labels: np.ndarray, texts: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """Weights (``FOLDS`` x cells), those at ``f`` fitted without the texts of fold ``f``, so that every text can be scored by
+    a fit that has not seen it. After each round the texts that such a fit finds cut are no longer used as intact ones; in
+    the first round suspects are not."""
+    marks = np.isin(rows.cells, [_h(x) for x in SUSPECT])
+    use = (labels == 1) | (np.add.reduceat(marks.astype(np.int64), rows.starts) == 0)
+    fold = texts % FOLDS
+    fits = np.zeros((FOLDS, 1 << BITS))
     for _ in range(rounds):
-        z = np.zeros(len(x))
-        for f in range(folds):
-            rows = np.flatnonzero(use & (fold != f))
-            w = fit_logistic([x[i] for i in rows], labels[rows])
-            for i in np.flatnonzero(fold == f):
-                z[i] = w[x[i]].sum()
-        shift = prior_shift(z[labels == 0])
-        use = (labels == 1) | (z + shift < 0)
-    rows = np.flatnonzero(use)
-    return Model(fit_logistic([x[i] for i in rows], labels[rows]), shift)
-
-
-def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", least: float = 0.25, **options) -> DataFrame:
+        z = np.zeros(len(labels))
+        for f in range(FOLDS):
+            fits[f] = fit_logistic(rows, np.flatnonzero(use & (fold != f)), labels)
+            z[fold == f] = rows.scores(fits[f])[fold == f]
+        use = (labels == 1) | (z + prior_shift(z[labels == 0]) < 0)
+    return fits
+
+
+def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", least: float = 0.15, **options) -> DataFrame:
     """``(key, source, score, cut)`` for every row with a text: ``score`` is the probability that it was cut off
-    and ``cut`` whether that is ``least`` or more (under a half, as a missed cut costs more than a text looked at in vain).
+    and ``cut`` whether that is ``least`` or more (well under a half, as a missed cut costs more than a text looked at in vain).
 
     Null texts are left out; an empty or blank text is never cut. Rows that repeat a key come out as often as they came in.
     Null sources are one source. With no texts at all the result is empty.
     """
     spark = docs.sparkSession
     docs = docs.where(F.col(text).isNotNull()).select(key, text, source)
-    model, shared = train(docs, key, text, source, **options)
-    sent = spark.sparkContext.broadcast(model)
+    weights, shared = train(docs, key, text, source, **options)
+    sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits, counts = shared.value
-        w, shift = sent.value
+        w = sent.value
         for b in batches:
-            z = np.array([w[features(t, s, limits.get(s, []), counts)].sum() + shift if t.strip() else -30.0 for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], dtype=np.float64)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array(p >= least)], names=["k", "s", "score", "cut"])
+            rows = zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))
+            z = [w[f][features(t, s, limits.get(s, []), counts)].sum() if t.strip() else None for t, s, f in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(z, pa.float64())], names=["k", "s", "z"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    out = docs.mapInArrow(run, f"k {kinds[key]}, s {kinds[source]}, score double, cut boolean")
+    scored = cut_lineage(docs.withColumn("__fold", F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")).mapInArrow(run, f"k {kinds[key]}, s {kinds[source]}, z double"))
+    # the share of cut texts among all of them, from a histogram of their scores
+    bins = scored.where("z IS NOT NULL").groupBy(F.round(F.greatest(F.least("z", F.lit(30.0)), F.lit(-30.0)), 1).alias("z")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    shift = prior_shift(bins.column(0).to_numpy(), bins.column(1).to_numpy()) if bins.num_rows else 0.0
+    p = F.coalesce(1 / (1 + F.exp(-(F.col("z") + shift))), F.lit(0.0))
+    out = scored.select("k", "s", p.alias("score")).withColumn("cut", F.col("score") >= least)
     return out.withColumnsRenamed({"k": key, "s": source})
 
 

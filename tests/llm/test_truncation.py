@@ -1,6 +1,7 @@
 import random
 
-from sourcelume.llm.truncation import make_cut, truncated, truncation_rates
+from sourcelume.llm.counting import summed_cells
+from sourcelume.llm.truncation import field_limits, make_cut, truncated, truncation_rates
 
 SCHEMA = "doc_id long, text string, source string, score string"
 
@@ -55,3 +56,28 @@ def test_cuts_fall_inside_sentences():
         text = "One sentence is here. Another follows it, longer than the first.\n\nEnd of it."
         c = make_cut(text, [30], rng)
         assert c is None or text[: c[1]].rstrip()[-1] != "."
+
+
+def test_limits_of_any_length(spark):
+    """A limit is found however short it is and however many a source has; a usual length is none, nor are copies of a text."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, word(72 if i % 2 else rng.randrange(30, 200)), "short", "") for i in range(600)]
+    rows += [(1000 + i, word(rng.choice([28, 29, 30, 31, 32])), "titles", "") for i in range(500)]
+    limits = [50 + 90 * k for k in range(12)]
+    rows += [(2000 + i, word(rng.choice(limits) if i % 2 else rng.randrange(20, 1300)), "many", "") for i in range(2400)]
+    rows += [(9000 + i, "the same text again and again, posted under many ids", "copies", "") for i in range(300)]
+    got = field_limits(spark.createDataFrame(rows, SCHEMA), "text", "source")
+    assert [n for s, n in got if s == "short"] == [72] and [n for s, n in got if s == "many"] == limits and not [s for s, _ in got if s in ("titles", "copies")]
+
+
+def test_summed_cells(spark):
+    import numpy as np
+
+    def cells(batches):
+        for b in batches:
+            yield b.column(0).to_numpy() % 5000
+
+    got = summed_cells(spark.range(0, 100_000, 1, 7), cells, 13)
+    assert got.shape == (1 << 13,) and (got[:5000] == 20).all() and not got[5000:].any()
+    assert not summed_cells(spark.range(0), cells, 12).any() and np.issubdtype(got.dtype, np.integer)
