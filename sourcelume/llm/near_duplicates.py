@@ -22,11 +22,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
 from ..session import cut_lineage, partitions
+from .components import connected_components
+from .counting import summed_cells
 
-#: Cells of the table of counts that are summed together.
-SEGMENT = 4096
 WORD = re.compile(r"[A-Za-z0-9_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,26 +82,19 @@ def _cells(grams: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _counts(bits: int, n: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, dtype=np.int64)
+    """Cells of the n-grams of ``(text, doc)``. A text counts once a task however many copies of it there are, so that the
+    n-grams of a popular file do not look common; each count is still at least the number of different texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        seen: set[int] = set()
         for b in batches:
-            sets = [s for s in shingle_hashes(b.column(0).to_pylist(), n, least) if s is not None]
-            if sets:
-                table += np.bincount(_cells(np.concatenate(sets) >> np.uint64(24), bits), minlength=1 << bits)
-        small = np.minimum(table, 2**31 - 1).astype(np.int32)
-        for k in range(0, len(small), SEGMENT):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([small[k : k + SEGMENT].tobytes()], pa.binary())], names=["segment", "counts"])
+            texts = [None if d in seen or seen.add(d) else t for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            sets = [x for x in shingle_hashes(texts, n, least) if x is not None]
+            yield _cells(np.concatenate(sets) >> np.uint64(24), bits) if sets else np.zeros(0, np.int64)
 
     return run
 
 
-def _sum_counts(parts: pa.Table) -> pa.Table:
-    total = np.zeros(SEGMENT, np.int64)
-    for c in parts.column("counts").to_pylist():
-        total += np.frombuffer(c, np.int32)
-    return pa.table({"segment": parts.column("segment")[:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-
 def _product_rows(table, bits: int, t: float, extra: float, block: int):
     """The multiplied part of each row, one record an n-gram; those of a hot n-gram are spread over pairs of blocks."""
 
@@ -119,39 +111,43 @@ def _product_rows(table, bits: int, t: float, extra: float, block: int):
                 size = len(grams)
                 head = order[: size - int(np.ceil(t * size - 1e-9)) + 1 + int(extra * size)]
                 grams, c = grams[head], c[head]
-                at = np.arange(len(head), dtype=np.int32)
+                at = np.arange(len(head), dtype=np.int64)
                 k = (c.astype(np.int64) - 1) // block + 1  # blocks of this n-gram
-                if (k == 1).all():
-                    out.append((grams, np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int32), at, np.full(len(grams), doc), np.full(len(grams), size, np.int32)))
+                # one number for size, place and side: rows sort by size
+                packed = (np.int64(size) << np.int64(33)) | (at << np.int64(2))
+                if (k <= 1).all():
+                    out.append((grams.view(np.int64), np.full(len(grams), doc), packed))
                     continue
                 mine = (_mix(np.array([doc], dtype=np.int64).astype(np.uint64)) >> np.uint64(1)).astype(np.int64) % k
                 rep = np.repeat(np.arange(len(grams)), k)
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
                 m = mine[rep]
                 pair = np.minimum(m, other) * (1 << 31) + np.maximum(m, other)
-                out.append((grams[rep], pair, np.where(m == other, 0, np.where(m < other, 1, 2)).astype(np.int32), at[rep], np.full(len(rep), doc), np.full(len(rep), size, np.int32)))
+                # n-gram and pair of blocks as one key; should two of them meet in it, the exact count still tells
+                key = np.where(k[rep] > 1, _mix(grams[rep] ^ _mix((pair + 1).view(np.uint64))), grams[rep]).view(np.int64)
+                out.append((key, np.full(len(rep), doc), packed[rep] | np.where(m == other, 0, np.where(m < other, 1, 2))))
             if out:
-                cols = [np.concatenate(x) for x in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *(pa.array(x) for x in cols[1:3]), pa.array(cols[3]), pa.array(cols[4].astype(np.int64)), pa.array(cols[5])], names=["gram", "pair", "side", "at", "doc", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["key", "doc", "packed"])
 
     return run
 
 
 def _multiply(t: float, rows_at_once: int):
-    """Common n-grams of pairs within one task, from records that the task holds sorted by n-gram and size."""
+    """Common n-grams of pairs within one task, from records that the task holds sorted by key and size."""
 
-    def pairs_of(gram, pair, side, at, doc, size):
-        start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (pair[1:] != pair[:-1])])
-        stop = np.r_[start[1:], len(gram)]
+    def pairs_of(key, doc, packed):
+        size, at, side = packed >> 33, (packed >> 2) & 0x7FFFFFFF, packed & 3
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        stop = np.r_[start[1:], len(key)]
         end_of = np.repeat(stop, stop - start)
         # partners follow in the same run, up to the size that the bound allows
-        far = np.arange(1, len(gram) + 1)
+        far = np.arange(1, len(key) + 1)
         shared = stop - start > 1
         for s, e in zip(start[shared], stop[shared]):
             far[s:e] = s + np.searchsorted(size[s:e], np.floor(size[s:e] / t + 1e-9), side="right")
-        n = np.minimum(far, end_of) - np.arange(len(gram)) - 1
+        n = np.minimum(far, end_of) - np.arange(len(key)) - 1
         i = 0
-        while i < len(gram):
+        while i < len(key):
             j = i + max(1, int(np.searchsorted(np.cumsum(n[i:]), rows_at_once, side="right")))
             a = np.repeat(np.arange(i, j), n[i:j])
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
@@ -167,7 +163,7 @@ def _multiply(t: float, rows_at_once: int):
         return d.groupby(["a", "b", "size_a", "size_b"], sort=False).agg(n=("at_a", "size"), at_a=("at_a", "max"), at_b=("at_b", "max")).reset_index()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "pair", "side", "at", "doc", "size")
+        names = ("key", "doc", "packed")
         rest = None
         found: list[pd.DataFrame] = []
         held = 0
@@ -181,10 +177,11 @@ def _multiply(t: float, rows_at_once: int):
             cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names]
             if rest is not None:
                 cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
-            gram, pair = cols[0], cols[1]
-            if not len(gram):
+            key = cols[0]
+            if not len(key):
                 continue
-            last = int(np.flatnonzero((gram != gram[-1]) | (pair != pair[-1]))[-1]) + 1 if ((gram != gram[-1]) | (pair != pair[-1])).any() else 0
+            other = np.flatnonzero(key != key[-1])
+            last = int(other[-1]) + 1 if len(other) else 0
             rest = [c[last:] for c in cols]
             if last:
                 for d in pairs_of(*(c[:last] for c in cols)):
@@ -223,21 +220,18 @@ def similar_texts(
     ``key`` is a long that is unique in ``docs``, whose texts should be distinct and which should be partitioned by it (see
     ``distinct_texts``): its rows then do not move again. The set of a text holds its distinct runs of ``n`` successive
     words ``[A-Za-z0-9_]+``; texts of fewer than ``least_words`` words, null and empty ones take no part. The table of
-    hashed counts has some 16 cells a text, ``2**max_count_bits`` at most (4 bytes each, broadcast); ``every`` may name the
-    rows to count instead, before copies were taken out, which spares a shuffle. Multiplying a share ``extra`` of each row
+    hashed counts has some 16 cells a text, ``2**max_count_bits`` at most (4 bytes each, broadcast); ``every`` (``text``,
+    ``doc``) may name the rows to count instead, before copies were taken out, which spares a shuffle. Multiplying a share ``extra`` of each row
     beyond what is needed to find every pair sharpens the second bound. No pair is lost, none is capped.
     """
     spark = docs.sparkSession
-    counted = docs.select(text) if every is None else every.select(text)
+    counted = docs.select(text, F.col(key).cast("long").alias("doc")) if every is None else every.select(text, F.col("doc").cast("long").alias("doc"))
     bits = min(max_count_bits, max(12, counted.count().bit_length() + 4))
-    summed = counted.mapInArrow(_counts(bits, n, least_words), "segment int, counts binary").groupBy("segment").applyInArrow(_sum_counts, "segment int, counts binary").toArrow()
-    counts = np.ones(1 << bits, dtype=np.int32)
-    for at, c in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist()):
-        counts[at : at + SEGMENT] = np.frombuffer(c, np.int32)
+    counts = np.maximum(summed_cells(counted, _counts(bits, n, least_words), bits), 1)
     table = spark.sparkContext.broadcast(counts)
     matrix = docs.select(F.col(key).alias("doc"), _grams(n, least_words)(F.col(text)).alias("grams"))
-    rows = matrix.mapInArrow(_product_rows(table, bits, threshold, extra, block), "gram long, pair long, side int, at int, doc long, size int")
-    rows = rows.repartition(partitions(spark), "gram", "pair").sortWithinPartitions("gram", "pair", "size")
+    rows = matrix.mapInArrow(_product_rows(table, bits, threshold, extra, block), "key long, doc long, packed long")
+    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "packed")
     found = rows.mapInArrow(_multiply(threshold, 1 << 20), "a long, b long, size_a int, size_b int, n long, at_a int, at_b int")
     found = found.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) - 1e-9)
@@ -259,16 +253,23 @@ def distinct_texts(files: DataFrame, text: str = "content", sha: str = "content_
     return files.where(F.col(text).isNotNull()).groupBy(F.xxhash64(sha).alias("doc")).agg(F.min(text).alias(text))
 
 
-def duplicate_pairs(files: DataFrame, threshold: float, key: str = "id", text: str = "content", sha: str = "content_sha", **options) -> DataFrame:
-    """Pairs of rows ``(key_a, key_b, similarity)``, key_a < key_b, whose texts differ and are similar.
+def _members(files: DataFrame, key: str, text: str, sha: str) -> DataFrame:
+    return files.where(F.col(text).isNotNull() & F.col(sha).isNotNull()).select(F.xxhash64(sha).alias("doc"), F.col(key).alias("copy")).distinct()
 
-    Texts are compared once each; their pairs are then spread over the copies. Rows with a null text or sha take no part;
-    a row stored twice under one key counts once.
-    """
+
+def duplicate_pairs(files: DataFrame, threshold: float, key: str = "id", text: str = "content", sha: str = "content_sha", **options) -> tuple[DataFrame, DataFrame]:
+    """(pairs of different texts ``a, b, common, similarity``, their members ``doc, copy``): a text is known by the hash of its
+    sha, and ``copy`` is the key of every row that has it. So a text is compared, and a pair stated, once, however many
+    copies there are. Rows with a null text or sha take no part; a row stored twice under one key counts once."""
     files = files.select(key, text, sha).where(F.col(sha).isNotNull())
-    pairs = similar_texts(distinct_texts(files, text, sha), "doc", text, threshold, every=files, **options)
-    member = files.where(F.col(text).isNotNull()).select(F.xxhash64(sha).alias("doc"), F.col(key).alias("copy")).distinct()
-    left, right = (member.select(F.col("doc").alias(d), F.col("copy").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
+    pairs = similar_texts(distinct_texts(files, text, sha), "doc", text, threshold, every=files.select(text, F.xxhash64(sha).alias("doc")), **options)
+    return pairs, _members(files, key, text, sha)
+
+
+def pairs_of_copies(pairs: DataFrame, members: DataFrame, key: str = "id") -> DataFrame:
+    """Pairs of rows ``(key_a, key_b, similarity)``, key_a < key_b: every copy of one text with every copy of the other. For
+    those who need the rows themselves; ``pairs`` with ``members`` says the same in far fewer."""
+    left, right = (members.select(F.col("doc").alias(d), F.col("copy").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
     out = pairs.join(left, "a").join(right, "b")
     return out.select(F.least("ca", "cb").alias(f"{key}_a"), F.greatest("ca", "cb").alias(f"{key}_b"), "similarity")
 
@@ -277,7 +278,7 @@ def duplicate_groups(files: DataFrame, threshold: float, key: str = "id", text:
     """One row a file: ``class_id`` (smallest key of its group of copies and similar texts) and ``links``, the number of
     other distinct texts similar to its own. Rows with a null text form a class of their own."""
     rows = files.select(key, text, sha)
-    pairs = cut_lineage(similar_texts(distinct_texts(rows.where(F.col(sha).isNotNull()), text, sha), "doc", text, threshold, every=rows, **options).select("a", "b"))
+    pairs = cut_lineage(similar_texts(distinct_texts(rows.where(F.col(sha).isNotNull()), text, sha), "doc", text, threshold, every=rows.where(F.col(sha).isNotNull()).select(text, F.xxhash64(sha).alias("doc")), **options).select("a", "b"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
     roots = connected_components(pairs, "a", "b").select(F.col("node").alias("doc"), "component")
     lone = F.col(text).isNull() | F.col(sha).isNull()

@@ -3,7 +3,7 @@ import itertools
 import random
 import re
 
-from sourcelume.llm.near_duplicates import duplicate_groups, duplicate_pairs
+from sourcelume.llm.near_duplicates import duplicate_groups, duplicate_pairs, pairs_of_copies
 
 SCHEMA = "id int, content string, content_sha string, similarity string"
 
@@ -42,7 +42,7 @@ def test_pairs_match_brute_force(spark):
     rows = rows_of(corpus())
     files = spark.createDataFrame(rows + rows[:2], SCHEMA)
     for options in ({}, {"block": 8, "extra": 0.2}):  # small blocks: hot n-grams are spread over pairs of blocks
-        got = {(r["id_a"], r["id_b"]) for r in duplicate_pairs(files, 0.7, **options).collect()}
+        got = {(r["id_a"], r["id_b"]) for r in pairs_of_copies(*duplicate_pairs(files, 0.7, **options)).collect()}
         assert got == brute(rows, 0.7)
 
 
@@ -65,5 +65,23 @@ def test_groups(spark):
 
 
 def test_empty(spark):
-    assert duplicate_pairs(spark.createDataFrame([], SCHEMA), 0.7).count() == 0
+    assert duplicate_pairs(spark.createDataFrame([], SCHEMA), 0.7)[0].count() == 0
     assert duplicate_groups(spark.createDataFrame(rows_of([None, "a"]), SCHEMA), 0.7).count() == 2
+
+
+def test_copies_are_members_not_pairs(spark):
+    """Two similar texts with many copies each make one pair; a text counts once a task however many copies it has."""
+    from sourcelume.llm.near_duplicates import _cells, _counts, shingle_hashes
+    from sourcelume.llm.counting import summed_cells
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    one = " ".join(f"w{i}" for i in range(100))
+    two = one.replace("w50", "changed")
+    rows = rows_of([one] * 400 + [two] * 300 + [" ".join(f"z{i}" for i in range(80))])
+    files = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    pairs, members = duplicate_pairs(files, 0.7)
+    assert pairs.count() == 1 and members.count() == 701 and pairs_of_copies(pairs, members).count() == 120_000
+    got = summed_cells(files.select("content", F.xxhash64("content_sha").alias("doc")), _counts(16, 5, 50), 16)
+    cells = _cells(shingle_hashes([one], 5, 50)[0] >> np.uint64(24), 16)
+    assert got[cells].min() >= 1 and got[cells].max() <= 12
