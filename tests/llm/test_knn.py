@@ -1,6 +1,6 @@
 import numpy as np
 
-from sourcelume.llm.knn import nearest_neighbours, plan_tables
+from sourcelume.llm.knn import _best, nearest_neighbours, plan_tables
 
 SCHEMA = "id long, embedding array<float>, place string"
 
@@ -73,3 +73,43 @@ def test_recall_round_one_centre(spark):
         want = {(i, int(j)) for i in range(len(s)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.8}
         got = {(r["id"], r["neighbour"]) for r in nearest_neighbours(spark.createDataFrame(rows, SCHEMA), dim=128, k=5, least_cosine=0.8).collect()}
         assert len(want) >= 2 * n - 10 and len(got & want) >= 0.97 * len(want), (share, len(got & want), len(want))
+
+
+def test_hot_buckets_are_compared_exactly(spark):
+    """A third of the rows crowd round one centre in a few buckets: the same answers as by brute force."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16))
+    x[:300] = rng.normal(size=16) * 3 + 0.03 * rng.normal(size=(300, 16))
+    x[300:330] = x[0] + 0.5 * rng.normal(size=(30, 16))
+    rows = [(i, [float(e) for e in v], None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 5, 0.8)
+    for hot_rows in (20, 64):
+        got = {(r["id"], r["neighbour"]) for r in nearest_neighbours(df, dim=16, k=5, least_cosine=0.8, hot_rows=hot_rows, group_rows=100).collect()}
+        dense = {p for p in want if p[0] < 300}
+        assert len(got & dense) >= 0.998 * len(dense) and len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_a_crowd_of_equal_codes(spark):
+    """20 000 different vectors of one code, whose pairs would be 200 million: no task lists them."""
+    rng = np.random.default_rng(8)
+    centre = np.r_[np.full(8, 3.0), np.full(8, -2.0)]
+    x = centre + 1e-3 * rng.normal(size=(20_000, 16))
+    df = spark.createDataFrame([(i, [float(e) for e in v], None) for i, v in enumerate(x)], SCHEMA)
+    got = nearest_neighbours(df, dim=16, k=5, least_cosine=0.8).collect()
+    assert len(got) == 100_000 and len({r["id"] for r in got}) == 20_000
+    u = np.array(x, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    by = {}
+    for r in got:
+        by.setdefault(r["id"], set()).add(r["neighbour"])
+    for i in range(0, 20_000, 2_000):
+        s = np.round(u @ u[i], 9)
+        s[i] = -2
+        assert min(s[list(by[i])]) >= np.sort(s)[-5]
+
+
+def test_best():
+    c = np.array([[0.9, 0.9, 0.9, 0.5], [0.1, 0.95, 0.2, 0.85]])
+    r, q = _best(c, 2, 0.8, np.array([7, 3, 5, 1]))
+    assert list(zip(r.tolist(), q.tolist())) == [(0, 1), (0, 2), (1, 1), (1, 3)]
