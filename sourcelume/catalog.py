@@ -13,7 +13,7 @@ from .operators import index as idx, references as ref, trigrams as tri
 from .operators.grep import grep, within_bytes
 from .operators.search import file_lines, get_file, list_repos, merged_files, permalink_branch, resolve_commits
 from .operators.semantic import bm25, fuse, hybrid, leg_rank, nearest, scoped_chunks
-from .operators.symbols import find_symbols
+from .operators.symbols import find_symbols, ordered_symbols
 from .plans.corpus import Corpus, default_branch, has_branch, page, select_files
 from .plans.language import ProseQuery, case_of, parse
 from .sources.listing import choose_branches, choose_repos
@@ -145,13 +145,14 @@ _add("grep_regex_lines", _lines("/[a-z]+Error[(]/"), LINES.format(frm=FROM, wher
 _add("grep_negative_not_shown", _lines("lang:go panic -defer"), LINES.format(frm=FROM, where=f"f.lang = 'go' AND contains(lower(f.content), 'panic') AND NOT contains(lower(f.content), 'defer') AND {ON_DEFAULT}") + " WHERE contains(lower(x), 'panic')")
 
 
-@query(f"""WITH l AS (SELECT id, n, regexp_replace(x, '\\r$', '') AS t FROM (SELECT f.id, unnest(string_split(f.content, chr(10))) AS x, generate_subscripts(string_split(f.content, chr(10)), 1) AS n
+@query(f"""WITH l AS (SELECT id, n, string_split(regexp_replace(x, '\\r$', ''), '、') AS p FROM (SELECT f.id, unnest(string_split(f.content, chr(10))) AS x, generate_subscripts(string_split(f.content, chr(10)), 1) AS n
        {FROM} WHERE contains(f.content, '、') AND {ON_DEFAULT}))
-       SELECT id AS file_id, n AS line, strlen(split_part(t, '、', 1)) AS first_byte FROM l WHERE contains(t, '、')"""
+       SELECT id AS file_id, n AS line, array_to_string(list_transform(range(1, len(p)), lambda i: CAST(strlen(array_to_string(p[1:i], '、')) AS VARCHAR) || '-' || CAST(strlen(array_to_string(p[1:i], '、')) + 3 AS VARCHAR)), ',') AS ranges FROM l WHERE len(p) > 1"""
 )
 def grep_multibyte_ranges(spark, sf):
     found = grep(Corpus.load(spark, sf), "、")
-    return found.select(F.col("id").alias("file_id"), "line", F.col("byte_ranges")[0][0].alias("first_byte"))
+    spans = F.transform("byte_ranges", lambda s: F.concat_ws("-", s[0].cast("string"), s[1].cast("string")))
+    return found.select(F.col("id").alias("file_id"), "line", F.array_join(spans, ",").alias("ranges"))
 
 
 @query(
@@ -182,15 +183,24 @@ _add(
 )
 
 
+@query(SYMBOLS.replace("s.start_line AS start_line", "s.start_line AS start_line, f.content_sha AS content_sha") + " AND contains(lower(s.name), 'e') ORDER BY f.repo_id, f.path, f.content_sha, s.start_line NULLS LAST, s.name, s.id LIMIT 200")
+def symbols_ordered(spark, sf):
+    return ordered_symbols(find_symbols(Corpus.load(spark, sf), "sym:e"), 200).select("symbol_id", "file_id", "repo_id", "path", "name", "kind", "start_line", "content_sha")
+
+
 @query(
     f"""WITH f AS (SELECT f.id, f.content, f.repo_id, f.path, f.content_sha {FROM} WHERE {ON_DEFAULT} AND contains(lower(f.content), 'return') AND {SYM.format('ledger')}),
-    l AS (SELECT id, len(string_split(lower(x), 'return')) - 1 AS n FROM (SELECT id, unnest(string_split(content, chr(10))) AS x FROM f)),
-    s AS (SELECT f.id, 1 AS n FROM symbols s JOIN f ON f.id = s.file_id WHERE contains(lower(s.name), 'ledger'))
-    SELECT id AS file_id, CAST(sum(n) AS BIGINT) AS match_count, count(*) AS rows FROM (SELECT * FROM l WHERE n > 0 UNION ALL SELECT * FROM s) GROUP BY id"""
+    l AS (SELECT id, n, regexp_replace(x, '\\r$', '') AS t FROM (SELECT id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM f)),
+    m AS (SELECT id, n AS line, t, NULL AS symbol, len(string_split(lower(t), 'return')) - 1 AS k FROM l WHERE contains(lower(t), 'return')
+      UNION ALL SELECT f.id, s.start_line, NULL, s.name, 1 FROM symbols s JOIN f ON f.id = s.file_id WHERE contains(lower(s.name), 'ledger'))
+    SELECT id AS file_id, CAST(sum(k) AS BIGINT) AS match_count, count(*) AS rows,
+      string_agg(coalesce(CAST(line AS VARCHAR), '-') || '|' || coalesce(t, '') || '|' || coalesce(symbol, ''), '~' ORDER BY coalesce(line, 2147483647), t NULLS FIRST, symbol NULLS FIRST) AS matches FROM m GROUP BY id"""
 )
 def merged_counts(spark, sf):
     m = merged_files(Corpus.load(spark, sf), "return sym:ledger")
-    return m.select(F.col("id").alias("file_id"), F.col("match_count").cast("long").alias("match_count"), F.size("matches").cast("long").alias("rows"))
+    none = F.lit("")
+    each = F.transform("matches", lambda x: F.concat_ws("|", F.coalesce(x["line"].cast("string"), F.lit("-")), F.coalesce(x["text"], none), F.coalesce(x["symbol"], none)))
+    return m.select(F.col("id").alias("file_id"), F.col("match_count").cast("long").alias("match_count"), F.size("matches").cast("long").alias("rows"), F.array_join(each, "~").alias("matches"))
 
 
 # --- repositories, files, commits -------------------------------------------------------------------------------------
@@ -220,10 +230,9 @@ def file_on_default_branch(spark, sf):
     return get_file(c, repo, path or "").select(F.col("id").alias("file_id"), "path", "repo")
 
 
-@query("SELECT id AS file_id, n AS line, x AS text FROM (SELECT id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM files WHERE lang IS NULL) WHERE n >= 3")
+@query("SELECT id AS file_id, n AS line, x AS text FROM (SELECT id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM files WHERE content IS NOT NULL) WHERE n >= 3")
 def file_lines_from(spark, sf):
-    files = Corpus.load(spark, sf).files.where("lang IS NULL")
-    return file_lines(files, 3).withColumnRenamed("id", "file_id")
+    return file_lines(Corpus.load(spark, sf).files, 3).withColumnRenamed("id", "file_id")
 
 
 @query("SELECT DISTINCT b.repo_id AS repo_id, r.name AS repo, b.branch AS branch, b.last_indexed_commit AS commit FROM repo_branches b JOIN repos r ON r.id = b.repo_id WHERE starts_with(lower(b.last_indexed_commit), 'a') OR starts_with(lower(b.last_indexed_commit), '0')")
@@ -444,33 +453,78 @@ def _stored(c: Corpus) -> DataFrame:
 
 
 @query(
-    f"""WITH {INCOMING}, {STORED} SELECT i.repo_id AS repo_id, i.path AS path, i.content_sha AS content_sha, CASE WHEN s.branches IS NULL THEN 'changed' WHEN list_contains(s.branches, 'main') THEN 'carried' ELSE 'membership' END AS class
-    FROM incoming i LEFT JOIN stored s ON s.repo_id = i.repo_id AND s.path = i.path AND s.content_sha = i.content_sha"""
+    f"""WITH {INCOMING}, {STORED}, v AS (SELECT max(index_semantics_version) AS v FROM repo_branches),
+    g AS (SELECT repo_id, branch, coalesce(index_semantics_version = v.v, false) AS own, bool_and(coalesce(index_semantics_version = v.v, false)) OVER (PARTITION BY repo_id) AS every FROM repo_branches, v)
+    SELECT i.repo_id AS repo_id, i.path AS path, i.content_sha AS content_sha, CASE WHEN s.branches IS NULL OR NOT coalesce(g.own, false) THEN 'changed' WHEN list_contains(s.branches, 'main') THEN 'carried' WHEN g.every THEN 'membership' ELSE 'changed' END AS class
+    FROM incoming i LEFT JOIN stored s ON s.repo_id = i.repo_id AND s.path = i.path AND s.content_sha = i.content_sha LEFT JOIN g ON g.repo_id = i.repo_id AND g.branch = i.branch"""
 )
 def index_classify(spark, sf):
     c = Corpus.load(spark, sf)
-    return idx.classify(_incoming(c), c.files).select("repo_id", "path", "content_sha", "class")
+    version = c.repo_branches.agg(F.max("index_semantics_version")).first()[0]
+    return idx.classify(_incoming(c), c.files, idx.gates(c.repo_branches, version)).select("repo_id", "path", "content_sha", "class")
+
+
+# The delivered row of a key is the last, the stored one the first; a delivered row replaces the attributes.
+FULL = f"""{INCOMING}, {STORED}, inew AS (SELECT * FROM (SELECT repo_id, CASE WHEN lang IS NULL THEN 'moved/' || path ELSE path END AS path, content_sha, lang, size, content, commit,
+   row_number() OVER (PARTITION BY repo_id, CASE WHEN lang IS NULL THEN 'moved/' || path ELSE path END, content_sha ORDER BY id DESC) AS k FROM files WHERE list_contains(branches, 'develop')) WHERE k = 1),
+ sold AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path, content_sha ORDER BY id) AS k FROM files) WHERE k = 1),
+ merged AS (SELECT coalesce(s.repo_id, i.repo_id) AS repo_id, coalesce(s.path, i.path) AS path, coalesce(s.content_sha, i.content_sha) AS content_sha, i.path IS NOT NULL AS delivered,
+  list_sort(list_distinct(list_concat(coalesce(s.branches, []), CASE WHEN i.branch IS NULL THEN [] ELSE [i.branch] END))) AS branches FROM stored s FULL OUTER JOIN incoming i ON s.repo_id = i.repo_id AND s.path = i.path AND s.content_sha = i.content_sha),
+ attrs AS (SELECT m.*, CASE WHEN m.delivered THEN n.lang ELSE o.lang END AS lang, CASE WHEN m.delivered THEN n.size ELSE o.size END AS size, CASE WHEN m.delivered THEN n.commit ELSE o.commit END AS commit, CASE WHEN m.delivered THEN n.content ELSE o.content END AS content, o.id AS old_id
+  FROM merged m LEFT JOIN inew n ON n.repo_id = m.repo_id AND n.path = m.path AND n.content_sha = m.content_sha LEFT JOIN sold o ON o.repo_id = m.repo_id AND o.path = m.path AND o.content_sha = m.content_sha)"""
+ROW = "repo_id, path, content_sha, array_to_string(branches, ',') AS branches, lang, size, commit, content, CAST(old_id AS BIGINT) AS old_id"
 
 
-MERGED = f"""{INCOMING}, {STORED}, merged AS (SELECT coalesce(s.repo_id, i.repo_id) AS repo_id, coalesce(s.path, i.path) AS path, coalesce(s.content_sha, i.content_sha) AS content_sha,
- list_sort(list_distinct(list_concat(coalesce(s.branches, []), CASE WHEN i.branch IS NULL THEN [] ELSE [i.branch] END))) AS branches FROM stored s FULL OUTER JOIN incoming i ON s.repo_id = i.repo_id AND s.path = i.path AND s.content_sha = i.content_sha)"""
+def _rows(files: DataFrame) -> DataFrame:
+    """Full rows; the ids of new ones are hashes, which lie far beyond those of the tables."""
+    old = F.when(F.col("id").between(0, 2**31 - 1), F.col("id"))
+    return files.select("repo_id", "path", "content_sha", F.array_join("branches", ",").alias("branches"), "lang", "size", "commit", "content", old.alias("old_id"))
 
 
-@query(f"WITH {MERGED} SELECT repo_id, path, content_sha, array_to_string(branches, ',') AS branches FROM merged")
+@query(f"WITH {FULL} SELECT {ROW} FROM attrs")
 def index_merge(spark, sf):
     c = Corpus.load(spark, sf)
-    return idx.merge_files(_stored(c), _incoming(c)).select("repo_id", "path", "content_sha", F.array_join("branches", ",").alias("branches"))
+    return _rows(idx.merge_files(_stored(c), _incoming(c)))
 
 
 @query(
-    f"""WITH {MERGED}, swept AS (SELECT m.repo_id, m.path, m.content_sha, CASE WHEN m.repo_id IN (SELECT repo_id FROM incoming) AND i.path IS NULL THEN list_filter(m.branches, lambda b: b <> 'main') ELSE m.branches END AS branches
-    FROM merged m LEFT JOIN incoming i ON i.repo_id = m.repo_id AND i.path = m.path AND i.content_sha = m.content_sha)
-    SELECT repo_id, path, content_sha, array_to_string(branches, ',') AS branches FROM swept WHERE len(branches) > 0"""
+    f"""WITH {FULL}, swept AS (SELECT a.* REPLACE (CASE WHEN a.repo_id IN (SELECT repo_id FROM incoming) AND NOT a.delivered THEN list_filter(a.branches, lambda b: b <> 'main') ELSE a.branches END AS branches) FROM attrs a)
+    SELECT {ROW} FROM swept WHERE len(branches) > 0"""
 )
 def index_sweep(spark, sf):
     c = Corpus.load(spark, sf)
     new = _incoming(c)
-    return idx.sweep(idx.merge_files(_stored(c), new), new).select("repo_id", "path", "content_sha", F.array_join("branches", ",").alias("branches"))
+    stored = _stored(c)
+    return _rows(idx.apply_changes(stored, new, idx.file_changes(stored, new, whole_branches=True)))
+
+
+STAMPED = "SELECT b.repo_id, b.branch, r.last_indexed_commit AS commit, CASE WHEN b.id % 3 = 0 THEN 0 ELSE 5 END AS parsed FROM repo_branches b JOIN repos r ON r.id = b.repo_id WHERE b.branch = coalesce(r.default_branch, 'HEAD')"
+
+
+@query(
+    f"""WITH n AS ({STAMPED} UNION ALL SELECT id, 'new', 'cafe', 1 FROM repos) SELECT coalesce(s.repo_id, n.repo_id) AS repo_id, coalesce(s.branch, n.branch) AS branch, CASE WHEN n.branch IS NOT NULL THEN n.commit ELSE s.last_indexed_commit END AS commit,
+    CAST(CASE WHEN n.parsed > 0 OR s.branch IS NULL THEN 99 ELSE s.index_semantics_version END AS INTEGER) AS version FROM repo_branches s FULL OUTER JOIN n ON n.repo_id = s.repo_id AND n.branch = s.branch"""
+)
+def index_next_stamps(spark, sf):
+    c = Corpus.load(spark, sf)
+    r = c.repos.select(F.col("id").alias("repo_id"), "default_branch", F.col("last_indexed_commit").alias("commit"))
+    n = c.repo_branches.join(r, "repo_id").where(F.col("branch") == default_branch(F.col("default_branch"))).select("repo_id", "branch", "commit", F.when(F.col("id") % 3 == 0, 0).otherwise(5).alias("parsed"))
+    n = n.unionByName(r.select("repo_id", F.lit("new").alias("branch"), F.lit("cafe").alias("commit"), F.lit(1).alias("parsed")))
+    return idx.next_stamps(c.repo_branches, n, 99).select("repo_id", "branch", F.col("last_indexed_commit").alias("commit"), F.col("index_semantics_version").alias("version"))
+
+
+@query("SELECT c.id AS symbol_id, c.file_id AS file_id FROM symbols c WHERE c.file_id NOT IN (SELECT id FROM files WHERE lang = 'go') UNION ALL SELECT -id AS symbol_id, id AS file_id FROM files WHERE lang = 'go' AND content IS NOT NULL")
+def index_children(spark, sf):
+    c = Corpus.load(spark, sf)
+    changed = c.files.where("lang = 'go'")
+    new = changed.where("content IS NOT NULL").select((-F.col("id")).alias("id"), F.col("id").alias("file_id"))
+    return idx.replace_children(c.symbols.select("id", "file_id"), new, changed).select(F.col("id").alias("symbol_id"), "file_id")
+
+
+@query("SELECT f.repo_id AS repo_id, b AS branch, count(*) AS chunks FROM (SELECT id, repo_id, unnest(branches) AS b FROM files) f JOIN chunks c ON c.file_id = f.id GROUP BY 1, 2 HAVING count(*) > 20")
+def index_degraded(spark, sf):
+    c = Corpus.load(spark, sf)
+    return idx.degraded_branches(c.chunks, c.files, 20)
 
 
 NEVER = "SELECT repo_id, branch FROM repo_branches WHERE last_indexed_commit IS NULL"
@@ -544,10 +598,9 @@ def events_by_hour(spark, sf):
     return event_counts(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT gram, count(*) AS files FROM (SELECT DISTINCT id, unnest(list_transform(range(1, length(content) - 1), lambda i: substr(lower(content), i, 3))) AS gram FROM files WHERE length(content) >= 3 AND length(lower(content)) = length(content)) GROUP BY gram")
+@query("SELECT gram, count(*) AS files FROM (SELECT DISTINCT id, unnest(list_transform(range(1, length(lower(content)) - 1), lambda i: substr(lower(content), i, 3))) AS gram FROM files WHERE length(content) >= 3) GROUP BY gram")
 def trigram_table(spark, sf):
-    files = Corpus.load(spark, sf).files.where(F.length(F.lower("content")) == F.length("content"))
-    return tri.build(files).groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
+    return tri.build(Corpus.load(spark, sf).files).groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(f"SELECT {FILE_ROW} {FROM} WHERE contains(lower(f.content), 'sorted(') AND {ON_DEFAULT}")

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import content_sha
+from ..session import broadcast_if_few, broadcast_if_small
 
 KEY = ("repo_id", "path", "content_sha")
 
@@ -32,47 +33,93 @@ def current_repos(stamps: DataFrame, version: int) -> DataFrame:
     return stamps.groupBy("repo_id").agg(F.min(same).alias("current")).where("current").select("repo_id")
 
 
-def classify(incoming: DataFrame, files: DataFrame, current: DataFrame | None = None) -> DataFrame:
-    """``incoming`` with ``class``: ``carried`` (this branch has this content already), ``membership`` (another branch
-    has), ``changed`` (new). Without trusted rules everything is ``changed``: only repositories in ``current`` count."""
-    stored = files.select(*KEY, "branches")
-    if current is not None:
-        stored = stored.join(current, "repo_id", "left_semi")
-    out = incoming.join(stored.groupBy(*KEY).agg(F.flatten(F.collect_list("branches")).alias("__b")), list(KEY), "left")
-    kind = F.when(F.col("__b").isNull(), "changed").when(F.array_contains("__b", F.col("branch")), "carried").otherwise("membership")
-    return out.withColumn("class", kind).drop("__b")
+def gates(stamps: DataFrame, version: int) -> DataFrame:
+    """``(repo_id, branch, own, siblings)`` of stamped branches: whether the branch, and whether every branch of its
+    repository, was indexed with the rules of ``version``."""
+    same = F.coalesce(F.col("index_semantics_version") == version, F.lit(False))
+    every = current_repos(stamps, version).withColumn("siblings", F.lit(True))
+    rows = stamps.groupBy("repo_id", "branch").agg(F.max(same).alias("own")).join(every, "repo_id", "left")
+    return rows.select("repo_id", "branch", "own", F.coalesce("siblings", F.lit(False)).alias("siblings"))
 
 
-def merge_files(files: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored files after an upsert: a delivered row replaces the stored attributes, branches are united and sorted. New
-    rows get an id from their key, which stays the same whatever else is in the run."""
-    new = last_of_each(incoming).groupBy(*KEY).agg(F.max_by(F.struct("lang", "size", "content", "commit"), "ord").alias("new"), F.collect_set("branch").alias("more"))
-    old = files.select(*KEY, "id", F.struct("lang", "size", "content", "commit").alias("old"), "branches")
+def classify(incoming: DataFrame, files: DataFrame, gate: DataFrame | None = None) -> DataFrame:
+    """``incoming`` with ``class``: ``carried`` (this branch has this content already), ``membership`` (another branch
+    has), ``changed`` (new).
+
+    What is stored was extracted by the rules of its time. ``gate`` (see ``gates``) tells what can be trusted: nothing of a
+    branch that is not at the present rules itself; and ``membership``, which relies on what other branches wrote, only
+    where all of them are. What cannot be trusted is ``changed``."""
+    stored = files.groupBy(*KEY).agg(F.flatten(F.collect_list("branches")).alias("__b"))
+    out = incoming.join(stored, list(KEY), "left")
+    own = siblings = F.lit(True)
+    if gate is not None:
+        out = out.join(broadcast_if_small(gate), ["repo_id", "branch"], "left")
+        own, siblings = (F.coalesce(c, F.lit(False)) for c in ("own", "siblings"))
+    kind = F.when(F.col("__b").isNull() | ~own, "changed").when(F.array_contains("__b", F.col("branch")), "carried").when(siblings, "membership").otherwise("changed")
+    return out.select(*incoming.columns, kind.alias("class"))
+
+
+def _no_branches() -> Column:
+    return F.array().cast("array<string>")
+
+
+def file_changes(files: DataFrame, incoming: DataFrame, whole_branches: bool) -> DataFrame:
+    """What a run does to the stored files, without any content: ``id`` (null for a new file), its key, ``new`` (the
+    delivered attributes, null if the row was not delivered) and ``after``, its branches then (empty: to be deleted). Rows
+    that stay as they are are left out.
+
+    ``whole_branches``: every snapshot's branch is taken off the rows it does not hold. A branch without any row in
+    ``incoming`` is not touched, so an empty snapshot deletes nothing.
+    """
+    new = incoming.groupBy(*KEY).agg(
+        F.max_by(F.struct("lang", "size", "commit", F.col("content").isNull().alias("lost"), "ord", "branch"), F.struct("ord", "branch")).alias("new"), F.collect_set("branch").alias("more")
+    )
+    old = files.select(*KEY, F.col("id").cast("long").alias("id"), "branches")
     both = old.join(new, list(KEY), "full_outer")
-    empty = F.array().cast("array<string>")
-    pick = F.coalesce("new", "old")
-    return both.select(
-        F.coalesce(F.col("id").cast("long"), F.xxhash64(*KEY)).alias("id"), "repo_id", "path", *[pick[c].alias(c) for c in ("lang", "size", "content", "commit")], "content_sha",
-        F.array_sort(F.array_union(F.coalesce("branches", empty), F.coalesce("more", empty))).alias("branches"),
+    more = F.coalesce("more", _no_branches())
+    after = F.coalesce("branches", _no_branches())
+    if whole_branches:
+        indexed = incoming.groupBy("repo_id").agg(F.collect_set("branch").alias("__indexed"))
+        both = both.join(broadcast_if_small(indexed), "repo_id", "left")
+        after = F.array_except(after, F.array_except(F.coalesce("__indexed", _no_branches()), more))
+    both = both.withColumn("after", F.array_sort(F.array_union(after, more)))
+    return both.where(F.col("new").isNotNull() | ~F.col("after").eqNullSafe(F.col("branches"))).select("id", *KEY, "new", "after")
+
+
+def apply_changes(files: DataFrame, incoming: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored files after ``changes``: a delivered row replaces the stored attributes, files that no branch carries are
+    gone. New rows get an id from their key, which stays the same whatever else is in the run.
+
+    Contents of stored files are not moved while the changes can be broadcast; of delivered ones only the new are.
+    """
+    old = changes.where("id IS NOT NULL").select("id", "new", "after")
+    rows = files.withColumn("id", F.col("id").cast("long")).join(broadcast_if_few(old), "id", "left")
+    delivered = F.col("new").isNotNull()
+    content = F.when(~delivered, F.col("content")).when(~F.col("new.lost"), F.coalesce("content", F.lit("")))
+    pick = lambda c: F.when(delivered, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
+    kept = rows.where(F.col("after").isNull() | (F.size("after") > 0)).select(
+        "id", "repo_id", "path", pick("lang"), pick("size"), content.alias("content"), pick("commit"), "content_sha", F.coalesce("after", "branches").alias("branches")
     )
+    fresh = changes.where("id IS NULL").select(*KEY, "after", F.col("new.ord").alias("ord"), F.col("new.branch").alias("branch"))
+    rows = incoming.join(broadcast_if_few(fresh), [*KEY, "ord", "branch"]).dropDuplicates(list(KEY))
+    added = rows.select(F.xxhash64(*KEY).alias("id"), "repo_id", "path", "lang", "size", "content", "commit", "content_sha", F.col("after").alias("branches"))
+    return kept.unionByName(added)
+
+
+def merge_files(files: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored files after an upsert: a delivered row replaces the stored attributes, branches are united and sorted."""
+    return apply_changes(files, incoming, file_changes(files, incoming, whole_branches=False))
 
 
 def _without(files: DataFrame, gone: Column) -> DataFrame:
     """Files with the branches ``gone`` taken off; files that no branch carries any more are deleted."""
-    left = files.withColumn("branches", F.array_except("branches", F.coalesce(gone, F.array().cast("array<string>"))))
+    left = files.withColumn("branches", F.array_except("branches", F.coalesce(gone, _no_branches())))
     return left.where(F.size("branches") > 0)
 
 
 def sweep(files: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Files after every snapshot's branch was taken off the rows it does not hold. A branch without any row in
-    ``incoming`` is not touched, so an empty snapshot deletes nothing."""
-    seen = incoming.select(*KEY, "branch").distinct()
-    indexed = seen.groupBy("repo_id").agg(F.collect_set("branch").alias("__indexed"))
-    kept = seen.groupBy(*KEY).agg(F.collect_set("branch").alias("__seen"))
-    rows = files.join(indexed, "repo_id", "left").join(kept, list(KEY), "left")
-    empty = F.array().cast("array<string>")
-    gone = F.array_except(F.coalesce("__indexed", empty), F.coalesce("__seen", empty))
-    return _without(rows, gone).select(*files.columns)
+    """Files after every snapshot's branch was taken off the rows it does not hold, however little of them is new."""
+    return apply_changes(files, incoming, file_changes(files, incoming, whole_branches=True).where("id IS NOT NULL").withColumn("new", F.lit(None).cast("struct<lang:string,size:int,commit:string,lost:boolean,ord:bigint,branch:string>")))
 
 
 def retire(files: DataFrame, stamps: DataFrame, retired: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,8 @@ def merged_files(corpus: Corpus, query: str) -> DataFrame:
         rows = found.select("repo_id", "repo_name", "path", "content_sha", F.col("file_id").alias("id"), F.col("start_line").alias("line"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("n"), F.col("name").alias("symbol"))
         lines = lines.unionByName(rows)
     match = F.struct(F.coalesce("line", F.lit(2**31 - 1)).alias("at"), "line", "text", "symbol")
-    return lines.groupBy(*keys).agg(F.sort_array(F.collect_list(match)).alias("matches"), F.sum("n").alias("match_count"))
+    out = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(match)).alias("matches"), F.sum("n").alias("match_count"))
+    return out.withColumn("matches", F.transform("matches", lambda m: m.dropFields("at")))
 
 
 def resolve_commits(corpus: Corpus, prefixes: list[str]) -> DataFrame:

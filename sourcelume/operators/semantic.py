@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import cosine, ts_entries, usable_vector
 from ..plans.corpus import Corpus, default_branch, has_branch, matches
 from ..plans.language import ProseQuery
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small
 
 #: The constant of reciprocal rank fusion, rows of each leg, and BM25's usual parameters.
 RRF_K, LEG, K1, B = 60, 200, 1.2, 0.75
@@ -34,19 +34,37 @@ def nearest(chunks: DataFrame, vector: list[float], k: int = LEG) -> DataFrame:
     return scored.orderBy(F.desc(F.round("similarity", 12)), "id").limit(k)
 
 
-def bm25(chunks: DataFrame, words: list[str], k: int | None = LEG) -> DataFrame:
-    """``(id, score)`` by Okapi BM25 over the chunks given, from their search vectors; only chunks with a hit."""
+def postings(chunks: DataFrame) -> DataFrame:
+    """``(word, chunk_id, n, len)`` of every word of every chunk with a search vector: how often it occurs, and how many
+    places the chunk has. A chunk without words has one row with a null word, as it counts among the chunks."""
+    e = ts_entries(F.col("ts"))
+    rows = chunks.where(F.col("ts").isNotNull()).select(F.col("id").alias("chunk_id"), *[c for c in ("file_id", "repo_id") if c in chunks.columns], e.alias("e"))
+    rows = rows.withColumn("len", F.aggregate("e", F.lit(0), lambda a, x: a + x["n"]))
+    return rows.select(*[c for c in rows.columns if c != "e"], F.inline_outer("e")).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def bm25(chunks: DataFrame, words: list[str], k: int | None = LEG, stored: DataFrame | None = None) -> DataFrame:
+    """``(id, score)`` by Okapi BM25 over the chunks given, from their search vectors; only chunks with a hit.
+
+    With ``stored`` postings, sorted by word, only the rows of the words asked for are read, and of the others the lengths.
+    Nothing runs while the plan is made: numbers of chunks and mean length are one row, joined where they are used."""
     wanted = sorted(set(words))
-    entries = chunks.where(F.col("ts").isNotNull()).select("id", ts_entries(F.col("ts")).alias("e"))
-    hit = F.filter("e", lambda x: x["word"].isin(*wanted)) if wanted else F.filter("e", lambda x: F.lit(False))
-    # search vectors are parsed once: what is kept is the length of a chunk and its entries for the words asked for
-    sized = cut_lineage(entries.select("id", F.aggregate("e", F.lit(0), lambda a, x: a + x["n"]).alias("len"), hit.alias("h")))
-    docs, avg_len = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
-    hits = sized.select("id", "len", F.explode("h").alias("h")).select("id", "len", "h.word", F.col("h.n").alias("tf"))
-    df = hits.groupBy("word").agg(F.countDistinct("id").alias("df"))
-    idf = df.select("word", F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avg_len or 1.0))))
-    out = hits.join(idf, "word").groupBy("id").agg(F.round(F.sum(part), 9).alias("score"))
+    if stored is None:
+        entries = chunks.where(F.col("ts").isNotNull()).select("id", ts_entries(F.col("ts")).alias("e"))
+        hit = F.filter("e", lambda x: x["word"].isin(*wanted)) if wanted else F.filter("e", lambda x: F.lit(False))
+        sized = entries.select("id", F.aggregate("e", F.lit(0), lambda a, x: a + x["n"]).alias("len"), hit.alias("h"))
+        hits = sized.select("id", "len", F.explode("h").alias("h")).select("id", "len", "h.word", F.col("h.n").alias("tf"))
+    else:
+        scope = chunks.where(F.col("ts").isNotNull()).select(F.col("id").alias("chunk_id"))
+        sized = stored.groupBy("chunk_id").agg(F.max("len").alias("len")).join(scope, "chunk_id", "left_semi")
+        found = stored.where(F.col("word").isin(*wanted)) if wanted else stored.where(F.lit(False))
+        hits = found.join(scope, "chunk_id", "left_semi").select(F.col("chunk_id").alias("id"), "len", "word", F.col("n").alias("tf"))
+    # one row, and a row a word
+    whole = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
+    df = hits.groupBy("word").agg(F.countDistinct("id").alias("df")).join(F.broadcast(whole))
+    idf = df.select("word", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.coalesce("mean", F.lit(1.0))))
+    out = hits.join(F.broadcast(idf), "word").groupBy("id").agg(F.round(F.sum(part), 9).alias("score"))
     return out if k is None else out.orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -68,7 +86,7 @@ def hybrid(corpus: Corpus, vector: list[float], words: list[str], filters: Prose
     """Ranked chunks with ``rrf_score`` and ``similarity``, which rows found by text only have as well. Contents are
     fetched for the fused rows alone."""
     chunks = scoped_chunks(corpus, filters, branch)
-    fused = fuse(nearest(chunks, vector, leg), bm25(chunks, words, leg), k)
+    fused = fuse(nearest(chunks, vector, leg), bm25(chunks, words, leg, corpus.postings), k)
     q = F.array(*[F.lit(float(x)) for x in vector])
     sound = F.when(usable_vector(F.col("embedding"), len(vector)), cosine(F.col("embedding"), q))
     return chunks.join(F.broadcast(fused), "id").select("id", "repo", "path", "chunk_index", "content", "start_line", "end_line", "rrf_score", sound.alias("similarity"))

@@ -1,22 +1,18 @@
-"""A trigram table beside the files: which files can hold a literal, without reading contents.
+"""A trigram table beside the files: which files can hold a literal, without reading contents (see ``plans.narrow``).
 
-A literal of three or more characters can only be in files that have all of its trigrams. The table is narrow (a trigram and
-a file), sorted by trigram when written, so that a lookup reads the few row groups its trigrams lie in; the exact test then
-reads the contents of the candidates alone.
+The table is narrow (a trigram and a file) and sorted by trigram when written, so that a lookup reads the few row groups its
+trigrams lie in.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.corpus import Corpus
-from ..plans.language import And, Node, Term
-
-
-def trigrams(text: str) -> list[str]:
-    """Distinct trigrams of a literal as the table has them: lower case."""
-    t = text.lower()
-    return sorted({t[i : i + 3] for i in range(len(t) - 2)})
+from ..plans.language import Node
+from ..plans.narrow import candidates, narrowed, trigrams
 
 
 def build(files: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
@@ -35,26 +31,9 @@ def write(table: DataFrame, path: str, tasks: int) -> None:
     table.repartitionByRange(tasks, "gram", "file_id").sortWithinPartitions("gram", "file_id").write.mode("overwrite").parquet(path)
 
 
-def candidates(table: DataFrame, literal: str) -> DataFrame | None:
-    """``(file_id)`` of files with all trigrams of ``literal``; None where it is too short to tell."""
-    grams = trigrams(literal)
-    if not grams:
-        return None
-    hits = table.where(F.col("gram").isin(*grams)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    return hits.where(F.col("n") == len(grams)).select("file_id")
-
-
 def narrow(corpus: Corpus, table: DataFrame, node: Node) -> Corpus:
-    """``corpus`` with only the files that can match: for a query that is one literal or a conjunction, its affirmative
-    literals each cut the files down; any other query keeps them all."""
-    parts = node.children if isinstance(node, And) else (node,)
-    files = corpus.files
-    for t in parts:
-        if isinstance(t, Term) and t.kind == "substring":
-            found = candidates(table, t.value)
-            if found is not None:
-                files = files.join(found.withColumnRenamed("file_id", "__c"), files["id"] == F.col("__c"), "left_semi")
-    return Corpus(corpus.repos, files, corpus.symbols, corpus.reference_edges, corpus.repo_branches, corpus.chunks)
+    """``corpus`` with only the files that can match."""
+    return replace(corpus, files=narrowed(corpus.files, table, node))
 
 
 __all__ = ["build", "candidates", "narrow", "trigrams", "write"]

@@ -6,7 +6,7 @@ file, branch heads by repository. Nothing is collected. A ``sym:`` that every re
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import broadcast_if_small
 from ..sources.tables import table
 from .language import And, Node, Not, Or, Term, names_branches, walk
+from .narrow import narrowed
 from .regex_dialect import to_java
 
 HEAD = "HEAD"
@@ -27,6 +28,9 @@ class Corpus:
     reference_edges: DataFrame
     repo_branches: DataFrame
     chunks: DataFrame
+    #: Stored indexes, where there are any: ``(gram, file_id)``, and ``(word, chunk_id, n, len)``.
+    grams: DataFrame | None = None
+    postings: DataFrame | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> Corpus:
@@ -121,9 +125,12 @@ class Plan:
 
 
 def select_files(corpus: Corpus, node: Node, sensitive: bool | None = None) -> DataFrame:
-    """The files that ``node`` selects. ``sensitive`` defaults to what the leaves of ``node`` carry."""
+    """The files that ``node`` selects. ``sensitive`` defaults to what the leaves of ``node`` carry. With a stored table of
+    trigrams only the contents of files that can match are read."""
     if sensitive is None:
         sensitive = any(t.case for t, _ in walk(node))
+    if corpus.grams is not None:
+        corpus = replace(corpus, files=narrowed(corpus.files, corpus.grams, node))
     return Plan(corpus, node, sensitive).filter()
 
 

@@ -11,12 +11,14 @@ import binascii
 import json
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 from pyspark.sql import SparkSession, functions as F
 
 from .functions.chunks import hash_embedder
+from .functions.search_vector import words
 from .operators import references as ref
 from .operators.grep import Matchers, compile_all, match_lines
 from .operators.search import commit_mood, get_file, list_repos, resolve_commits
@@ -95,6 +97,12 @@ def within(spark: SparkSession, seconds: float, work: Callable):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def _ahead(rows: Iterator) -> Iterator:
+    """``rows`` with the first of them fetched."""
+    first = next(rows, None)
+    return iter(()) if first is None else chain([first], rows)
+
+
 def is_bad_pattern(e: Exception) -> bool:
     return isinstance(e, BadPattern) or "PATTERN" in str(getattr(e, "getCondition", lambda: "")() or "") or "PatternSyntaxException" in str(e)
 
@@ -129,6 +137,18 @@ class Service:
     def __post_init__(self):
         self._slots = threading.Semaphore(self.limits.concurrency)
 
+    def _timed(self, work: Callable):
+        """``work()`` within the time a statement may take."""
+        return within(self.spark, self.limits.statement_s, work)
+
+    def _bounded(self, out: dict, work: Callable[[], dict]) -> dict:
+        """The answer of ``work`` in one of the slots; ``out`` with ``query_too_broad`` if a statement took too long."""
+        with self._slots:
+            try:
+                return work()
+            except TooSlow:
+                return {**out, "query_too_broad": True}
+
     # --- search -------------------------------------------------------------------------------------------------------
 
     def search(self, query: str, limit: int | None = None, branch: str | None = None, commit: str | None = None, cursor: str | None = None, paged: bool = False, budget: int | None = None) -> dict:
@@ -161,7 +181,7 @@ class Service:
         resolved = {}
         if mood != "none":
             found = resolve_commits(self.corpus, [t.value for t in affirmative(node, "commit")]).orderBy("repo", "branch").limit(self.limits.most_rows + 1)
-            rows = within(self.spark, self.limits.statement_s, found.collect)
+            rows = self._timed(found.collect)
             out["resolved_truncated"] = len(rows) > self.limits.most_rows
             rows = rows[: self.limits.most_rows]
             out["resolved"] = [{"repo": r["repo"], "branch": r["branch"], "commit": r["commit"], "last_indexed_at": r["last_indexed_at"] and r["last_indexed_at"].isoformat()} for r in rows]
@@ -181,10 +201,10 @@ class Service:
         consumed = last = None
         stopped = None
         if m.patterns:
-            rows = within(self.spark, self.limits.statement_s, lambda: keys.orderBy(*FILE_ORDER).collect())
+            rows = self._timed(lambda: keys.orderBy(*FILE_ORDER).collect())
             used, deadline = 0, time.monotonic() + self.limits.match_s
             compiled = compile_all(m.patterns)
-            for f in files.toLocalIterator() if rows else ():
+            for f in self._timed(lambda: _ahead(files.toLocalIterator(prefetchPartitions=False))) if rows else ():
                 content = f["content"] or ""
                 if used + len(content) > self.limits.content_bytes:
                     stopped = "byte_cap"
@@ -214,7 +234,7 @@ class Service:
         elif paged:
             out["next_cursor"] = None
         if symbol_patterns(node) and at is None:
-            defs = ordered_symbols(find_symbols(self.corpus, node, selected), limit).collect()
+            defs = self._timed(ordered_symbols(find_symbols(self.corpus, node, selected), limit).collect)
             for d in defs:
                 e = entries.setdefault((d["repo_id"], d["path"], d["content_sha"]), self._entry(d, []))
                 e["matches"].append({"line": d["start_line"], "text": None, "byte_ranges": [], "symbols": [{"name": d["name"], "kind": d["kind"], "start_line": d["start_line"], "end_line": d["end_line"]}]})
@@ -252,9 +272,11 @@ class Service:
     # --- others -------------------------------------------------------------------------------------------------------
 
     def semantic(self, query: str, k: int = 10, branch: str | None = None) -> dict:
-        out: dict = {"query": query, "results": [], "disabled": False, "unsupported_filter": None, "query_parse_error": None, "nothing_to_embed": False}
+        out: dict = {"query": query, "results": [], "disabled": False, "semantic_schema_missing": False, "unsupported_filter": None, "query_parse_error": None, "nothing_to_embed": False, "query_too_broad": False}
         if not self.semantic_enabled:
             return {**out, "disabled": True}
+        if not {"embedding", "ts", "file_id"} <= set(self.corpus.chunks.columns):
+            return {**out, "semantic_schema_missing": True}
         try:
             q = split_prose(query)
         except UnsupportedAtom as e:
@@ -264,22 +286,33 @@ class Service:
         if not q.prose:
             return {**out, "nothing_to_embed": True}
         vector = (self.embedder or hash_embedder())([q.prose])[0]
-        try:
-            rows = hybrid(self.corpus, vector, q.prose.lower().split(), q, branch, min(max(1, k), self.limits.most_rows)).orderBy(F.desc("rrf_score"), "id").collect()
-        except Exception as e:
-            if not is_bad_pattern(e):
-                raise
-            return {**out, "query_parse_error": {"message": "invalid pattern", "position": 0}}
-        fields = ("repo", "chunk_index", "content", "start_line", "end_line", "rrf_score", "similarity")
-        return {**out, "results": [{"file": r["path"], **{c: r[c] for c in fields}} for r in rows]}
-
-    def repos(self) -> list[dict]:
-        rows = list_repos(self.corpus).orderBy("repo").collect()
+        # words as they are, for search vectors of plain words, and their stems, for those that ingest makes
+        terms = sorted({*q.prose.lower().split(), *(w for w, _ in words(q.prose))})
+
+        def work() -> dict:
+            try:
+                rows = self._timed(hybrid(self.corpus, vector, terms, q, branch, min(max(1, k), self.limits.most_rows)).orderBy(F.desc("rrf_score"), "id").collect)
+            except Exception as e:
+                if not is_bad_pattern(e):
+                    raise
+                return {**out, "query_parse_error": {"message": "invalid pattern", "position": 0}}
+            fields = ("repo", "chunk_index", "content", "start_line", "end_line", "rrf_score", "similarity")
+            return {**out, "results": [{"file": r["path"], **{c: r[c] for c in fields}} for r in rows]}
+
+        return self._bounded(out, work)
+
+    def repos(self, after: str | None = None) -> list[dict]:
+        """Repositories in order of their names, a page of the most rows a page may have, those past ``after``."""
+        listed = list_repos(self.corpus)
+        listed = listed if after is None else listed.where(F.col("repo") > after)
+        with self._slots:
+            rows = self._timed(listed.orderBy("repo").limit(self.limits.most_rows).collect)
         return [{"repo": r["repo"], "default_branch": r["default_branch"], "branches": list(r["branches"]), "commit": r["commit"], "last_indexed_at": r["last_indexed_at"] and r["last_indexed_at"].isoformat()} for r in rows]
 
     def file(self, repo: str, path: str, branch: str | None = None, first_line: int = 1, budget: int | None = None) -> dict:
         """One version of a file, line-paged to the budget: ``next_line`` continues it, at least one line at a time."""
-        row = get_file(self.corpus, repo, path, branch).orderBy("content_sha").limit(1).collect()
+        with self._slots:
+            row = self._timed(get_file(self.corpus, repo, path, branch).orderBy("content_sha").limit(1).collect)
         if not row:
             return {"repo": repo, "file": path, "found": False}
         all_lines = (row[0]["content"] or "").split("\n")
@@ -295,14 +328,16 @@ class Service:
         return {"repo": repo, "file": path, "found": True, "language": row[0]["lang"], "start_line": first, "end_line": end, "total_lines": len(all_lines), "content": "\n".join(taken), "next_line": end + 1 if end < len(all_lines) else None}
 
     def references(self, target: str | None = None, kind: str | None = "call", repo: str | None = None, branch: str | None = None, limit: int | None = None) -> dict:
-        out: dict = {"target": target, "repo_known": True, "sites": [], "summary": {"unique": 0, "ambiguous": 0, "unresolved": 0}, "truncated": False}
-        if repo is not None and self.corpus.repos.where(F.col("name") == repo).isEmpty():
+        out: dict = {"target": target, "repo_known": True, "sites": [], "summary": {"unique": 0, "ambiguous": 0, "unresolved": 0}, "truncated": False, "query_too_broad": False}
+        return self._bounded(out, lambda: self._references({**out, "summary": dict(out["summary"])}, target, kind, repo, branch, self.limits.clamp(limit)))
+
+    def _references(self, out: dict, target: str | None, kind: str | None, repo: str | None, branch: str | None, n: int) -> dict:
+        if repo is not None and self._timed(self.corpus.repos.where(F.col("name") == repo).isEmpty):
             return {**out, "repo_known": False}
-        n = self.limits.clamp(limit)
         found = ref.resolve(self.corpus, target, kind, repo, branch).orderBy("repo_id", "path", "line", "edge_id").limit(n)
-        rows = found.collect()
+        rows = self._timed(found.collect)
         cands: dict[int, list[dict]] = {}
-        for r in ref.ranked_candidates(found, self.corpus, branch).orderBy("edge_id", "candidate_rank").collect() if rows else ():
+        for r in self._timed(ref.ranked_candidates(found, self.corpus, branch).orderBy("edge_id", "candidate_rank").collect) if rows else ():
             cands.setdefault(r["edge_id"], []).append({"repo": r["c_repo"], "file": r["c_path"], "kind": r["c_kind"], "start_line": r["c_start_line"], "end_line": r["c_end_line"], "same_repo": r["same_repo"]})
         for r in rows:
             out["summary"][r["resolution"]] += 1
@@ -324,8 +359,17 @@ class Service:
             return {"error": error, "sites": []}
         return self.references(target=target, kind="import", repo=repo, **options)
 
+    def health(self) -> dict:
+        """Whether the process answers; reads nothing."""
+        return {"status": "ok"}
+
     def ready(self) -> bool:
-        self.corpus.repos.limit(1).collect()
+        """Whether the tables can be read in the time of a statement."""
+        try:
+            with self._slots:
+                self._timed(self.corpus.repos.limit(1).collect)
+        except Exception:
+            return False
         return True
 
 

@@ -58,3 +58,10 @@ def broadcast_if_small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
     contents to meet them is what must not happen while it can be avoided."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(df) if int(str(size)) <= limit else df
+
+
+def broadcast_if_few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, computed once, marked for broadcast if it has at most ``most`` (narrow) rows; otherwise as it is, for a
+    shuffle. For the right side of a join with contents that came out of joins itself, whose size no plan tells."""
+    rows = cut_lineage(df)
+    return F.broadcast(rows) if rows.count() <= most else rows

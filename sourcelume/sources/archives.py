@@ -136,13 +136,14 @@ _SCHEMA = "archive string, ord long, path string, lang string, size long, conten
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row a file of the gzip tars under ``path``, in archive order by ``ord``; a bad archive gives one row with
-    ``error`` and no files, so that it never stops others or passes as a smaller one."""
+    ``error`` and no files, so that it never stops others or passes as a smaller one; one without indexable files gives a
+    row with a null path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 try:
-                    rows = [(name, i, f.path, f.lang, f.size, f.content, None) for i, f in enumerate(scan_archive(raw.as_py()))]
+                    rows = [(name, i, f.path, f.lang, f.size, f.content, None) for i, f in enumerate(scan_archive(raw.as_py()))] or [(name, -1, None, None, None, None, None)]
                 except BadArchive as e:
                     rows = [(name, -1, None, None, None, None, str(e))]
                 for k in range(0, len(rows), 500):

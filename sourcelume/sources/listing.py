@@ -10,9 +10,9 @@ import os
 import re
 import shutil
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import glob_pattern
 
@@ -39,7 +39,6 @@ class IndexConfig:
     skip_forks: bool = False
     skip_archived: bool = False
     branches: tuple[str, ...] = ()
-    extra: dict = field(default_factory=dict)
 
 
 def parse_config(raw: bytes, source: str = "config") -> IndexConfig:
@@ -65,13 +64,78 @@ def parse_config(raw: bytes, source: str = "config") -> IndexConfig:
 
     orgs, users, exclude, branches = (texts(k) for k in ("orgs", "users", "exclude", "branches"))
     repos = []
-    for x in data.pop("repos", None) or []:
+    listed = data.pop("repos", None) or []
+    if not isinstance(listed, list):
+        raise ConfigError(f"{source}: repos must be a list")
+    for x in listed:
         entry = {"name": x} if isinstance(x, str) else x
-        if not isinstance(entry, dict) or not isinstance(entry.get("name"), str):
-            raise ConfigError(f"{source}: a repository needs a name")
-        repos.append(RepoEntry(repo_slug(entry["name"]), tuple(entry.get("branches") or ())))
-    flags = {k: bool(data.pop(k, False)) for k in ("skip_forks", "skip_archived")}
-    return IndexConfig(orgs, users, tuple(repos), exclude, branches=branches, extra=data, **flags)
+        if not isinstance(entry, dict) or not isinstance(entry.get("name"), str) or set(entry) - {"name", "branches"}:
+            raise ConfigError(f"{source}: a repository has a name and branches")
+        own = entry.get("branches") or []
+        if not isinstance(own, list) or not all(isinstance(b, str) for b in own):
+            raise ConfigError(f"{source}: branches of a repository must be a list of strings")
+        repos.append(RepoEntry(repo_slug(entry["name"]), tuple(own)))
+    flags = {}
+    for k in ("skip_forks", "skip_archived"):
+        v = data.pop(k, None)
+        if v is not None and not isinstance(v, bool):
+            raise ConfigError(f"{source}: {k} must be true or false")
+        flags[k] = bool(v)
+    if data:
+        raise ConfigError(f"{source}: unknown keys {', '.join(sorted(map(str, data)))}")
+    return IndexConfig(orgs, users, tuple(repos), exclude, branches=branches, **flags)
+
+
+def read_config(read: Callable[[], bytes | None], source: str = "config") -> tuple[str, IndexConfig | None, str | None]:
+    """(status, configuration, message): ``ok``, ``missing`` where there is nothing to read, ``invalid`` or ``unreadable``. A
+    run acts on ``ok`` alone, so that a broken configuration never looks like an empty one."""
+    try:
+        raw = read()
+    except FileNotFoundError:
+        raw = None
+    except OSError as e:
+        return "unreadable", None, str(e)
+    if raw is None:
+        return "missing", None, f"{source}: not there"
+    try:
+        return "ok", parse_config(raw, source), None
+    except ConfigError as e:
+        return "invalid", None, str(e)
+
+
+LISTED = "name string, ord long, fork boolean, archived boolean, branches array<string>"
+
+
+def list_wanted(spark: SparkSession, config: IndexConfig, fetch: Callable[[str], tuple[list[dict], str | None]], urls: Callable[[str, str], str]) -> tuple[DataFrame, DataFrame]:
+    """(repositories to index, dropped by reason): the union of the listings of all organizations and users of ``config``
+    and of the repositories it names, in this order, by its rules. A named one is kept whatever the rules for listed ones
+    say of forks and archived ones, and brings its branch patterns.
+
+    ``urls(kind, name)`` is the first page of a listing (``org`` or ``user``), ``fetch`` gets a page: its items (``full_name``,
+    ``fork``, ``archived``) and the next page's url. A page that fails fails the run.
+    """
+    rows: list[tuple] = []
+    for kind, names in (("org", config.orgs), ("user", config.users)):
+        for name in names:
+            rows += [(x["full_name"], bool(x.get("fork")), bool(x.get("archived")), list(config.branches)) for x in collect_pages(fetch, urls(kind, name))]
+    rows += [(r.name, False, False, [*config.branches, *r.branches]) for r in config.repos]
+    named = {r.name.lower() for r in config.repos}
+    rows = [(n, i, f and n.lower() not in named, a and n.lower() not in named, sorted(set(b))) for i, (n, f, a, b) in enumerate(rows)]
+    kept, dropped = choose_repos(spark.createDataFrame(rows, LISTED), config.exclude, config.skip_forks, config.skip_archived)
+    return check_ceiling(kept), dropped
+
+
+def list_branches(spark: SparkSession, repos: DataFrame, fetch: Callable[[str], tuple[list[dict], str | None]], url: Callable[[str], str], head: Callable[[str, str | None], tuple[str, str]], most: int = MAX_BRANCHES) -> DataFrame:
+    """``(repo, default_branch, branch, commit, complete)`` of the branches to index of each repository of ``repos`` (``name,
+    branches``; bounded by the ceiling on repositories): the default one and those that match its patterns, ``most`` at most."""
+    out = []
+    for r in repos.select("name", "branches").collect():
+        default, commit = head(r["name"], None)
+        listed = collect_pages(fetch, url(r["name"])) if r["branches"] else []
+        commits = {x["name"]: x["commit"] for x in listed} | {default: commit}
+        wanted = [default, *sorted(b for b in commits if b != default and any(matches_glob(b, p) for p in r["branches"]))]
+        out += [(r["name"], default, b, commits[b], len(wanted) <= most) for b in wanted[:most]]
+    return spark.createDataFrame(out, "repo string, default_branch string, branch string, commit string, complete boolean")
 
 
 def repo_slug(text: str) -> str:
@@ -99,6 +163,32 @@ def rate_limited(status: int, headers: dict[str, str]) -> bool:
     return status == 429 or status == 403 and ("retry-after" in low or low.get("x-ratelimit-remaining") == "0")
 
 
+class RateLimited(RuntimeError):
+    """The service asks to wait; ``retry_after`` says how many seconds, where it said so."""
+
+    def __init__(self, retry_after: int | None):
+        super().__init__("rate limited")
+        self.retry_after = retry_after
+
+
+def page_fetcher(request: Callable[[str], tuple[int, dict[str, str], object]]) -> Callable[[str], tuple[list[dict], str | None]]:
+    """A function that fetches a page for ``collect_pages``. ``request`` answers a url with status, headers and parsed body; the
+    next page is the one that the Link header names. A page that is refused raises, so a listing is complete or none."""
+
+    def fetch(url: str) -> tuple[list[dict], str | None]:
+        status, headers, body = request(url)
+        low = {k.lower(): v for k, v in headers.items()}
+        if rate_limited(status, headers):
+            wait = low.get("retry-after", "")
+            raise RateLimited(int(wait) if wait.isdigit() else None)
+        if status != 200 or not isinstance(body, list):
+            raise ConfigError(f"listing answered with status {status}")
+        more = re.search(r'<([^<>]*)>\s*;[^,]*\brel="?next"?', low.get("link", ""))
+        return body, more.group(1) if more else None
+
+    return fetch
+
+
 def choose_repos(listed: DataFrame, exclude: Iterable[str] = (), skip_forks: bool = False, skip_archived: bool = False) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped by reason) of ``listed`` (name, ord, fork, archived, branches): first of names that differ in case
     only, with the branch patterns of all of them; ``reason`` counts what the rules dropped."""

@@ -7,31 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import merge_files, stamp_contents, sweep
+from ..operators.run import SORTED, Rules, index_rows
 from ..sources.snapshots import SnapshotStore
 
-FILES = "id long, repo_id int, path string, lang string, size int, content string, commit string, content_sha string, branches array<string>"
 DELIVERED = "repo_id int, branch string, path string, lang string, size int, content string, commit string, ord long"
 
 
-def apply_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, whole_branches: bool = True) -> int:
-    """The store's version after one batch. Batches count from 0 and each makes one version, so a batch that was committed
-    before a crash and is delivered again is recognized by its number and skipped."""
+def apply_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, whole_branches: bool = True, rules: Rules = Rules()) -> int:
+    """The store's version after one batch: files, symbols, references, chunks and stamps of the delivered branches, by the
+    same steps as an index run. A version notes the batch it holds, so a batch that was committed before a crash and is
+    delivered again is recognized and skipped."""
     spark = batch.sparkSession
-    if store.version() > batch_id:
+    if store.manifest()["note"].get("batch", -1) >= batch_id:
         return store.version()
-    stored = store.read(spark, "files") if store.version() else spark.createDataFrame([], FILES)
-    incoming = stamp_contents(batch)
-    files = merge_files(stored, incoming)
-    if whole_branches:
-        files = sweep(files, incoming)
-    return store.commit({"files": files}, expected=batch_id)
+    expected = store.version()
+    heads = batch.groupBy("repo_id", "branch").agg(F.max_by("commit", "ord").alias("commit"), F.count("path").alias("parsed"))
+    tables, buckets, _, _ = index_rows(spark, store, batch, heads, rules, whole_branches)
+    return store.commit(tables, expected, buckets, {"batch": batch_id}, SORTED)
 
 
-def index_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, whole_branches: bool = True) -> StreamingQuery:
+def index_stream(spark: SparkSession, source: str, store: SnapshotStore, checkpoint: str, whole_branches: bool = True, rules: Rules = Rules()) -> StreamingQuery:
     """Indexes parquet files of delivered rows (``DELIVERED``) as they arrive under ``source``; ends when none is left."""
     rows = spark.readStream.schema(DELIVERED).parquet(source)
-    sink: Callable[[DataFrame, int], None] = lambda df, n: apply_batch(store, df, n, whole_branches)
+    sink: Callable[[DataFrame, int], None] = lambda df, n: apply_batch(store, df, n, whole_branches, rules)
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -104,7 +104,12 @@ def test_index_scenarios(spark):
     classes = {(r["path"], r["class"]) for r in idx.classify(feature, files).collect()}
     assert classes == {("a.py", "membership"), ("u.py", "changed"), ("f.py", "changed")}
     none = spark.createDataFrame([], "repo_id int")
-    assert {r["class"] for r in idx.classify(first, files, none).collect()} == {"changed"} and {r["class"] for r in idx.classify(first, files).collect()} == {"carried"}
+    S = "repo_id int, branch string, index_semantics_version int"
+    for stamped, main, new in (([], "changed", "changed"), ([("main", 3), ("feature", 3)], "carried", "membership"), ([("main", 3), ("feature", 3), ("old", 2)], "carried", "changed"), ([("main", 3), ("feature", None)], "carried", "changed"), ([("main", 2), ("feature", 3)], "changed", "changed")):
+        gate = idx.gates(spark.createDataFrame([(1, b, v) for b, v in stamped], S), 3)
+        assert {r["class"] for r in idx.classify(first, files, gate).collect()} == {main}, stamped
+        assert {r["path"]: r["class"] for r in idx.classify(feature, files, gate).collect()} == {"a.py": new, "u.py": "changed", "f.py": "changed"}, stamped
+    assert {r["class"] for r in idx.classify(first, files).collect()} == {"carried"}
     files = spark.createDataFrame(idx.sweep(idx.merge_files(files, feature), feature).collect(), FILES)
     assert state(files) == {("a.py", "A"): ("feature", "main"), ("u.py", "U"): ("main",), ("u.py", "V"): ("feature",), ("f.py", "F"): ("feature",)}
     less = snap(spark, [("main", "a.py", "A")])
@@ -133,15 +138,153 @@ def test_guards():
 
 
 def test_snapshots(spark, tmp_path):
-    store = SnapshotStore(str(tmp_path / "store"))
+    from sourcelume.sources.snapshots import HadoopFiles
+
     one = spark.createDataFrame([(1,)], "x int")
-    assert store.version() == 0 and store.commit({"a": one, "b": one}, 0) == 1 and store.commit({"a": one.union(one)}, 1) == 2
-    assert store.read(spark, "a").count() == 2 and store.read(spark, "b").count() == 1 and store.read(spark, "a", 1).count() == 1
+    for store in (SnapshotStore(str(tmp_path / "store")), SnapshotStore("file://" + str(tmp_path / "hadoop"), files=HadoopFiles(spark))):
+        assert store.version() == 0 and store.commit({"a": one, "b": one}, 0) == 1 and store.commit({"a": one.union(one)}, 1) == 2
+        assert store.read(spark, "a").count() == 2 and store.read(spark, "b").count() == 1 and store.read(spark, "a", 1).count() == 1
+        with pytest.raises(StaleSnapshot):
+            store.commit({"a": one}, 1)
+        with pytest.raises(Exception):
+            store.commit({"a": one.select(F.raise_error(F.lit("broken")).alias("y"))}, 2)
+        assert store.version() == 2 and store.commit({"a": one}, 2) == 3
+
+
+def test_two_writers_one_version(spark, tmp_path):
+    """Of two runs that start from one version just one commits, whatever the order of their steps; the other's data is gone
+    and what the first wrote is whole."""
+    import threading
+
+    from sourcelume.sources.snapshots import LocalFiles
+
+    class Slow(LocalFiles):
+        """Both have written their data before either claims."""
+
+        gate = threading.Barrier(2, timeout=60)
+
+        def claim(self, path, text):
+            self.gate.wait()
+            return super().claim(path, text)
+
+    root = str(tmp_path / "store")
+    SnapshotStore(root).commit({"t": spark.createDataFrame([(1, 0)], "repo_id int, x int")}, 0)
+    results = {}
+
+    def write(n):
+        df = spark.createDataFrame([(1, n), (2, n), (3, n)], "repo_id int, x int")
+        try:
+            results[n] = SnapshotStore(root, files=Slow()).commit({"t": df}, 1)
+        except StaleSnapshot:
+            results[n] = None
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (7, 8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [n for n, v in results.items() if v == 2]
+    store = SnapshotStore(root)
+    assert len(won) == 1 and sorted(results.values(), key=str) == [2, None] and store.version() == 2
+    assert {r["x"] for r in store.read(spark, "t").collect()} == {won[0]} and store.read(spark, "t").count() == 3
+    assert len(os.listdir(os.path.join(root, "data"))) == 2
+
+
+def test_parts(spark, tmp_path):
+    store = SnapshotStore(str(tmp_path / "s"), buckets=8)
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(40)], "repo_id int, v string")
+    store.commit({"t": rows}, 0)
+    part = store.read(spark, "t", buckets=[3])
+    mine = {r["repo_id"] for r in part.collect()}
+    assert mine and mine == {r["repo_id"] for r in rows.where(store.bucket(F.col("repo_id")) == 3).collect()}
+    before = store.manifest()["tables"]["t"]["parts"]
+    store.commit({"t": part.withColumn("v", F.lit("new")).limit(1)}, 1, buckets=[3])
+    after = store.manifest()["tables"]["t"]["parts"]
+    assert {b for b in before if before[b] != after.get(b)} == {"3"} and store.read(spark, "t").count() == 40 - len(mine) + 1
+    with pytest.raises(ValueError):
+        store.commit({"t": rows}, 2, buckets=[3])
+    store.commit({"t": rows.limit(0)}, 2, buckets=[3])
+    assert store.read(spark, "t", buckets=[3]).count() == 0 and store.read(spark, "t").count() == 40 - len(mine)
+
+
+def test_contents_do_not_move(spark, tmp_path):
+    """A merge of few rows into many: the stored contents are read and written, not shuffled."""
+    files = spark.range(1000).selectExpr("id", "cast(id % 7 as int) repo_id", "concat('p', id) path", "'python' lang", "1 size", "repeat('x', 100) content", "'c' commit", "sha2(cast(id as string), 256) content_sha", "array('main') branches")
+    files.write.parquet(str(tmp_path / "f"))
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    new = snap(spark, [("main", "a.py", "A")])
+    out = idx.apply_changes(stored, new, idx.file_changes(stored, new, False))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    scan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in scan and "SortMergeJoin" not in scan and out.count() == 1001 and "full" not in plan.lower()
+
+
+D = "repo string, branch string, ord long, path string, lang string, size int, content string, error string"
+H = "repo string, default_branch string, branch string, commit string"
+
+
+def deliver(spark, rows):
+    return spark.createDataFrame([(r, b, i, p, "python" if p else None, len(c or ""), c, e) for i, (r, b, p, c, e) in enumerate(rows)], D)
+
+
+def test_index_run(spark, tmp_path):
+    """From deliveries to all six tables: new, repeated, moved and failing branches, retired ones and purged repositories."""
+    from sourcelume.operators.run import Rules, run, stored, stored_corpus
+
+    store = SnapshotStore(str(tmp_path / "s"), buckets=4)
+    code = "import os\n\ndef alpha():\n    return os.path.join('a')\n"
+    wanted = [("o/a", "main", "main", "c1"), ("o/a", "main", "dev", "c2"), ("o/b", None, "HEAD", "c3"), ("o/c", "main", "main", "c4")]
+    rows = [("o/a", "main", "a.py", code, None), ("o/a", "main", "u.py", "x = 1\n", None), ("o/a", "dev", "a.py", code, None), ("o/a", "dev", "new.py", "def beta():\n    alpha()\n", None), ("o/b", "HEAD", "a.py", code, None), ("o/c", "main", None, None, "unreadable")]
+
+    def go(rows, wanted, **kw):
+        return run(spark, store, deliver(spark, rows), spark.createDataFrame(wanted, H), **kw)
+
+    def table(name):
+        return stored(spark, store, name).collect()
+
+    report = go(rows, wanted)
+    ids = {r["name"]: r["id"] for r in table("repos")}
+    assert sorted(ids) == ["o/a", "o/b", "o/c"] and sorted(ids.values()) == [1, 2, 3]
+    assert [(s[0], s[1], s[2], s[4]) for s in report.status] == [(ids["o/a"], "dev", 2, "indexed"), (ids["o/a"], "main", 2, "indexed"), (ids["o/b"], "HEAD", 1, "indexed"), (ids["o/c"], "main", 0, "failed")]
+    assert report.counts == {"changed": 5} and report.version == 1 and report.retired == 0
+    files = {(r["repo_id"], r["path"]): tuple(r["branches"]) for r in table("files")}
+    assert files == {(ids["o/a"], "a.py"): ("dev", "main"), (ids["o/a"], "u.py"): ("main",), (ids["o/a"], "new.py"): ("dev",), (ids["o/b"], "a.py"): ("HEAD",)}
+    assert sorted(r["name"] for r in table("symbols")) == ["alpha", "alpha", "beta"] and {r["target_name"] for r in table("reference_edges")} >= {"os", "alpha"}
+    assert len(table("chunks")) == 4 and all(len(r["embedding"]) == 128 for r in table("chunks")) and any("'alpha'" in r["ts"] for r in table("chunks"))
+    assert {(r["repo_id"], r["branch"]): (r["last_indexed_commit"], r["index_semantics_version"]) for r in table("repo_branches")} == {(ids["o/a"], "main"): ("c1", 1), (ids["o/a"], "dev"): ("c2", 1), (ids["o/b"], "HEAD"): ("c3", 1)}
+    assert {r["name"]: r["last_indexed_commit"] for r in table("repos")} == {"o/a": "c1", "o/b": "c3", "o/c": None}
+    corpus = stored_corpus(spark, store)
+    from sourcelume.operators.grep import grep
+    from sourcelume.operators.semantic import hybrid
+
+    assert {r["path"] for r in grep(corpus, "repo:o/a alpha").collect()} == {"a.py"}
+    assert hybrid(corpus, [1.0] + [0.0] * 127, ["alpha"]).count() >= 1
+
+    # main moves on, dev gets what main had, c comes, and b is no longer wanted: retired only after a clean run
+    wanted = [("o/a", "main", "main", "c5"), ("o/a", "main", "dev", "c6"), ("o/c", "main", "main", "c4")]
+    rows = [("o/a", "main", "a.py", code, None), ("o/a", "dev", "a.py", code, None), ("o/a", "dev", "u.py", "x = 1\n", None), ("o/c", "main", "z.py", "y = 2\n", None)]
+    report = go(rows, wanted)
+    assert report.counts == {"carried": 2, "membership": 1, "changed": 1} and report.purged == 1 and report.retired == 1
+    files = {(r["repo_id"], r["path"]): tuple(r["branches"]) for r in table("files")}
+    assert files == {(ids["o/a"], "a.py"): ("dev", "main"), (ids["o/a"], "u.py"): ("dev",), (ids["o/c"], "z.py"): ("main",)}
+    alive = {r["id"] for r in table("files")}
+    assert all({r["file_id"] for r in table(t)} <= alive for t in ("symbols", "reference_edges", "chunks")) and {r["name"] for r in table("repos")} == {"o/a", "o/c"}
+
+    # other rules: all is done anew, ids stay; a branch without indexable files keeps its rows and its old rules
+    report = go([("o/a", "dev", "a.py", code, None), ("o/a", "main", None, None, None), ("o/c", "main", "z.py", "y = 2\n", None)], wanted, rules=Rules(version=2, most_chunks=0))
+    assert report.counts == {"changed": 2} and {r["id"] for r in table("files")} < alive and sorted(d[1] for d in report.degraded) == ["dev", "main"]
+    assert {(r["repo_id"], r["branch"]): r["index_semantics_version"] for r in table("repo_branches")} == {(ids["o/a"], "main"): 1, (ids["o/a"], "dev"): 2, (ids["o/c"], "main"): 2}
+
+    # another run commits in between
+    class Raced(SnapshotStore):
+        def commit(self, tables, expected, *a, **k):
+            SnapshotStore.commit(self, {"other": spark.range(1)}, expected)
+            return super().commit(tables, expected, *a, **k)
+
     with pytest.raises(StaleSnapshot):
-        store.commit({"a": one}, 1)
-    with pytest.raises(Exception):
-        store.commit({"a": one.select(F.raise_error(F.lit("broken")).alias("y"))}, 2)
-    assert store.version() == 2 and store.commit({"a": one}, 2) == 3
+        run(spark, Raced(str(tmp_path / "s")), deliver(spark, [("o/d", "main", "e.py", "e = 1\n", None)]), spark.createDataFrame([("o/d", "main", "main", "c10")], H))
+    # it had found that it would leave less than half of the repositories, and would have purged none
+    assert "e.py" not in {r["path"] for r in table("files")}
 
 
 def test_stream(spark, tmp_path):
@@ -150,9 +293,11 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(row("a.py", "A"), NEW).write.parquet(src)
     index_stream(spark, src, store, str(tmp_path / "cp")).awaitTermination(120)
     assert store.version() == 1 and state(store.read(spark, "files")) == {("a.py", "A"): ("main",)}
+    assert store.read(spark, "chunks").count() == 1 and store.read(spark, "repo_branches").first()["last_indexed_commit"] == "c"
     spark.createDataFrame(row("b.py", "B"), NEW).write.mode("append").parquet(src)
     index_stream(spark, src, store, str(tmp_path / "cp")).awaitTermination(120)
     assert store.version() == 2 and state(store.read(spark, "files")) == {("b.py", "B"): ("main",)}
+    assert {r["file_id"] for r in store.read(spark, "chunks").collect()} == {r["id"] for r in store.read(spark, "files").collect()}
     assert apply_batch(store, spark.createDataFrame(row("z.py", "Z"), NEW), 1) == 2  # delivered again: nothing happens
     ev = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1.5D AS value UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 2D")
     assert [(r["n"], r["total"]) for r in event_counts(ev).collect()] == [(2, 3.5)]
@@ -161,7 +306,7 @@ def test_stream(spark, tmp_path):
 def test_listing(spark):
     c = parse_config(b"orgs: [a]\nrepos:\n  - x/y\n  - {name: 'https://h/o/r.git', branches: ['rel-*']}\nexclude: ['*/old']\n")
     assert c.orgs == ("a",) and [r.name for r in c.repos] == ["x/y", "o/r"] and parse_config(b"").repos == ()
-    for bad in (b"- a", b"orgs: x", b"\xff", b"a: [", b"repos: [{}]"):
+    for bad in (b"- a", b"orgs: x", b"\xff", b"a: [", b"repos: [{}]", b"skip_forks: 'false'", b"unknown: 1", b"repos: [{name: a/b, more: 1}]", b"repos: {a: 1}", b"repos: [{name: a/b, branches: x}]"):
         with pytest.raises(ConfigError):
             parse_config(bad)
     assert repo_slug("git@h:o/r.git") == "o/r" and matches_glob("o/r", "o/*") and not matches_glob("O/r", "o/*")
@@ -219,3 +364,58 @@ def test_trigrams(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "t"))
     assert {r["file_id"] for r in tri.candidates(stored, "SORTED").collect()} == {1, 4} and {r["file_id"] for r in tri.candidates(stored, "sorted(").collect()} == {1}
     assert tri.candidates(stored, "ab") is None and tri.candidates(stored, "zzz").count() == 0
+
+
+def test_search_vectors(spark):
+    from sourcelume.functions.search_vector import search_vector, stem, vector_text
+
+    stems = {"running": "run", "flies": "fli", "relational": "relat", "hopping": "hop", "hoping": "hope", "happiness": "happi", "generously": "generous", "controlling": "control", "skies": "sky", "agreed": "agre", "communism": "communism", "knightly": "knight", "news": "news", "x2": "x2", "日本": "日本"}
+    assert {w: stem(w) for w in stems} == stems
+    assert vector_text("The Quick fox's foxes jumped, quickly QUICK") == "'fox':3,4 'jump':5 'quick':2,6,7" and vector_text("") == "" and vector_text("the of it") == ""
+    rows = spark.createDataFrame([("snake_case names",), (None,)], "t string")
+    assert [r["v"] for r in rows.select(search_vector(rows["t"]).alias("v")).collect()] == ["'case':2 'name':3 'snake':1", None]
+
+
+def test_union_of_listings(spark):
+    from sourcelume.sources.listing import RateLimited, list_branches, list_wanted, page_fetcher, read_config
+
+    pages = {
+        "org/o?1": (200, {"Link": '<org/o?2>; rel="next", <org/o?9>; rel="last"'}, [{"full_name": "o/a", "fork": False}, {"full_name": "o/f", "fork": True}]),
+        "org/o?2": (200, {}, [{"full_name": "o/old", "archived": True}, {"full_name": "o/x-test"}]),
+        "user/u?1": (200, {}, [{"full_name": "O/A"}, {"full_name": "u/own"}]),
+        "heads/o/a": (200, {}, [{"name": "main", "commit": "c1"}, {"name": "rel-2", "commit": "c2"}, {"name": "rel-1", "commit": "c3"}, {"name": "z", "commit": "c4"}]),
+        "busy": (403, {"Retry-After": "7"}, None), "gone": (500, {}, None),
+    }
+    fetch = page_fetcher(lambda u: pages[u])
+    status, config, _ = read_config(lambda: b"orgs: [o]\nusers: [u]\nrepos: [{name: o/f, branches: ['rel-*']}, n/named]\nexclude: ['*-test']\nskip_forks: true\nskip_archived: true\n")
+    assert status == "ok"
+    kept, dropped = list_wanted(spark, config, fetch, lambda kind, name: f"{kind}/{name}?1")
+    got = {r["name"]: tuple(r["branches"]) for r in kept.collect()}
+    assert got == {"o/a": (), "u/own": (), "o/f": ("rel-*",), "n/named": ()} and {(r["reason"], r["n"]) for r in dropped.collect()} == {("archived", 1), ("exclude:*-test", 1)}
+    one = spark.createDataFrame([("o/a", ["rel-*"])], "name string, branches array<string>")
+    rows = list_branches(spark, one, fetch, lambda n: f"heads/{n}", lambda r, b: ("main", "c1"), most=2).collect()
+    assert [(r["branch"], r["commit"], r["complete"]) for r in rows] == [("main", "c1", False), ("rel-1", "c3", False)]
+    with pytest.raises(RateLimited) as e:
+        fetch("busy")
+    assert e.value.retry_after == 7
+    with pytest.raises(ConfigError):
+        fetch("gone")
+    assert read_config(lambda: None)[0] == "missing" and read_config(lambda: b"a: [")[0] == "invalid"
+
+    def broken():
+        raise PermissionError("no")
+
+    assert read_config(broken)[0] == "unreadable"
+
+
+def test_narrowing(spark):
+    from sourcelume.operators import trigrams as tri
+    from sourcelume.plans.language import parse
+    from sourcelume.plans.narrow import candidates_of, required_literals
+
+    assert required_literals("foo.*barbaz") == ["foo", "barbaz"] and required_literals("a(bcd)+e|x") == [] and required_literals("ab(cd)ef[gh]") == ["abcdef"] and required_literals("(?:abc)?defg") == ["defg"] and required_literals("(") == [] and required_literals("x(abc){2}y") == ["abc"]
+    rows = [(1, "alpha beta"), (2, "alpha gamma"), (3, "beta gamma"), (4, None)]
+    table = tri.build(spark.createDataFrame(rows, "id int, content string"))
+    got = lambda q: (lambda d: d if d is None else {r[0] for r in d.collect()})(candidates_of(table, parse(q)))
+    assert got("alpha") == {1, 2} and got("alpha beta") == {1} and got("alpha or gamma") == {1, 2, 3} and got("-alpha") is None and got("alpha -beta") == {1, 2}
+    assert got("al") is None and got("alpha or lang:go") is None and got("lang:go alpha") == {1, 2} and got("/alp.*amma/") == {2} and got("/a.b/") is None
