@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import ts_entries
@@ -84,56 +84,68 @@ def leximin_rank(df: DataFrame, scores: list[str], key: str, per: list[str] | No
     return out.select(*kept, *[f"pct_{s}" for s in scores], "leximin", (F.col("__above") + F.col("__m") - F.col("__first") + 1).alias("rank"))
 
 
-def text_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, hits)`` with hits > 0: positions in ``ts`` of the distinct words of ``query_text``."""
-    words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("query_text")), r"\s+"))).alias("word")).where("word <> ''")
-    entries = chunks.select("chunk_id", F.explode(ts_entries(F.col("ts"))).alias("e")).select("chunk_id", "e.word", "e.n")
-    return entries.join(words, "word").groupBy("query_id", "chunk_id").agg(F.sum("n").alias("hits"))
+def block_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, starts, queries): the queries of word ``w`` are ``queries[starts[w]:starts[w + 1]]``. Words are lower
+    case, separated by blanks, and count once a query."""
+    pairs = sorted({(w, i) for i, t in enumerate(texts) for w in (t or "").lower().split()})
+    words = sorted({w for w, _ in pairs})
+    starts = np.searchsorted(np.array([w for w, _ in pairs], dtype=object), np.array([*words, chr(0x10FFFF) * 2], dtype=object)) if pairs else np.zeros(1, np.int64)
+    return words, starts.astype(np.int64), np.array([i for _, i in pairs], dtype=np.int64)
 
 
-def _first_pass(block, dim: int, k: int, bins: int):
-    """Of each task and query: the cosines of the rows with text hits, the ``k`` first of the others, and a histogram.
+def _head(found: list[tuple], k: int) -> list[tuple]:
+    """Of (query, chunk, hits, cosine) the ``k`` first by cosine of every query and number of hits."""
+    if not found:
+        return []
+    q, ids, hits, c = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, -c, hits, q))
+    q, ids, hits, c = q[order], ids[order], hits[order], c[order]
+    new = np.r_[True, (q[1:] != q[:-1]) | (hits[1:] != hits[:-1])][: len(q)]
+    first = np.flatnonzero(new)
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+    return [(q[keep], ids[keep], hits[keep], c[keep])]
 
-    Rows of ``bin >= 0`` are histogram counts (in ``hits``), the others candidates.
-    """
+
+def _first_pass(block, dim: int, k: int, at_once: int = 2048):
+    """Of each task and query: the ``k`` first by cosine of the rows with each number of hits (``n`` = 0), and how many rows
+    have that number (``n`` > 0; not for no hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = block.value
-        hist = np.zeros((len(qids), bins), np.int64)
+        qids, q, words, starts, queries = block.value
+        known = pa.array(words, pa.string())
         best: list[tuple] = []
-        kept: list[tuple] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            c = np.round(unit_rows(b.column(1), dim) @ q.T, 9)
-            which = np.clip(((c + 1) * (bins / 2)).astype(np.int64), 0, bins - 1)
-            hist += np.bincount((which + np.arange(len(qids)) * bins).ravel(), minlength=len(qids) * bins).reshape(hist.shape)
-            lens = np.diff(b.column(2).offsets.to_numpy())
-            flat = b.column(2).flatten()
-            rows = np.repeat(np.arange(len(ids)), lens)
-            to, n = flat.field("q").to_numpy(), flat.field("n").to_numpy()
-            col = np.minimum(np.searchsorted(qids, to), len(qids) - 1)
-            ok = qids[col] == to
-            rows, col, n = rows[ok], col[ok], n[ok]
-            kept.append((qids[col], ids[rows], n, c[rows, col]))
-            c[rows, col] = -2.0
-            c, ids = c[order], ids[order]
-            m = min(k, len(ids))
-            low = -np.partition(-c, m - 1, axis=0)[m - 1] if len(ids) > m else np.full(len(qids), -2.0)
-            r, col = np.nonzero((c >= low) & (c > -2.0))
-            best.append((qids[col], ids[r], np.zeros(len(r), np.int64), c[r, col]))
-        out = []
-        if best:
-            d = pd.DataFrame(dict(zip(("query_id", "chunk_id", "hits", "cosine"), (np.concatenate(x) for x in zip(*best)))))
-            d = d.sort_values(["query_id", "cosine", "chunk_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-            out.append(d.assign(bin=-1))
-            out.append(pd.DataFrame(dict(zip(("query_id", "chunk_id", "hits", "cosine"), (np.concatenate(x) for x in zip(*kept))))).assign(bin=-1))
-            i, j = np.nonzero(hist)
-            out.append(pd.DataFrame({"query_id": qids[i], "chunk_id": 0, "hits": hist[i, j], "cosine": 0.0, "bin": j}))
-        for d in out:
-            yield pa.RecordBatch.from_pandas(d.astype({"query_id": "int64", "chunk_id": "int64", "hits": "int64", "bin": "int32"}), preserve_index=False)
+        counts: dict[tuple[int, int], int] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, at_once):
+                b = whole.slice(at, at_once)
+                ids = b.column(0).to_numpy()
+                c = np.round(unit_rows(b.column(1), dim) @ q.T, 9)
+                hits = np.zeros(c.shape, np.int64)
+                flat = b.column(2).flatten()
+                rows = np.repeat(np.arange(len(ids)), pc.list_value_length(b.column(2)).to_numpy())
+                word = pc.index_in(flat.field("word"), value_set=known).to_numpy(zero_copy_only=False)
+                if len(word):
+                    word = word.astype(np.int64)
+                    n = starts[word + 1] - starts[word]
+                    to = queries[np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    np.add.at(hits, (np.repeat(rows, n), to), np.repeat(flat.field("n").to_numpy(), n))
+                r, col = np.nonzero(hits)
+                pair, m = np.unique(np.stack([col, hits[r, col]]), axis=1, return_counts=True)
+                for a, h, x in zip(*pair.tolist(), m.tolist()):
+                    counts[a, h] = counts.get((a, h), 0) + x
+                best.append((col, ids[r], hits[r, col], c[r, col]))
+                c[r, col] = -2.0
+                m = min(k, len(ids))
+                low = -np.partition(-c, m - 1, axis=0)[m - 1] if len(ids) > m else np.full(len(qids), -2.0)
+                r, col = np.nonzero((c >= low) & (c > -2.0))
+                best.append((col, ids[r], np.zeros(len(r), np.int64), c[r, col]))
+                best = _head(best, k)
+        for col, ids, h, c in best:
+            yield pa.RecordBatch.from_arrays([pa.array(qids[col]), pa.array(ids), pa.array(h), pa.array(c), pa.array(np.zeros(len(h), np.int64))], names=["query_id", "chunk_id", "hits", "cosine", "n"])
+        if counts:
+            col, h = (np.array(x, np.int64) for x in zip(*counts))
+            none = np.zeros(len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(qids[col]), pa.array(none.astype(np.int64)), pa.array(h), pa.array(none), pa.array(np.array(list(counts.values()), np.int64))], names=["query_id", "chunk_id", "hits", "cosine", "n"])
 
     return run
 
@@ -161,56 +173,51 @@ def _count_above(block, dim: int):
     return run
 
 
-def rank_for_queries(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 128, block_queries: int = 2048, bins: int = 4096) -> DataFrame:
+def rank_for_queries(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 128, block_queries: int = 2048) -> DataFrame:
     """The ``k`` first chunks of each query by leximin over two scores: cosine to the query's vector, and text hits.
 
     ``chunks`` has ``chunk_id, embedding, ts``; ``queries`` has ``query_id, query_text, query_embedding``. Chunks without a
     usable vector or with a null ``ts`` take no part, nor do queries without a usable vector. Columns: ``query_id,
     chunk_id, cosine, hits, place_cosine, place_hits, leximin, rank``.
 
-    The places are those among all chunks, yet no list of all pairs is made. Queries go to the chunks in blocks of
-    ``block_queries``. Chunks without a hit share one place by text, so of them only the ``k`` first by cosine can count;
-    with the chunks that have hits these are the candidates. A histogram of all cosines bounds their places; candidates
-    that cannot be among the first ``k`` are dropped, and a second pass counts the exact places of the others.
+    The places are those among all chunks, yet no list of pairs is made. Queries go to the chunks in blocks of
+    ``block_queries``, vectors and words together, so nothing is joined by a word. Of the chunks with the same number of
+    hits only the ``k`` first by cosine can be among the first ``k`` of the ranking: those are the candidates, however many
+    chunks have a word. A second pass counts how many chunks have a higher cosine than each. To the driver come the
+    cosines of candidates: for each query of a block ``k`` for each different number of hits.
     """
     spark = chunks.sparkSession
     sound = chunks.where(usable("embedding", dim) & F.col("ts").isNotNull()).dropDuplicates(["chunk_id"])
     asked = queries.where(usable("query_embedding", dim)).dropDuplicates(["query_id"]).select(F.col("query_id").cast("long"), "query_text", "query_embedding")
-    hits = text_hits(sound.select("chunk_id", "ts"), asked.select("query_id", "query_text"))
-    lists = hits.groupBy("chunk_id").agg(F.collect_list(F.struct(F.col("query_id").alias("q"), F.col("hits").alias("n"))).alias("hit"))
-    empty = F.array().cast("array<struct<q:bigint,n:bigint>>")
-    base = sound.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").alias("v")).join(lists, "chunk_id", "left")
-    base = cut_lineage(base.select("chunk_id", "v", F.coalesce("hit", empty).alias("hit")))
+    base = cut_lineage(sound.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").alias("v"), "ts"))
     n = base.count()
     blocks = max(1, -(-asked.count() // block_queries))
     answers = []
     for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "query_embedding").orderBy("query_id").toArrow()
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").toArrow()
         if not part.num_rows or not n:
             continue
-        qids, q = part.column(0).to_numpy(), unit_rows(part.column(1).combine_chunks(), dim)
-        first = cut_lineage(base.mapInArrow(_first_pass(spark.sparkContext.broadcast((qids, q)), dim, k, bins), "query_id long, chunk_id long, hits long, cosine double, bin int"))
-        hist = first.where("bin >= 0").groupBy("query_id", "bin").agg(F.sum("hits").alias("m"))
-        hist = hist.withColumn("upto", F.sum("m").over(W.partitionBy("query_id").orderBy(F.desc("bin"))))
-        cand = first.where("bin < 0")
-        rest = W.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
-        plain = cand.where("hits = 0").withColumn("r", F.row_number().over(rest)).where(F.col("r") <= k).drop("r")
-        cand = cand.where("hits > 0").unionByName(plain)
-        by_hits = cand.where("hits > 0").groupBy("query_id", "hits").agg(F.count(F.lit(1)).alias("m"))
+        qids, q = part.column(0).to_numpy(), unit_rows(part.column(2).combine_chunks(), dim)
+        words, starts, of = block_words(part.column(1).to_pylist())
+        # search vectors are parsed where they are, down to the words of the block
+        entries = F.filter(ts_entries(F.col("ts")), lambda e: e["word"].isin(*words)) if words else F.array().cast("array<struct<word:string,n:int>>")
+        block = spark.sparkContext.broadcast((qids, q, words, starts, of))
+        first = cut_lineage(base.select("chunk_id", "v", entries.alias("e")).mapInArrow(_first_pass(block, dim, k), "query_id long, chunk_id long, hits long, cosine double, n long"))
+        by_hits = first.where("n > 0").groupBy("query_id", "hits").agg(F.sum("n").alias("m"))
         by_hits = by_hits.withColumn("upto", F.sum("m").over(W.partitionBy("query_id").orderBy(F.desc("hits"))))
         all_hits = by_hits.groupBy("query_id").agg((F.max("upto") + 1).alias("after"))
+        alike = W.partitionBy("query_id", "hits").orderBy(F.desc("cosine"), "chunk_id")
+        cand = first.where("n = 0").withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k).select("query_id", "chunk_id", "hits", "cosine")
         cand = cand.join(by_hits.select("query_id", "hits", (F.col("upto") - F.col("m") + 1).alias("place")), ["query_id", "hits"], "left").join(all_hits, "query_id", "left")
-        cand = cand.withColumn("place_hits", F.coalesce("place", "after", F.lit(1))).drop("place", "after", "bin")
-        which = F.least(F.floor((F.col("cosine") + 1) * (bins / 2)), F.lit(bins - 1)).cast("int")
-        cand = cand.withColumn("bin", which).join(hist.select("query_id", "bin", (F.col("upto") - F.col("m") + 1).alias("least"), F.col("upto").alias("most")), ["query_id", "bin"])
-        cand = cand.withColumn("worst_low", F.greatest("least", "place_hits")).withColumn("worst_high", F.greatest("most", "place_hits"))
-        limit = cand.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("worst_high"))).where(F.col("r") <= k).groupBy("query_id").agg(F.max("worst_high").alias("cut"))
-        cand = cut_lineage(cand.join(limit, "query_id").where(F.col("worst_low") <= F.col("cut")).select("query_id", "chunk_id", "hits", "cosine", "place_hits"))
+        cand = cut_lineage(cand.withColumn("place_hits", F.coalesce("place", "after", F.lit(1))).drop("place", "after"))
         cuts = cand.groupBy("query_id").agg(F.sort_array(F.collect_set("cosine")).alias("c")).orderBy("query_id").toArrow()
         at = np.searchsorted(qids, cuts.column(0).to_numpy())
-        second = spark.sparkContext.broadcast((qids[at], q[at], [np.asarray(c, dtype=np.float64) for c in cuts.column(1).to_pylist()]))
-        above = base.select("v").mapInArrow(_count_above(second, dim), "query_id long, cosine double, above long").groupBy("query_id", "cosine").agg((F.sum("above") + 1).alias("place_cosine"))
-        answers.append(cand.join(above, ["query_id", "cosine"]))
+        values = [np.asarray(c, dtype=np.float64) for c in cuts.column(1).to_pylist()]
+        second = spark.sparkContext.broadcast((qids[at], q[at], values))
+        # splits are merged so that the counts of all tasks stay small beside the vectors
+        tasks = max(spark.sparkContext.defaultParallelism, n * dim * 4 // (20 * 24 * max(1, sum(map(len, values)))))
+        above = base.select("v").coalesce(int(min(tasks, 1 << 20))).mapInArrow(_count_above(second, dim), "query_id long, cosine double, above long")
+        answers.append(cand.join(above.groupBy("query_id", "cosine").agg((F.sum("above") + 1).alias("place_cosine")), ["query_id", "cosine"]))
     schema = "query_id long, chunk_id long, cosine double, hits long, place_cosine long, place_hits long"
     names = [c.split()[0] for c in schema.split(", ")]
     out = answers[0].select(*names) if answers else spark.createDataFrame([], schema)

@@ -3,8 +3,9 @@
 Every document becomes a hashed word vector, projected to three dimensions; the Hilbert key of that point is a place on
 one curve on which neighbours are alike. Documents are range-sorted by the key (and a hash of their id, so that copies,
 which share a key, still spread over tasks) and packed along the curve: each task fills containers from windows of
-successive documents, largest first into the fullest container that has room, and takes what is in poorly filled
-containers along to its next window.
+successive documents that hold a few dozen containers, largest first into the fullest container that has room, and takes
+what is in some poorly filled containers along to its next window. So documents share a container with their neighbours on
+the curve; ``fill_report`` says how near, against a packing at random.
 """
 
 from __future__ import annotations
@@ -94,35 +95,38 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(window: int, good: float):
+def _pack(window: int, keep: int, good: float, most: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[tuple]] = {}
+        held: dict[str, int] = {}
         capacity: dict[str, int] = {}
 
         def flush(name: str, last: bool) -> pa.RecordBatch:
             items, cap = waiting[name], capacity[name]
-            rest: list[tuple] = []
+            bins = fill([x[2] for x in items], cap)
+            rest = [] if last else [b for b in bins if sum(items[i][2] for i in b) < good * cap]
+            # of the poorly filled ones those with the first documents of the window go out, so that nothing drifts along
+            rest.sort(key=lambda b: -max(i for i in b))
+            kept = {i for b in rest[:keep] for i in b}
             out: list[tuple] = []
-            for b in fill([x[2] for x in items], cap):
-                if not last and sum(items[i][2] for i in b) < good * cap:
-                    rest += [items[i] for i in b]
-                    continue
-                first = min((items[i][0], items[i][1]) for i in b)
-                out += [(name, cap, f"{name}-{first[0]}-{first[1]}", *items[i]) for i in b]
-            waiting[name] = rest
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["name", "capacity_tokens", "container_id", "id", "piece", "tokens", "first_token"])
+            for b in bins:
+                if b[0] not in kept:
+                    first = min((items[i][0], items[i][1]) for i in b)
+                    out += [(name, cap, f"{name}-{first[0]}-{first[1]}", *items[i]) for i in b]
+            waiting[name] = [items[i] for i in sorted(kept)]
+            held[name] = sum(x[2] for x in waiting[name])
+            cols = list(zip(*out)) if out else [[]] * 8
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["name", "capacity_tokens", "container_id", "id", "piece", "tokens", "first_token", "place"])
 
         for b in batches:
-            for name, cap, i, piece, size, first in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for name, cap, *item in zip(*(b.column(k).to_pylist() for k in range(7))):
                 capacity[name] = cap
                 mine = waiting.setdefault(name, [])
-                mine.append((i, piece, size, first))
-                if len(mine) >= window:
-                    yield flush(name, False)
-                    if len(waiting[name]) >= window:  # nothing filled well: take what there is
-                        yield flush(name, True)
+                mine.append(tuple(item))
+                held[name] = held.get(name, 0) + item[2]
+                if held[name] >= window * cap or len(mine) >= most:
+                    yield flush(name, len(mine) >= most)
         for name in waiting:
             if waiting[name]:
                 yield flush(name, True)
@@ -131,10 +135,11 @@ def _pack(window: int, good: float):
 
 
 def pack_documents(
-    docs: DataFrame, budgets: list[tuple[str, int]], key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT, window: int = 8192, good: float = 0.98, per_task: int = 150
+    docs: DataFrame, budgets: list[tuple[str, int]], key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT, window: int = 24, keep: int = 16, good: float = 0.98, per_task: int = 150
 ) -> DataFrame:
-    """``(name, capacity_tokens, container_id, key, piece, first_token, tokens)``: where every document goes, for each of
-    the named capacities.
+    """``(name, capacity_tokens, container_id, key, piece, first_token, tokens, place)``: where every document goes, for
+    each of the named capacities; ``place`` is its key on the curve. A window holds ``window`` containers, of which up to
+    ``keep`` that are filled less than ``good`` are opened again.
 
     Every document is in one container of each capacity, whole (``piece`` 0) unless it alone exceeds the capacity: then it
     is split into pieces of exactly the capacity, each a container of its own, and the rest, which is packed like others.
@@ -151,9 +156,9 @@ def pack_documents(
     if not budgets:
         caps = F.array().cast("array<struct<name:string,cap:bigint>>")
     each = sized.withColumn("b", F.explode(caps)).select("id", "tokens", "place", "b.name", "b.cap")
-    full = each.where("tokens > cap").select("name", "cap", "id", F.explode(F.sequence(F.lit(0), (F.col("tokens") / F.col("cap")).cast("int") - 1)).alias("piece"))
+    full = each.where("tokens > cap").select("name", "cap", "id", "place", F.explode(F.sequence(F.lit(0), (F.col("tokens") / F.col("cap")).cast("int") - 1)).alias("piece"))
     full = full.select(
-        "name", F.col("cap").alias("capacity_tokens"), F.concat_ws("-", "name", "id", "piece").alias("container_id"), "id", "piece", F.col("cap").alias("tokens"), (F.col("piece") * F.col("cap")).alias("first_token")
+        "name", F.col("cap").alias("capacity_tokens"), F.concat_ws("-", "name", "id", "piece").alias("container_id"), "id", "piece", F.col("cap").alias("tokens"), (F.col("piece") * F.col("cap")).alias("first_token"), "place"
     )
     over = F.col("tokens") > F.col("cap")
     rest = each.where(~over | (F.col("tokens") % F.col("cap") > 0)).select(
@@ -165,15 +170,22 @@ def pack_documents(
     largest = max((int(c) for _, c in budgets), default=1)
     tasks = int(max(1, min(max(partitions(spark), total // (16 * per_task * largest)), total // (per_task * largest))))
     rest = rest.repartitionByRange(tasks, "place", F.xxhash64("id")).sortWithinPartitions("place", F.xxhash64("id"))
-    packed = rest.select("name", "cap", "id", "piece", "tokens", "first_token").mapInArrow(
-        _pack(window, good), "name string, capacity_tokens long, container_id string, id long, piece int, tokens long, first_token long"
+    packed = rest.select("name", "cap", "id", "piece", "tokens", "first_token", "place").mapInArrow(
+        _pack(window, keep, good), "name string, capacity_tokens long, container_id string, id long, piece int, tokens long, first_token long, place long"
     )
     out = packed.unionByName(full)
-    return out.select("name", F.col("capacity_tokens").cast("int").alias("capacity_tokens"), "container_id", F.col("id").alias(key), "piece", "first_token", "tokens")
+    return out.select("name", F.col("capacity_tokens").cast("int").alias("capacity_tokens"), "container_id", F.col("id").alias(key), "piece", "first_token", "tokens", "place")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """Containers, placements, tokens and the share of room used, for each capacity."""
-    bins = packed.groupBy("name", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    total = bins.groupBy("name", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("placements"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    return total.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+    """Containers, placements, tokens and the share of room used, for each capacity, and ``curve_spread``: how far apart on
+    the curve the documents of a container are (root mean square), as a share of how far they would be at random."""
+    place = F.col("place").cast("double")
+    bins = packed.groupBy("name", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.var_pop(place).alias("v"))
+    shared = F.col("n") > 1
+    near = F.sum(F.when(shared, F.col("v") * F.col("n"))) / F.sum(F.when(shared, F.col("n") - 1))
+    total = bins.groupBy("name", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("placements"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), near.alias("near"))
+    every = packed.groupBy("name").agg(F.var_pop(place).alias("all")).select(F.col("name").alias("__n"), "all")
+    out = total.join(every, F.col("name") == F.col("__n"))
+    out = out.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+    return out.withColumn("curve_spread", F.round(F.sqrt(F.col("near") / F.nullif(F.col("all"), F.lit(0.0))), 6)).drop("near", "all", "__n")

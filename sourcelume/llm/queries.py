@@ -112,7 +112,7 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return fill_report(_containers(spark, sf))
+    return fill_report(cut_lineage(_containers(spark, sf)))
 
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
+#: Pieces whose line ends are added up together.
+RUN = 256
+
+
 def boundary_pattern(room: int, overlap: int = 0) -> str:
     """Java regex that takes at most ``room`` code points and ends at the strongest boundary found in the later part,
     else in the earlier one, else at a plain character. No piece is shorter than ``overlap``, which the next one repeats."""
@@ -82,10 +86,16 @@ def split_oversized(
 
     # what a piece needs of the ones before it is put beside it before they part, so that no row carries the whole item
     items = items.withColumn("__ends", F.transform("__parts", lambda p: F.when(F.col("pieces") > 1, _line_ends(p)).otherwise(0)))
+    # line ends before every run of ``RUN`` pieces, so that a piece adds up its own run only
+    plus = lambda a, x: a + x
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("__ends") - 1) / RUN).cast("int")), lambda r: F.aggregate(F.slice("__ends", r * RUN + 1, F.lit(RUN)), F.lit(0), plus))
+    items = items.withColumn("__runs", F.when(F.size("__ends") > RUN, runs).otherwise(F.array(F.lit(0))))
+    items = items.withColumn("__before", F.when(F.size("__runs") > 1, F.transform(F.sequence(F.lit(0), F.size("__runs") - 1), lambda r: F.aggregate(F.slice("__runs", F.lit(1), r), F.lit(0), plus))).otherwise(F.array(F.lit(0))))
 
     def piece(part: Column, i: Column) -> Column:
         lookback = F.when(i > 0, F.right(F.element_at("__parts", i), F.lit(overlap))).otherwise(F.lit("")) if overlap else F.lit("")
-        before = F.aggregate(F.slice("__ends", F.lit(1), i), F.lit(0), lambda a, x: a + x)
+        run = F.floor(i / RUN).cast("int")
+        before = F.element_at("__before", run + 1) + F.aggregate(F.slice("__ends", run * RUN + 1, i - run * RUN), F.lit(0), plus)
         return F.struct(part.alias("part"), lookback.alias("head"), before.alias("before"))
 
     rest = [c for c in keep if c != content]

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from sourcelume.llm.leximin import leximin_rank, rank_for_queries
+from sourcelume.llm.leximin import block_words, leximin_rank, rank_for_queries
 
 
 def test_rank_against_brute_force(spark):
@@ -36,7 +36,7 @@ def test_queries_against_brute_force(spark):
     c = spark.createDataFrame(chunks, "chunk_id int, embedding array<float>, ts string, rank string")
     q = spark.createDataFrame(queries, "query_id int, query_text string, query_embedding array<float>")
     got = {}
-    for r in rank_for_queries(c, q, 5, dim=8, block_queries=2, bins=64).collect():
+    for r in rank_for_queries(c, q, 5, dim=8, block_queries=2).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["chunk_id"]
     ok = {}
     for i, e, ts, _ in chunks:
@@ -57,3 +57,31 @@ def test_queries_against_brute_force(spark):
         want = sorted(ok, key=lambda i: (max(pc[i], ph[i]), min(pc[i], ph[i]), i))[:5]
         assert [got[qid][k] for k in range(1, 6)] == want
     assert rank_for_queries(c.limit(0), q, 5, dim=8).count() == 0 and rank_for_queries(c, q.limit(0), 5, dim=8).count() == 0
+
+
+def test_a_word_that_most_rows_have(spark):
+    """Rows with the same number of hits are not candidates beyond the first k, so a hot word makes none of the steps grow;
+    the ranking stays that of brute force."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    n = [int(1 + i % 3) if i % 10 else 0 for i in range(3000)]
+    rows = [(i, [float(e) for e in x[i]], f"'hot':{','.join(map(str, range(1, n[i] + 1)))} 'rest':9" if n[i] else "'rest':9", "") for i in range(3000)]
+    c = spark.createDataFrame(rows, "chunk_id int, embedding array<float>, ts string, hits string").repartition(5)
+    q = spark.createDataFrame([(1, "hot", [1.0] * 8), (2, "Rest hot", [-1.0, 1.0] * 4)], "query_id int, query_text string, query_embedding array<float>")
+    got = {}
+    for r in rank_for_queries(c, q, 5, dim=8).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["chunk_id"]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for qid, v, more in ((1, np.ones(8), 0), (2, np.array([-1.0, 1.0] * 4), 1)):
+        cos = np.round(u @ (v / np.linalg.norm(v)), 9)
+        hits = np.array(n) + more
+        pc = 1 + (cos[None, :] > cos[:, None]).sum(axis=1)
+        ph = 1 + (hits[None, :] > hits[:, None]).sum(axis=1)
+        want = sorted(range(3000), key=lambda i: (max(pc[i], ph[i]), min(pc[i], ph[i]), i))[:5]
+        assert [got[qid][k] for k in range(1, 6)] == want
+
+
+def test_block_words():
+    words, starts, of = block_words(["b a  A", None, "a", ""])
+    assert words == ["a", "b"] and [of[starts[i] : starts[i + 1]].tolist() for i in range(2)] == [[0, 2], [0]]
+    assert block_words([None, " "])[0] == []

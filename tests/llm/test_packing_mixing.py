@@ -31,7 +31,7 @@ def test_fill():
 def test_packing(spark):
     rows = docs()
     df = spark.createDataFrame(rows, DOC)
-    out = pack_documents(df, [("s", 128), ("m", 1000)], window=64).collect()
+    out = pack_documents(df, [("s", 128), ("m", 1000)], window=6, keep=3).collect()
     size = dict(zip([r[0] for r in rows if r[1] is not None], counter()([r[1] for r in rows if r[1] is not None])))
     for name, cap in (("s", 128), ("m", 1000)):
         mine = [r for r in out if r["name"] == name]
@@ -46,11 +46,55 @@ def test_packing(spark):
             assert [r["first_token"] for r in rs] == [i * cap for i in range(len(rs))]
     report = {r["name"]: r["fill"] for r in fill_report(pack_documents(df, [("s", 128), ("m", 1000)])).collect()}
     assert report["s"] > 0.9 and report["m"] > 0.85
+    empty = spark.createDataFrame([(i, "", "a", None) for i in range(70_000)] + [(-1, "one word", "a", None)], DOC)
+    assert pack_documents(empty.coalesce(1), [("s", 128)]).agg({"doc_id": "count"}).first()[0] == 70_001  # without tokens a window still ends
     assert pack_documents(df.limit(0), [("s", 128)]).count() == 0 and pack_documents(df, []).count() == 0
     with pytest.raises(ValueError):
         pack_documents(df, [("s", 0)])
 
 
+def test_neighbours_share_containers(spark):
+    """Documents of one kind lie together on the curve and so in containers; sizes alone would mix the kinds."""
+    rng = random.Random(6)
+    words = [[f"{a}{i}" for i in range(12)] for a in ("ka", "lo", "mi", "nu")]
+    rows = [(i, " ".join(rng.choice(words[i % 4]) for _ in range(rng.randrange(10, 90))), "a", None) for i in range(3000)]
+    out = pack_documents(spark.createDataFrame(rows, DOC), [("m", 2000)])
+    report = fill_report(out).first()
+    assert report["fill"] > 0.98 and report["curve_spread"] < 0.2
+    kinds = {}
+    for r in out.collect():
+        kinds.setdefault(r["container_id"], []).append(r["doc_id"] % 4)
+    same = sum(max(map(k.count, range(4))) for k in kinds.values())
+    assert same > 0.6 * len(rows)
+
+
+def test_large_documents_do_not_decide_shares(spark):
+    """A source that is mostly one huge document, one of few documents, and one that is scarce: all reach their shares."""
+    rng = random.Random(9)
+    word = lambda n: " ".join(["word"] * n)
+    rows = [(i, word(rng.randrange(2, 60)), "giant", None) for i in range(300)] + [(300, word(30_000), "giant", None)]
+    rows += [(1000 + i, word(rng.randrange(5, 400)), "plain", None) for i in range(400)] + [(2000 + i, word(rng.randrange(100, 300)), "few", None) for i in range(20)]
+    df = spark.createDataFrame(rows, DOC)
+    targets = spark.createDataFrame([("giant", 0.2, 1), ("plain", 0.5, 1), ("few", 0.3, 4)], "source string, target_share double, max_repeats int")
+    for seed in range(3):
+        for total in (None, 12_000):
+            report = {r["source"]: r["actual_share"] for r in share_report(mixture(df, targets, seed=seed, total_tokens=total), targets).collect()}
+            assert all(abs(report[s] - x) < 0.02 for s, x in (("giant", 0.2), ("plain", 0.5), ("few", 0.3))), (seed, total, report)
+
+
+def test_systematic_sampling_gives_every_document_its_chance(spark):
+    """Over many offsets a document is used as often as its share asks for."""
+    rows = [(i, " ".join(["word"] * (5 + i % 40)), "a", None) for i in range(400)]
+    df, targets = spark.createDataFrame(rows, DOC), spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    uses = {}
+    for seed in range(12):
+        for r in mixture(df, targets, seed=seed, total_tokens=3000).collect():
+            uses[r["doc_id"]] = uses.get(r["doc_id"], 0) + 1
+    rate = 3000 / sum(5 + i % 40 for i in range(400))
+    large = [uses.get(i, 0) for i in range(400) if i % 40 > 20]
+    assert abs(sum(large) / len(large) / 12 - rate) < 0.12 and max(uses.values()) <= 12 and len(uses) > 300
+
+
 def test_mixture(spark):
     rows = docs(2000, 3)
     df = spark.createDataFrame(rows, DOC)

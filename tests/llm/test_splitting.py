@@ -64,3 +64,15 @@ def test_early_boundary_before_plain_character(spark):
         ps = pieces_of(spark, [(1, 1, 0, text, 1, 5, None)], limit=100, overlap=5)[1]
         assert ps[0]["content"] == early and any(run in p["content"] for p in ps)
         assert "".join(p["content"][p["overlap_chars"] :] for p in ps) == text
+
+
+def test_very_long_item(spark):
+    """Thousands of pieces: each knows the lines before it, and the work grows with the pieces, not their square."""
+    text = "".join(f"line {i}\n" for i in range(12_000))
+    ps = pieces_of(spark, [(1, 1, 0, text, 1, 12_000, None)], limit=40, overlap=5)[1]
+    assert len(ps) > 3_000 and "".join(p["content"][p["overlap_chars"] :] for p in ps) == text
+    at = 0
+    for p in ps:
+        s = at - p["overlap_chars"]
+        assert p["start_line"] == 1 + text.count("\n", 0, s)
+        at = s + len(p["content"])
