@@ -36,13 +36,16 @@ def plan_sizes(sizes: DataFrame, goal: DataFrame, source: str, seed: int, whole:
     """
     rows = sizes.join(F.broadcast(goal), source).withColumn("even", F.col("goal") / F.col("have")).withColumn("mass", F.col("n") * F.col("tokens"))
     rows = rows.withColumn("floor", F.floor(F.col("even") + 1e-9).cast("double"))
-    # documents too large for a chance, where the others can make up for it; otherwise all are sampled
+    # documents too large for a chance, where the others come nearer to the goal without one more of them; otherwise all are
+    # sampled
     huge = (F.col("tokens") > F.col("goal") * whole) & (F.col("even") < F.col("most") - 1e-9)
     every = W.partitionBy(source)
     rows = rows.withColumn("apart", F.coalesce(F.sum(F.when(huge, F.col("mass"))).over(every), F.lit(0)))
     rest = (F.col("goal") - F.col("floor") * F.col("apart")) / F.nullif(F.col("have") - F.col("apart"), F.lit(0))
-    rows = rows.withColumn("rest", rest).withColumn("part", F.when(huge & (F.col("rest") <= F.col("most")), "whole").otherwise("large"))
-    rows = rows.withColumn("even", F.when((F.col("apart") > 0) & (F.col("rest") <= F.col("most")), F.col("rest")).otherwise(F.col("even")))
+    short = F.col("goal") - F.col("floor") * F.col("apart") - F.col("most") * (F.col("have") - F.col("apart"))
+    nearer = F.coalesce((short < F.min(F.when(huge, F.col("tokens"))).over(every) / 2) & (F.col("have") > F.col("apart")), F.lit(False))
+    rows = rows.withColumn("rest", F.least(rest, F.col("most").cast("double"))).withColumn("nearer", nearer)
+    rows = rows.withColumn("part", F.when(huge & F.col("nearer"), "whole").otherwise("large")).withColumn("even", F.when(F.col("nearer"), F.col("rest")).otherwise(F.col("even")))
     # the smallest documents, until they can make up for the largest that is sampled, in either direction
     largest = F.max(F.when(F.col("part") == "large", F.col("tokens"))).over(W.partitionBy(source))
     slack = F.greatest(F.least(F.col("even"), F.col("most") - F.col("even")), F.lit(0.05))

@@ -58,7 +58,7 @@ def test_neighbours_share_containers(spark):
     rng = random.Random(6)
     words = [[f"{a}{i}" for i in range(12)] for a in ("ka", "lo", "mi", "nu")]
     rows = [(i, " ".join(rng.choice(words[i % 4]) for _ in range(rng.randrange(10, 90))), "a", None) for i in range(3000)]
-    out = pack_documents(spark.createDataFrame(rows, DOC), [("m", 2000)])
+    out = pack_documents(spark.createDataFrame(rows, DOC), [("m", 500)])  # a window is about a twelfth of the curve
     report = fill_report(out).first()
     assert report["fill"] > 0.98 and report["curve_spread"] < 0.2
     kinds = {}
@@ -72,7 +72,7 @@ def test_large_documents_do_not_decide_shares(spark):
     """A source that is mostly one huge document, one of few documents, and one that is scarce: all reach their shares."""
     rng = random.Random(9)
     word = lambda n: " ".join(["word"] * n)
-    rows = [(i, word(rng.randrange(2, 60)), "giant", None) for i in range(300)] + [(300, word(30_000), "giant", None)]
+    rows = [(i, word(rng.randrange(2, 60)), "giant", None) for i in range(500)] + [(500, word(30_000), "giant", None)]
     rows += [(1000 + i, word(rng.randrange(5, 400)), "plain", None) for i in range(400)] + [(2000 + i, word(rng.randrange(100, 300)), "few", None) for i in range(20)]
     df = spark.createDataFrame(rows, DOC)
     targets = spark.createDataFrame([("giant", 0.2, 1), ("plain", 0.5, 1), ("few", 0.3, 4)], "source string, target_share double, max_repeats int")
