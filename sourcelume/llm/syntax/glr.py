@@ -4,17 +4,22 @@ The grammar is read from text (see ``grammars``). The LR(0) automaton with FOLLO
 comes into being when a parse first reaches it. Conflicts fork the stack, so grammars may be written as in a language's
 reference. No tree is built, so what matters of a parse is the set of its stacks; stacks are hash-consed lists, and
 their set after each token is remembered by the set before it and the token. Code repeats itself, so nearly every token of
-a file is one dictionary lookup. The memory is dropped when it grows beyond ``room`` entries, which changes no result.
+a file is one dictionary lookup. All recognizers of a process share one budget of ``ROOM`` entries, some 100 MB (that of
+thousands of files takes a tenth of it); beyond it all memory is dropped before the next file, which changes no result.
 """
 
 from __future__ import annotations
 
 import re
 from itertools import count
+from weakref import WeakSet
 
 _LEX = re.compile(r"\s*(?:#[^\n]*)?(?:('(?:[^'\\]|\\.)+')|([A-Za-z_][A-Za-z0-9_]*)|(.))")
 
 END, SEMI = "END", "';'"
+#: Entries that the recognizers of a process remember together.
+ROOM = 500_000
+_all: WeakSet[Recognizer] = WeakSet()
 
 
 class Grammar:
@@ -132,7 +137,7 @@ class Recognizer:
     """Runs token ids (from ``ids``) over a grammar. ``newline``: the token that stands for a line break where a missing
     ``;`` may be supplied before the token that follows, as it also may before the tokens ``closers``."""
 
-    def __init__(self, grammar: Grammar, newline: bool = False, closers: tuple[str, ...] = (), room: int = 3_000_000):
+    def __init__(self, grammar: Grammar, newline: bool = False, closers: tuple[str, ...] = ()):
         self.g = grammar
         self.ids: dict[str, int] = {t: i for i, t in enumerate(grammar.terminals)}
         self.width = len(self.ids) + 2
@@ -140,12 +145,15 @@ class Recognizer:
         self.newline = len(self.ids) + 1 if newline else -1
         self.names = {i: t for t, i in self.ids.items()}
         self.closers = {self.ids[c] for c in closers}
-        self.room = room
         self._states: dict[frozenset, int] = {}
         self._kernels: list[frozenset] = []
         self._goto: list[dict[str, int] | None] = []
         self._reduce: list[list[tuple[str, int, set[str]]]] = []
         self.reset()
+        _all.add(self)
+
+    def held(self) -> int:
+        return len(self.step) + len(self.state) + len(self.configs)
 
     def reset(self) -> None:
         self.state: list[int] = []
@@ -247,8 +255,9 @@ class Recognizer:
 
     def first_bad(self, tokens: list[int]) -> int:
         """Index of the first token that no parse can take (``len(tokens)`` for the end of the input), -1 if none."""
-        if len(self.step) > self.room or len(self.state) > self.room:
-            self.reset()
+        if sum(r.held() for r in _all) > ROOM:
+            for r in _all:
+                r.reset()
         step, width, config = self.step, self.width, self.start
         get = step.get
         end = self.ids[END]

@@ -92,3 +92,14 @@ def test_operator(spark):
     rates = {(r["repo_id"], r["lang"]): (r["files"], r["invalid"], r["rate"]) for r in error_rates(out, "repo_id", "lang").collect()}
     assert rates == {(1, "python"): (3, 2, 0.666667), (None, "go"): (2, 1, 0.5)}
     assert parse_errors(files.limit(0), ["id"]).count() == 0
+
+
+def test_memory_is_shared_and_dropped(monkeypatch):
+    """Whatever the languages, the recognizers together stay within one budget; results do not depend on it."""
+    from sourcelume.llm.syntax import glr
+
+    texts = [("python", "x = [i for i in range(3)]\n"), ("go", "package p\nfunc f() int { return 1 }\n"), ("java", "class A { int f() { return 1; } }\n"), ("rust", "fn f() -> u8 { 1 }\n"), ("python", "def f(:\n"), ("go", "package p\nfunc {\n")]
+    want = [first_error(lang, t) for lang, t in texts]
+    monkeypatch.setattr(glr, "ROOM", 50)
+    assert [first_error(lang, t) for lang, t in texts * 3] == want * 3
+    assert sum(r.held() for r in glr._all if len(r.step) > 200) == 0 or max(r.held() for r in glr._all) < 3_000
