@@ -3,12 +3,13 @@
 Comments and strings are set aside first. Definitions are recognized by their keywords and get their extent from braces, or
 in Python from indentation; a reference belongs to the innermost named definition around it. Contract: names, kinds,
 targets and lines as listed in the tests. Shapes that need a full parser are not looked for (anonymous functions bound to
-names, macros, references inside template strings).
+names, macros).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -59,15 +60,50 @@ _NOT_CALLED = {
 }
 
 
-def tokens(text: str, rules: str) -> list[Tok]:
-    out, line = [], 1
-    for m in _TOKENS[rules].finditer(text):
+_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|//[^\n]*|/\*[\s\S]*?\*/")
+
+
+def template(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
+    """The end of the template string that begins at ``at``, and the spans of the expressions in it; those may hold further
+    strings and templates."""
+    parts, i = [], at + 1
+    while i < len(text) and text[i] != "`":
+        if text.startswith("${", i):
+            begin = i = i + 2
+            depth = 1
+            while i < len(text):
+                c = text[i]
+                if c == "`":
+                    i = template(text, i)[0]
+                    continue
+                if c in "\"'/" and (m := _QUOTED.match(text, i)):
+                    i = m.end()
+                    continue
+                depth += (c == "{") - (c == "}")
+                if not depth:
+                    break
+                i += 1
+            parts.append((begin, i))
+        i += 2 if text[i : i + 1] == "\\" else 1
+    return min(i + 1, len(text)), parts
+
+
+def tokens(text: str, rules: str, start: int = 0, stop: int | None = None, line: int = 1) -> list[Tok]:
+    """Tokens of ``text[start:stop]``, whose first line is ``line``; comments are left out."""
+    out, pattern, at = [], _TOKENS[rules], start
+    stop = len(text) if stop is None else stop
+    while at < stop and (m := pattern.search(text, at, stop)):
+        line += text.count("\n", at, m.start())
+        s, at = m.group(), m.end()
         if m.lastgroup != "comment":
             kind = "str" if m.group("str") is not None else m.lastgroup
-            s = m.group()
             lead = len(s) - len(s.lstrip()) if kind == "str" else 0
-            out.append(Tok(kind, s[lead:], line + s.count("\n", 0, lead), m.start() + lead))
-        line += m.group().count("\n")
+            if kind == "str" and rules == "ecma" and s[lead : lead + 1] == "`":
+                at = min(template(text, m.start() + lead)[0], stop)
+            elif kind == "op" and s == "`":  # a template that does not end
+                at = stop
+            out.append(Tok(kind, text[m.start() + lead : at], line + s.count("\n", 0, lead), m.start() + lead))
+        line += text.count("\n", m.start(), at)
     return out
 
 
@@ -125,6 +161,17 @@ class _File:
         return [d[2] for d in self.defs], edges
 
 
+def _signatures(ts: list[Tok], i: int) -> set[int]:
+    """The names in an interface body that begins after ``ts[i]`` which stand for methods, not calls."""
+    b = _next(ts, i, "{")
+    out, depth = set(), 0
+    for k in range(b, _close(ts, b)) if b > 0 else ():
+        depth += {"{": 1, "(": 1, "[": 1, "}": -1, ")": -1, "]": -1}.get(ts[k].text, 0) if ts[k].kind == "op" else 0
+        if depth == 1 and ts[k].kind == "name":
+            out.add(k)
+    return out
+
+
 def _calls(ts: list[Tok], f: _File, rules: str, skip: set[int]) -> None:
     code = [i for i, t in enumerate(ts) if t.kind != "nl"]
     for n, i in enumerate(code):
@@ -195,15 +242,14 @@ def _python(text: str) -> _File:
             if ts[j].text in ("def", "class") and j + 1 < len(ts) and ts[j + 1].kind == "name":
                 own = indent(t.line)
                 end = t.line
-                header = next((x.line for x in ts[j:] if x.kind == "op" and x.text == ":" and x.line >= t.line), t.line)
-                for n in code_lines:
-                    if n <= t.line:
-                        continue
+                header = next((ts[k].line for k in range(j, len(ts)) if ts[k].kind == "op" and ts[k].text == ":"), t.line)
+                for c in range(bisect_right(code_lines, t.line), len(code_lines)):
+                    n = code_lines[c]
                     if n in inside or n <= header or indent(n) > own:
                         end = max(end, last_of[n])
                     else:
                         break
-                f.define(t, Tok("", "", max(end, last_of.get(t.line, t.line)), 0), t.at, starts[min(max(end, t.line), len(lines))], ts[j + 1].text, "function" if ts[j].text == "def" else "class")
+                f.define(t, Tok("", "", max(end, last_of.get(t.line, t.line)), 0), t.at, starts[min(max(end, t.line), len(lines))] - 1, ts[j + 1].text, "function" if ts[j].text == "def" else "class")
                 skip.add(j + 1)
             elif t.text in ("import", "from"):
                 stop = i
@@ -282,6 +328,8 @@ def _ecma(text: str) -> _File:
                 first = ts[i - 1] if i and ts[i - 1].text == "abstract" else t
                 f.define(first, ts[e], first.at, ts[e].at, nxt.text, "class")
                 bodies.append((b, e))
+        elif t.kind == "name" and t.text == "interface" and nxt and nxt.kind == "name":
+            skip |= _signatures(ts, i + 2)
         elif t.kind == "name" and t.text == "import" and nxt and nxt.text not in ("(", ".") and (not i or ts[i - 1].text in (";", "}", ")") or ts[i - 1].line < t.line or ts[i - 1].kind == "str"):
             i = _ecma_import(ts, i, f, skip)
             continue
@@ -308,9 +356,20 @@ def _ecma(text: str) -> _File:
                 k = _close(ts, k, t.text, {"(": ")", "[": "]", "{": "}"}[t.text])
             k += 1
     _calls(ts, f, "ecma", skip)
+    _in_templates(text, ts, f)
     return f
 
 
+def _in_templates(text: str, ts: list[Tok], f: _File) -> None:
+    """The calls in the expressions of template strings."""
+    for t in ts:
+        if t.kind == "str" and t.text.startswith("`") and "${" in t.text:
+            for a, b in template(text, t.at)[1]:
+                inner = [x for x in tokens(text, "ecma", a, b, t.line + text.count("\n", t.at, a)) if x.kind != "nl"]
+                _calls(inner, f, "ecma", set())
+                _in_templates(text, inner, f)
+
+
 def _ecma_import(ts: list[Tok], i: int, f: _File, skip: set[int]) -> int:
     k = i + 1
     names: list[Tok] = []
@@ -351,6 +410,8 @@ def _go(text: str) -> _File:
     skip: set[int] = set()
     for i, t in enumerate(ts):
         nxt = ts[i + 1] if i + 1 < len(ts) else None
+        if t.text == "interface" and nxt and nxt.text == "{":
+            skip |= _signatures(ts, i + 1)
         if t.text == "func" and t.kind == "name" and nxt:
             k, kind = i + 1, "function"
             if nxt.text == "(":
