@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions.chunks import chunk_files, embed_chunks, hash_embedder
 from .functions.extract import edges_of, extract_files, symbols_of
 from .functions.text import content_sha, cosine, glob_pattern, language, lines, usable_vector
-from .operators import index as idx, references as ref, trigrams as tri
+from .operators import index as idx, migrate as mig, references as ref, trigrams as tri
 from .operators.grep import grep, within_bytes
 from .operators.search import file_lines, get_file, list_repos, merged_files, permalink_branch, resolve_commits
 from .operators.semantic import bm25, fuse, hybrid, leg_rank, nearest, scoped_chunks
@@ -527,6 +527,54 @@ def index_degraded(spark, sf):
     return idx.degraded_branches(c.chunks, c.files, 20)
 
 
+CHUNK = "id AS chunk_id, file_id, chunk_index, content"
+
+
+@query(f"WITH go AS (SELECT id FROM files WHERE lang = 'go'), rs AS (SELECT id FROM files WHERE lang = 'rust') SELECT {CHUNK} FROM chunks WHERE file_id NOT IN (SELECT id FROM rs) AND (file_id NOT IN (SELECT id FROM go) OR chunk_index = 0)")
+def index_chunk_sink(spark, sf):
+    """Chunks after a delivery of all go files, twice, the second time cut to their first chunk, and of rust files without any."""
+    c = Corpus.load(spark, sf)
+    files = c.files.where("lang IN ('go', 'rust')").select(F.col("id").alias("file_id"), "lang")
+    one = F.struct("id", "chunk_index", "content")
+    rows = files.join(c.chunks.groupBy("file_id").agg(F.collect_list(one).alias("all")), "file_id", "left")
+    first = rows.select("file_id", F.lit(1).alias("ord"), F.col("all").alias("chunks"))
+    cut = F.when(F.col("lang") == "go", F.filter("all", lambda x: x["chunk_index"] == 0))
+    second = rows.select("file_id", F.lit(2).alias("ord"), F.coalesce(cut, F.slice("all", 1, 0)).alias("chunks"))
+    out = idx.sink_chunks(c.chunks.select("id", "file_id", "chunk_index", "content"), first.unionByName(second))
+    return out.select(F.col("id").alias("chunk_id"), "file_id", "chunk_index", "content")
+
+
+@query("SELECT f.id AS file_id, sha256(coalesce(f.content, '')) AS sha, array_to_string(CASE WHEN f.lang = 'go' THEN [coalesce(r.default_branch, 'HEAD')] ELSE f.branches END, ',') AS branches FROM files f JOIN repos r ON r.id = f.repo_id")
+def migrate_files(spark, sf):
+    """Files whose shas, and branches of go files, are lost, filled in again."""
+    c = Corpus.load(spark, sf)
+    old = c.files.drop("content_sha").withColumn("branches", F.when(~F.col("lang").eqNullSafe("go"), F.col("branches")))
+    out = mig.backfill_branches(mig.backfill_shas(old), c.repos)
+    return out.select(F.col("id").alias("file_id"), F.col("content_sha").alias("sha"), F.array_join("branches", ",").alias("branches"))
+
+
+@query(
+    """SELECT repo_id, branch, last_indexed_commit AS commit FROM repo_branches WHERE branch <> 'main' UNION ALL
+    SELECT id, coalesce(default_branch, 'HEAD'), last_indexed_commit FROM repos r WHERE NOT EXISTS (SELECT 1 FROM repo_branches b WHERE b.branch <> 'main' AND b.repo_id = r.id AND b.branch = coalesce(r.default_branch, 'HEAD'))"""
+)
+def migrate_stamps(spark, sf):
+    c = Corpus.load(spark, sf)
+    out = mig.seed_stamps(c.repos, c.repo_branches.where("branch <> 'main'"))
+    return out.select("repo_id", "branch", F.col("last_indexed_commit").alias("commit"))
+
+
+@query("SELECT repo_id, path, count(*) AS versions FROM files GROUP BY 1, 2 HAVING count(*) > 1")
+def multi_version_paths(spark, sf):
+    return mig.multi_version_paths(Corpus.load(spark, sf).files)
+
+
+@query("SELECT id AS stamp_id FROM repo_branches WHERE last_indexed_at >= (SELECT max(last_indexed_at) FROM repo_branches) - INTERVAL 48 HOURS")
+def indexed_within(spark, sf):
+    c = Corpus.load(spark, sf)
+    latest = c.repo_branches.agg(F.max("last_indexed_at")).first()[0]
+    return mig.indexed_within(c.repo_branches, 48, F.lit(latest)).select(F.col("id").alias("stamp_id"))
+
+
 NEVER = "SELECT repo_id, branch FROM repo_branches WHERE last_indexed_commit IS NULL"
 
 
@@ -628,6 +676,19 @@ def chunk_lines(spark, sf):
     return chunk_files(spread(table(spark, sf, "files").select("id", "content")))
 
 
+@query("SELECT id AS file_id, content, true AS within_limit, true AS lines_follow FROM files WHERE content <> ''")
+def chunks_rejoined(spark, sf):
+    """Every file put together again from its chunks, whether these keep the limit (but for single lines) and their lines
+    follow on each other."""
+    c = chunk_files(spread(table(spark, sf, "files").select("id", "content")))
+    each = F.struct("chunk_index", "content", "start_line", "end_line")
+    parts = c.groupBy("file_id").agg(F.sort_array(F.collect_list(each)).alias("p"))
+    fits = F.forall("p", lambda x: (F.length(x["content"]) <= 2000) | (x["start_line"] == x["end_line"]))
+    ends = F.concat(F.array(F.lit(0)), F.transform("p", lambda x: x["end_line"]))
+    follow = F.forall(F.zip_with("p", F.slice(ends, F.lit(1), F.size("p")), lambda x, e: x["start_line"] == e + 1), lambda ok: ok)
+    return parts.select("file_id", F.array_join(F.transform("p", lambda x: x["content"]), "").alias("content"), fits.alias("within_limit"), follow.alias("lines_follow"))
+
+
 @query()
 def embed_contents(spark, sf):
     return embed_chunks(chunk_files(spread(table(spark, sf, "files").select("id", "content"))), hash_embedder(), 128).select("file_id", "chunk_index", "embedding")

@@ -147,6 +147,14 @@ def replace_children(children: DataFrame, new: DataFrame, changed: DataFrame, ke
     return children.join(changed.select(F.col("id").alias(key)).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def sink_chunks(chunks: DataFrame, delivered: DataFrame) -> DataFrame:
+    """``chunks`` after a delivery: ``delivered`` has ``file_id, ord`` and ``chunks``, an array of the file's new rows without its
+    id. Of a file delivered more than once the last counts; one with an empty or null array loses its chunks."""
+    last = delivered.groupBy("file_id").agg(F.max_by("chunks", "ord").alias("c"))
+    new = last.select("file_id", F.inline("c"))
+    return chunks.join(broadcast_if_small(last.select("file_id")), "file_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def work_list(heads: DataFrame, stamps: DataFrame, version: int) -> DataFrame:
     """Branches of ``heads`` (repo_id, branch, commit) that are not stamped with this commit and version."""
     done = stamps.where(F.col("index_semantics_version") == version).select("repo_id", "branch", F.col("last_indexed_commit").alias("commit"))

@@ -58,6 +58,7 @@ class Report:
     status: list[tuple] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
     degraded: list[tuple] = field(default_factory=list)
+    swept: int = 0
     retired: int = 0
     purged: int = 0
 
@@ -138,8 +139,8 @@ def children(spark: SparkSession, files: DataFrame, classes: DataFrame, old: dic
     return {t: idx.cascade(rows, alive).select(*spark.createDataFrame([], SCHEMAS[t]).columns) for t, rows in out.items()}, degraded
 
 
-def index_rows(spark: SparkSession, store: SnapshotStore, incoming: DataFrame, heads: DataFrame, rules: Rules, whole_branches: bool = True) -> tuple[dict[str, DataFrame], set[int], DataFrame, DataFrame]:
-    """(tables after ``incoming``, parts they fill, classes, degraded branches). ``incoming`` has the delivered rows of indexed
+def index_rows(spark: SparkSession, store: SnapshotStore, incoming: DataFrame, heads: DataFrame, rules: Rules, whole_branches: bool = True) -> tuple[dict[str, DataFrame], set[int], DataFrame, DataFrame, int]:
+    """(tables after ``incoming``, parts they fill, classes, degraded branches, files swept). ``incoming`` has the delivered rows of indexed
     branches (``repo_id, branch, path, lang, size, content, commit, ord``), ``heads`` a row for each of these branches
     (``repo_id, branch, commit, parsed``)."""
     buckets = {r[0] for r in heads.select(store.bucket(F.col("repo_id"))).distinct().collect()}
@@ -152,7 +153,8 @@ def index_rows(spark: SparkSession, store: SnapshotStore, incoming: DataFrame, h
     files = idx.apply_changes(old["files"], incoming, changes)
     rest, degraded = children(spark, files, classes, old, rules)
     stamps = idx.next_stamps(old["repo_branches"], heads, rules.version)
-    return {"files": files, **rest, "repo_branches": stamps}, buckets, classes, degraded
+    swept = changes.where("id IS NOT NULL AND size(after) = 0").count()
+    return {"files": files, **rest, "repo_branches": stamps}, buckets, classes, degraded, swept
 
 
 def run(spark: SparkSession, store: SnapshotStore, deliveries: DataFrame, wanted: DataFrame, rules: Rules = Rules(), reconcile: bool = True) -> Report:
@@ -177,12 +179,13 @@ def run(spark: SparkSession, store: SnapshotStore, deliveries: DataFrame, wanted
     done = cut_lineage(done)
     rows = arrived.join(broadcast_if_small(done.select("repo_id", "branch")), ["repo_id", "branch"])
     incoming = rows.select("repo_id", "branch", "path", "lang", F.col("size").cast("int").alias("size"), "content", "commit", "ord")
-    tables, buckets, classes, degraded = index_rows(spark, store, incoming, done, rules)
+    tables, buckets, classes, degraded, swept = index_rows(spark, store, incoming, done, rules)
     names = wanted.join(by_name, "repo").join(done.select("repo_id", "branch", "parsed"), ["repo_id", "branch"], "left")
     tables["repos"] = upsert_repos(repos, names, rules.version)
     report = Report(expected + 1)
     report.status = [tuple(r) for r in status.select("repo_id", "branch", "files", "error", "status").orderBy("repo_id", "branch").collect()]
     report.counts = {r["class"]: r["count"] for r in classes.groupBy("class").count().collect()}
+    report.swept = swept
     report.degraded = [tuple(r) for r in degraded.orderBy("repo_id", "branch").collect()]
     if reconcile and idx.outcome(status).may_reconcile:
         buckets = _reconcile(spark, store, tables, heads, buckets, report)

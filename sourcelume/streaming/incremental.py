@@ -22,7 +22,7 @@ def apply_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, whole_bra
         return store.version()
     expected = store.version()
     heads = batch.groupBy("repo_id", "branch").agg(F.max_by("commit", "ord").alias("commit"), F.count("path").alias("parsed"))
-    tables, buckets, _, _ = index_rows(spark, store, batch, heads, rules, whole_branches)
+    tables, buckets, *_ = index_rows(spark, store, batch, heads, rules, whole_branches)
     return store.commit(tables, expected, buckets, {"batch": batch_id}, SORTED)
 
 

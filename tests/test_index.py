@@ -419,3 +419,23 @@ def test_narrowing(spark):
     got = lambda q: (lambda d: d if d is None else {r[0] for r in d.collect()})(candidates_of(table, parse(q)))
     assert got("alpha") == {1, 2} and got("alpha beta") == {1} and got("alpha or gamma") == {1, 2, 3} and got("-alpha") is None and got("alpha -beta") == {1, 2}
     assert got("al") is None and got("alpha or lang:go") is None and got("lang:go alpha") == {1, 2} and got("/alp.*amma/") == {2} and got("/a.b/") is None
+
+
+def test_migrations(spark, tmp_path):
+    from sourcelume.operators.migrate import CannotMigrate, migrate
+
+    store = SnapshotStore(str(tmp_path / "s"))
+    repos = spark.createDataFrame([(1, "o/a", None, "c1", 3), (2, "o/b", "dev", None, None)], "id int, name string, default_branch string, last_indexed_commit string, index_semantics_version int").withColumn("last_indexed_at", F.lit(None).cast("timestamp"))
+    old = spark.createDataFrame([(1, 1, "a.py", "A"), (2, 2, "b.py", None), (3, 9, "c.py", "C")], "id int, repo_id int, path string, content string")
+    store.commit({"repos": repos, "files": old}, 0)
+    assert migrate(spark, store) == [2] and migrate(spark, store) == [] and store.version() == 2
+    rows = {r["id"]: (r["branches"], r["content_sha"][:6]) for r in store.read(spark, "files").collect()}
+    assert rows == {1: (["HEAD"], "559aea"), 2: (["dev"], "e3b0c4"), 3: (None, "6b23c0")}
+    assert {(r["repo_id"], r["branch"], r["last_indexed_commit"]) for r in store.read(spark, "repo_branches").collect()} == {(1, "HEAD", "c1"), (2, "dev", None)}
+    twice = store.read(spark, "files").unionByName(store.read(spark, "files").where("id = 1").withColumn("content_sha", F.lit("other")))
+    store.commit({"files": twice}, 2)
+    with pytest.raises(CannotMigrate):
+        migrate(spark, store, 1)
+    assert store.version() == 3
+    store.commit({"files": store.read(spark, "files", 2)}, 3)
+    assert migrate(spark, store, 1) == [1] and set(store.read(spark, "files").columns) == {"id", "repo_id", "path", "content"} and migrate(spark, store) == [2]
