@@ -39,5 +39,15 @@ SELECT f.id AS file_id, CAST(CASE WHEN f.lost THEN f.id ELSE cc.root END AS BIGI
 FROM f LEFT JOIN rep ON rep.sha = f.sha LEFT JOIN cc ON cc.id = rep.id LEFT JOIN links l ON l.sha = f.sha"""
 
 
+P3_RANKING = P3[: P3.index("SELECT query_id, id AS chunk_id FROM r")] + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY greatest(pc, pn), least(pc, pn), id) AS rank FROM r)
+SELECT query_id, id AS chunk_id, CAST(n AS BIGINT) AS hits, round(c, 6) AS cosine, pc AS place_cosine, pn AS place_hits, rank FROM k WHERE rank <= 5"""
+# What must hold of results that SQL cannot compute itself: the same rows as the input has, and no violations among them.
+P2_REJOINED = "SELECT DISTINCT id AS chunk_id, content, true AS within_limit, true AS numbered, true AS overlapping FROM chunks"
+P4_SAFE = "SELECT DISTINCT id AS file_id, true AS same_length, true AS same_lines, true AS nothing_left, true AS parses_as_before FROM files WHERE content IS NOT NULL"
+P8_CHECKS = "SELECT b.name, b.capacity_tokens, count(DISTINCT d.doc_id) AS documents, 0 AS overfull, 0 AS split_in_vain, 0 AS in_pieces_that_do_not_meet FROM token_budgets b, documents d WHERE d.text IS NOT NULL GROUP BY 1, 2"
+P9_CHECKS = "SELECT source, 0 AS used_too_often, 0 AS misnumbered, 0 AS of_another_source FROM mix_targets"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p3_found": P3, "p5_found": P5, "p7_found": P7, "p7_groups": P7_GROUPS}
+    more = {"p2_rejoined": P2_REJOINED, "p3_ranking": P3_RANKING, "p4_safe": P4_SAFE, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS}
+    return {**more, "p2_found": P2, "p3_found": P3, "p5_found": P5, "p7_found": P7, "p7_groups": P7_GROUPS}

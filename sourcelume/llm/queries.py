@@ -48,6 +48,19 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select(F.col("id").alias("chunk_id"), "file_id", "chunk_index", "piece", "pieces", "start_line", "end_line", "overlap_chars", "content")
 
 
+def p2_rejoined(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk put together again from its pieces, and whether these keep the limit, are numbered and overlap as stated."""
+    rows = p2_pieces(spark, sf).dropDuplicates(["chunk_id", "piece"])
+    own = F.substring("content", F.col("overlap_chars") + 1, F.length("content"))
+    each = F.struct("piece", own.alias("own"), F.when(F.col("overlap_chars") > 0, F.left("content", F.col("overlap_chars"))).alias("head"))
+    parts = rows.groupBy("chunk_id").agg(F.sort_array(F.collect_list(each)).alias("p"), F.max("pieces").alias("pieces"), F.max(F.length("content")).alias("longest"))
+    text = F.when(F.exists("p", lambda x: x["own"].isNotNull()), F.array_join(F.transform("p", lambda x: x["own"]), ""))
+    before = F.transform("p", lambda x, i: F.array_join(F.transform(F.slice("p", F.lit(1), i), lambda y: y["own"]), ""))
+    met = F.forall(F.zip_with("p", before, lambda x, b: x["head"].isNull() | b.endswith(x["head"])), lambda ok: ok)
+    numbered = F.transform("p", lambda x: x["piece"]) == F.sequence(F.lit(0), F.col("pieces") - 1)
+    return parts.select("chunk_id", text.alias("content"), F.coalesce(F.col("longest") <= 2000, F.lit(True)).alias("within_limit"), numbered.alias("numbered"), met.alias("overlapping"))
+
+
 def _ranking(spark: SparkSession, sf: str) -> DataFrame:
     chunks = spread(table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "embedding", "ts"))
     return rank_for_queries(chunks, table(spark, sf, "search_queries"), 5)
@@ -80,6 +93,24 @@ def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("masked > 0").dropDuplicates(["file_id"])
 
 
+def p4_safe(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every file whether masking kept its length and lines, left nothing to find, and left it as valid as it was."""
+    files = table(spark, sf, "files").where("content IS NOT NULL").select("id", "lang", "content")
+    masked = redacted(spread(files.withColumn("before", F.col("content"))))
+    marks = cut_lineage(masked.where("masked > 0").dropDuplicates(["id"]))
+    flaws = F.coalesce("error_line", F.lit(-1))
+    was = parse_errors(marks.select("id", "lang", F.col("before").alias("content")), ["id"]).select("id", flaws.alias("was"))
+    now = parse_errors(marks.select("id", "lang", "content"), ["id"]).select("id", flaws.alias("now"))
+    left = credential_lines(marks).select(F.col("id").cast("int").alias("id")).distinct().withColumn("found", F.lit(True))
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    seen = marks.join(was, "id", "left").join(now, "id", "left").join(left, "id", "left").select(
+        "id", (F.length("content") == F.length("before")).alias("a"), (lines("content") == lines("before")).alias("b"), F.col("found").isNull().alias("c"), F.col("was").eqNullSafe(F.col("now")).alias("d")
+    )
+    out = files.select("id").distinct().join(seen, "id", "left")
+    names = {"a": "same_length", "b": "same_lines", "c": "nothing_left", "d": "parses_as_before"}
+    return out.select(F.col("id").alias("file_id"), *[F.coalesce(c, F.lit(True)).alias(n) for c, n in names.items()])
+
+
 def p6_reasons(spark: SparkSession, sf: str) -> DataFrame:
     files = spread(table(spark, sf, "files").select("id", "repo_id", "path", "lang", "content", "content_sha"))
     aside = files_to_set_aside(files, table(spark, sf, "repos").select("id", "name"))
@@ -115,6 +146,20 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(cut_lineage(_containers(spark, sf)))
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """For each capacity the documents that have a place, and what must not be: containers over it, documents split that would
+    fit, and split ones whose pieces do not follow on each other."""
+    rows = cut_lineage(_containers(spark, sf))
+    by = ["name", "capacity_tokens"]
+    over = rows.groupBy(*by, "container_id").agg(F.sum("tokens").alias("t")).groupBy(*by).agg(F.count(F.when(F.col("t") > F.col("capacity_tokens"), 1)).alias("overfull"))
+    docs = rows.groupBy(*by, "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("first_token", "tokens"))).alias("p"))
+    meets = F.forall(F.transform("p", lambda x, i: x["first_token"] == i * F.col("capacity_tokens")), lambda ok: ok)
+    docs = docs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when((F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens")), 1)).alias("split_in_vain"), F.count(F.when(~meets, 1)).alias("in_pieces_that_do_not_meet")
+    )
+    return docs.join(over, by).select(*by, "documents", *[F.col(c).cast("int").alias(c) for c in ("overfull", "split_in_vain", "in_pieces_that_do_not_meet")])
+
+
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixture(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), table(spark, sf, "mix_targets"))
 
@@ -124,6 +169,19 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return share_report(mixed, table(spark, sf, "mix_targets"))
 
 
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """For each target the documents used too often, numbered wrongly, or not of this source."""
+    targets = table(spark, sf, "mix_targets").select("source", "max_repeats")
+    uses = p9_mixture(spark, sf).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("copy").alias("last"), F.countDistinct("copy").alias("different"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("own"))
+    rows = uses.join(docs, "doc_id", "left").join(targets, "source", "full_outer")
+    bad = lambda cond: F.count(F.when(cond, 1)).cast("int")
+    return rows.groupBy("source").agg(
+        bad(F.col("n") > F.col("max_repeats")).alias("used_too_often"), bad((F.col("n") != F.col("last")) | (F.col("n") != F.col("different"))).alias("misnumbered"),
+        bad(F.col("n").isNotNull() & ~F.col("own").eqNullSafe(F.col("source"))).alias("of_another_source"),
+    )
+
+
 def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     scored = truncated(spread(table(spark, sf, "documents").select("doc_id", "text", "source")))
     return scored.select("doc_id", "source", F.round("score", 6).alias("score"), "cut")
@@ -138,7 +196,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p4_places, p4_redacted, p5_found, p6_found, p6_reasons, p7_found, p7_groups, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_pieces, p2_rejoined, p3_found, p3_ranking, p4_found, p4_places, p4_redacted, p4_safe, p5_found, p6_found, p6_reasons, p7_found, p7_groups, p8_containers, p8_fill, p8_checks, p9_mixture, p9_shares, p9_checks, p10_found, p10_scores, p10_rates)}
 
 
 __all__ = ["oracle_sql", "queries"]
