@@ -12,10 +12,10 @@ from .functions.text import content_sha, cosine, glob_pattern, language, lines,
 from .operators import index as idx, migrate as mig, references as ref, trigrams as tri
 from .operators.grep import grep, within_bytes
 from .operators.search import file_lines, get_file, list_repos, merged_files, permalink_branch, resolve_commits
-from .operators.semantic import bm25, fuse, hybrid, leg_rank, nearest, scoped_chunks
+from .operators.semantic import bm25_each, fuse, hybrid_each, leg_rank, nearest_each, scoped_chunks
 from .operators.symbols import find_symbols, ordered_symbols
 from .plans.corpus import Corpus, default_branch, has_branch, page, select_files
-from .plans.language import ProseQuery, case_of, parse
+from .plans.language import case_of, parse, split_prose
 from .sources.listing import choose_branches, choose_repos
 from .sources.tables import spread, table
 from .streaming.incremental import event_counts
@@ -24,9 +24,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: The query vector and words of the semantic queries: those of the first search query.
-FIRST_QUERY = 1
-
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
@@ -318,80 +315,78 @@ def imported_by(spark, sf):
 USABLE = "embedding IS NOT NULL AND len(embedding) = 128 AND NOT list_contains(list_transform(embedding, lambda x: isnan(x)), true) AND list_contains(list_transform(embedding, lambda x: x <> 0), true)"
 SCOPED = f"scoped AS (SELECT c.id, c.embedding, c.ts, f.lang, f.path, r.name AS repo FROM chunks c JOIN files f ON f.id = c.file_id JOIN repos r ON r.id = f.repo_id WHERE {ON_DEFAULT} {{extra}})"
 GO_PKG = "AND f.lang = 'go' AND regexp_matches(f.path, '^pkg/', 'si')"
-QV = f"qv AS (SELECT query_embedding AS v, query_text FROM search_queries WHERE query_id = {FIRST_QUERY})"
 SOUND = f"sound AS MATERIALIZED (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM scoped WHERE {USABLE})"
-NEAR = "near AS (SELECT * FROM (SELECT id, list_cosine_similarity(e, CAST((SELECT v FROM qv) AS DOUBLE[])) AS similarity FROM sound) ORDER BY round(similarity, 12) DESC, id LIMIT 200)"
+NEAR = """near AS (SELECT q.query_id, s.id, list_cosine_similarity(s.e, CAST(q.query_embedding AS DOUBLE[])) AS similarity FROM sound s, search_queries q
+ QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(s.e, CAST(q.query_embedding AS DOUBLE[])), 12) DESC, s.id) <= 200)"""
 HITS = r"""docs AS (SELECT id, list_transform(regexp_extract_all(ts, '''((?:[^'']|'''')+)'':([0-9]+[A-D]?(?:,[0-9]+[A-D]?)*)', 1), lambda w: lower(replace(w, '''''', ''''))) AS w,
  list_transform(regexp_extract_all(ts, '''((?:[^'']|'''')+)'':([0-9]+[A-D]?(?:,[0-9]+[A-D]?)*)', 2), lambda p: len(string_split(p, ','))) AS n FROM scoped WHERE ts IS NOT NULL),
-sized AS (SELECT id, w, n, coalesce(list_sum(n), 0) AS dl FROM docs), st AS (SELECT count(*) AS nd, avg(dl) AS al FROM sized),
-hits AS (SELECT * FROM (SELECT id, dl, unnest(w) AS word, unnest(n) AS tf FROM sized) WHERE list_contains(string_split((SELECT query_text FROM qv), ' '), word)),
-df AS (SELECT word, count(DISTINCT id) AS df FROM hits GROUP BY word),
-bm AS (SELECT h.id, round(sum(ln(1 + (st.nd - d.df + 0.5) / (d.df + 0.5)) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / st.al))), 9) AS score FROM hits h JOIN df d ON d.word = h.word CROSS JOIN st GROUP BY h.id ORDER BY score DESC, h.id LIMIT 200)"""
+ sized AS (SELECT id, w, n, coalesce(list_sum(n), 0) AS dl FROM docs), st AS (SELECT count(*) AS nd, avg(dl) AS al FROM sized),
+ qw AS (SELECT DISTINCT query_id, unnest(string_split(query_text, ' ')) AS word FROM search_queries),
+ hits AS (SELECT qw.query_id, h.* FROM (SELECT id, dl, unnest(w) AS word, unnest(n) AS tf FROM sized) h JOIN qw ON qw.word = h.word),
+ df AS (SELECT word, count(DISTINCT id) AS df FROM hits GROUP BY word),
+ bm AS (SELECT h.query_id, h.id, round(sum(ln(1 + (st.nd - d.df + 0.5) / (d.df + 0.5)) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / st.al))), 9) AS score FROM hits h JOIN df d ON d.word = h.word CROSS JOIN st GROUP BY h.query_id, h.id
+  QUALIFY row_number() OVER (PARTITION BY h.query_id ORDER BY round(sum(ln(1 + (st.nd - d.df + 0.5) / (d.df + 0.5)) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / st.al))), 9) DESC, h.id) <= 200)"""
 
 
-def _first(c: Corpus, spark: SparkSession, sf: str) -> tuple[list[float], list[str]]:
-    row = table(spark, sf, "search_queries").where(F.col("query_id") == FIRST_QUERY).first()
-    return list(row["query_embedding"]), row["query_text"].split(" ")
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """All search queries, with vectors and words."""
+    return table(spark, sf, "search_queries").select("query_id", F.col("query_embedding").alias("vector"), F.split("query_text", " ").alias("words"))
 
 
-@query(f"WITH {SCOPED.format(extra='')}, {QV}, {SOUND}, {NEAR} SELECT id AS chunk_id, round(similarity, 6) AS similarity FROM near")
+@query(f"WITH {SCOPED.format(extra='')}, {SOUND}, {NEAR} SELECT query_id, id AS chunk_id, round(similarity, 6) AS similarity FROM near")
 def semantic_nearest(spark, sf):
-    c = Corpus.load(spark, sf)
-    v, _ = _first(c, spark, sf)
-    return nearest(scoped_chunks(c), v).select(F.col("id").alias("chunk_id"), F.round("similarity", 6).alias("similarity"))
+    near = nearest_each(scoped_chunks(Corpus.load(spark, sf)), _asked(spark, sf))
+    return near.select(F.col("query_id").cast("int").alias("query_id"), F.col("id").alias("chunk_id"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {SCOPED.format(extra='')}, {QV}, {HITS} SELECT id AS chunk_id, round(score, 6) AS score FROM bm")
+@query(f"WITH {SCOPED.format(extra='')}, {HITS} SELECT query_id, id AS chunk_id, round(score, 6) AS score FROM bm")
 def semantic_bm25(spark, sf):
-    c = Corpus.load(spark, sf)
-    _, words = _first(c, spark, sf)
-    return bm25(scoped_chunks(c), words).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
+    best = bm25_each(scoped_chunks(Corpus.load(spark, sf)), _asked(spark, sf))
+    return best.select(F.col("query_id").cast("int").alias("query_id"), F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {SCOPED.format(extra='')}, {QV}, {HITS} SELECT id AS chunk_id, row_number() OVER (ORDER BY score DESC, id) AS rank_text FROM bm")
+@query(f"WITH {SCOPED.format(extra='')}, {HITS} SELECT query_id, id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank_text FROM bm")
 def semantic_leg_ranks(spark, sf):
-    c = Corpus.load(spark, sf)
-    _, words = _first(c, spark, sf)
-    return leg_rank(bm25(scoped_chunks(c), words), "score", "rank_text").select(F.col("id").alias("chunk_id"), "rank_text")
+    ranked = leg_rank(bm25_each(scoped_chunks(Corpus.load(spark, sf)), _asked(spark, sf)), "score", "rank_text", "query_id")
+    return ranked.select(F.col("query_id").cast("int").alias("query_id"), F.col("id").alias("chunk_id"), "rank_text")
 
 
-FUSED = """v AS (SELECT id, row_number() OVER (ORDER BY round(similarity, 12) DESC, id) AS rv FROM near), t AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rt FROM bm),
-fused AS (SELECT coalesce(v.id, t.id) AS id, coalesce(1.0 / (60 + rv), 0) + coalesce(1.0 / (60 + rt), 0) AS rrf FROM v FULL OUTER JOIN t ON v.id = t.id)"""
+FUSED = """v AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, id) AS rv FROM near), t AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rt FROM bm),
+fused AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, coalesce(1.0 / (60 + rv), 0) + coalesce(1.0 / (60 + rt), 0) AS rrf FROM v FULL OUTER JOIN t ON v.id = t.id AND v.query_id = t.query_id)"""
+TOP = "SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) <= 10"
 
 
-@query(f"WITH {SCOPED.format(extra='')}, {QV}, {SOUND}, {NEAR}, {HITS}, {FUSED} SELECT id AS chunk_id, round(CAST(rrf AS DOUBLE), 6) AS rrf_score FROM fused")
+@query(f"WITH {SCOPED.format(extra='')}, {SOUND}, {NEAR}, {HITS}, {FUSED} SELECT query_id, id AS chunk_id, round(CAST(rrf AS DOUBLE), 6) AS rrf_score FROM fused")
 def semantic_rrf(spark, sf):
-    c = Corpus.load(spark, sf)
-    v, words = _first(c, spark, sf)
-    chunks = scoped_chunks(c)
-    return fuse(nearest(chunks, v), bm25(chunks, words), None).select(F.col("id").alias("chunk_id"), F.round("rrf_score", 6).alias("rrf_score"))
+    chunks, asked = scoped_chunks(Corpus.load(spark, sf)), _asked(spark, sf)
+    out = fuse(nearest_each(chunks, asked), bm25_each(chunks, asked), None, ("query_id",))
+    return out.select(F.col("query_id").cast("int").alias("query_id"), F.col("id").alias("chunk_id"), F.round("rrf_score", 6).alias("rrf_score"))
 
 
 @query(
-    f"WITH {SCOPED.format(extra='')}, {QV}, {SOUND}, {NEAR}, {HITS}, {FUSED} SELECT f.id AS chunk_id, round(CAST(f.rrf AS DOUBLE), 6) AS rrf_score, round(list_cosine_similarity(s.e, CAST((SELECT v FROM qv) AS DOUBLE[])), 6) AS similarity FROM (SELECT * FROM fused ORDER BY rrf DESC, id LIMIT 10) f LEFT JOIN sound s ON s.id = f.id"
+    f"WITH {SCOPED.format(extra='')}, {SOUND}, {NEAR}, {HITS}, {FUSED} SELECT f.query_id, f.id AS chunk_id, round(CAST(f.rrf AS DOUBLE), 6) AS rrf_score, round(list_cosine_similarity(s.e, CAST(q.query_embedding AS DOUBLE[])), 6) AS similarity FROM ({TOP}) f JOIN search_queries q ON q.query_id = f.query_id LEFT JOIN sound s ON s.id = f.id"
 )
 def semantic_hybrid(spark, sf):
-    c = Corpus.load(spark, sf)
-    v, words = _first(c, spark, sf)
-    return hybrid(c, v, words).select(F.col("id").alias("chunk_id"), F.round("rrf_score", 6).alias("rrf_score"), F.round("similarity", 6).alias("similarity"))
+    out = hybrid_each(Corpus.load(spark, sf), _asked(spark, sf))
+    return out.select(F.col("query_id").cast("int").alias("query_id"), F.col("id").alias("chunk_id"), F.round("rrf_score", 6).alias("rrf_score"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(
-    f"WITH {SCOPED.format(extra=GO_PKG)}, {QV}, {SOUND}, {NEAR}, {HITS}, {FUSED} SELECT id AS chunk_id, round(CAST(rrf AS DOUBLE), 6) AS rrf_score FROM (SELECT * FROM fused ORDER BY rrf DESC, id LIMIT 10)"
-)
+@query(f"WITH {SCOPED.format(extra=GO_PKG)}, {SOUND}, {NEAR}, {HITS}, {FUSED} SELECT query_id, id AS chunk_id, round(CAST(rrf AS DOUBLE), 6) AS rrf_score FROM ({TOP})")
 def semantic_filtered(spark, sf):
-    c = Corpus.load(spark, sf)
-    v, words = _first(c, spark, sf)
-    return hybrid(c, v, words, ProseQuery(langs=("go",), paths=("^pkg/",))).select(F.col("id").alias("chunk_id"), F.round("rrf_score", 6).alias("rrf_score"))
+    # the filters as a caller writes them; the words and vectors are those of the search queries
+    filters = split_prose("lang:go file:^pkg/ anything")
+    out = hybrid_each(Corpus.load(spark, sf), _asked(spark, sf), filters)
+    return out.select(F.col("query_id").cast("int").alias("query_id"), F.col("id").alias("chunk_id"), F.round("rrf_score", 6).alias("rrf_score"))
 
 
-@query(f"WITH {QV}, sound AS MATERIALIZED (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE {USABLE}) SELECT id AS chunk_id, round(list_cosine_similarity(e, CAST((SELECT v FROM qv) AS DOUBLE[])), 6) AS similarity FROM sound")
+@query(f"""WITH sound AS MATERIALIZED (SELECT id, file_id, chunk_index, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE {USABLE})
+    SELECT a.id AS chunk_id, b.id AS next_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM sound a JOIN sound b ON b.file_id = a.file_id AND b.chunk_index = a.chunk_index + 1""")
 def semantic_similarity(spark, sf):
+    """How alike every two neighbouring chunks of a file are."""
     c = Corpus.load(spark, sf)
-    v, _ = _first(c, spark, sf)
-    q = F.array(*[F.lit(float(x)) for x in v])
-    sound = c.chunks.where(usable_vector(F.col("embedding"), len(v)))
-    return sound.select(F.col("id").alias("chunk_id"), F.round(cosine(F.col("embedding"), q), 6).alias("similarity"))
+    sound = c.chunks.where(usable_vector(F.col("embedding"), 128)).select("id", "file_id", "chunk_index", "embedding")
+    after = sound.select(F.col("id").alias("next_id"), "file_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("embedding").alias("next"))
+    return sound.join(after, ["file_id", "chunk_index"]).select(F.col("id").alias("chunk_id"), "next_id", F.round(cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
 
 
 # --- scalar functions over whole tables -------------------------------------------------------------------------------
