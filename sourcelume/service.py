@@ -81,17 +81,22 @@ def within(spark: SparkSession, seconds: float, work: Callable):
 
     def stop():
         fired.set()
-        spark.sparkContext.cancelJobGroup(group)
+        # jobs that the work has yet to start as well
+        spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
 
     timer = threading.Timer(seconds, stop)
     spark.sparkContext.setJobGroup(group, "bounded statement", interruptOnCancel=True)
     timer.start()
     try:
-        return work()
+        out = work()
     except Exception as e:
         if fired.is_set():
             raise TooSlow(f"stopped after {seconds} s") from e
         raise
+    else:
+        if fired.is_set():
+            raise TooSlow(f"took more than {seconds} s")
+        return out
     finally:
         timer.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -13,6 +13,8 @@ from sourcelume.plans.corpus import Corpus, page, select_files
 from sourcelume.plans.language import case_of, parse
 from sourcelume.service import BadCursor, Limits, Service, decode_cursor, encode_cursor
 
+#: A first statement compiles and starts workers; what is tested is not how long that takes.
+PATIENT = Limits(statement_s=60.0, match_s=60.0)
 GO = "package main\n\nfunc Handler() {}\n// Handler processes an incoming Request via parseRequest\n"
 FILES = [
     ("acme/widgets", "src/handler.go", "go", GO, ["main"]), ("acme/widgets", "src/util.go", "go", "package main\n\nfunc helperFn() {}\n// generic handler utility, not exported\n", ["main"]),
@@ -116,7 +118,7 @@ def test_paging(corpus):
 
 
 def test_service(spark, corpus):
-    s = Service(spark, corpus)
+    s = Service(spark, corpus, PATIENT)
     out = s.search("handler")
     assert out["file_count"] == 4 and out["match_count"] >= 4 and not out["truncated"] and all("content_sha" not in f for f in out["files"])
     assert s.search("(")["query_parse_error"]["position"] == 1 and s.search("/[[:nope:]]/")["regex_invalid"] and s.search("lang:go")["no_content_atom"] and s.search("commit:1234567")["commit_not_indexed"]
@@ -135,14 +137,14 @@ def test_service(spark, corpus):
     assert s.references("helperFn")["summary"]["unique"] == 1 and not s.references("x", repo="no/such")["repo_known"]
     assert "error" in s.imports("sideways") and s.imports("imported_by", target="os.path")["sites"][0]["resolution"] == "unresolved"
     assert s.semantic("sym:x")["unsupported_filter"]["atom"] == "sym:" and s.semantic("repo:a")["nothing_to_embed"]
-    two = Service(spark, corpus, embedder=lambda texts: [[1.0, 0.0] for _ in texts])
+    two = Service(spark, corpus, PATIENT, embedder=lambda texts: [[1.0, 0.0] for _ in texts])
     assert two.semantic("handler")["results"][0]["similarity"] == 1.0
     assert Limits().clamp(0) == 200 and Limits().clamp(5000) == 1000 and Limits().budget(1) == 1024 and Limits().budget(10**9) == 100_000
     assert len(s.repos()) == 6 and s.ready()
 
 
 def test_negated_commit_only_excludes(spark, corpus):
-    s = Service(spark, corpus)
+    s = Service(spark, corpus, PATIENT)
     plain, without = s.search("a"), s.search("a -commit:bbbbbb2")
     assert plain["file_count"] > 0 and without["file_count"] > 0 and "commit_not_indexed" not in without and "resolved" not in without
     assert s.search("a -commit:1234567")["file_count"] == s.search("a -branch:nowhere")["file_count"] > 0
@@ -162,7 +164,7 @@ def test_pages_do_not_lose_twins(spark, corpus):
     token = encode_cursor(1, "p", "s", 7)
     assert decode_cursor(token) == (1, "p", "s", 7)
     # a first file beyond the byte cap ends the pages instead of handing the same cursor back
-    capped = Service(spark, c, Limits(content_bytes=1))
+    capped = Service(spark, c, Limits(content_bytes=1, statement_s=60.0))
     out = capped.search("a", limit=2, cursor=encode_cursor(0, "", ""), paged=True)
     assert out["truncation_reason"] == "byte_cap" and out["next_cursor"] is None
 
@@ -203,3 +205,72 @@ def test_bucketed_join_moves_nothing(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for t in ("t_files", "t_chunks"):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_all_queries_at_once_equal_one_by_one(spark):
+    import random
+
+    from sourcelume.operators.semantic import bm25, bm25_each, fuse, nearest, nearest_each, postings
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(9)]
+    ts = lambda: " ".join(f"'{w}':{','.join(str(k + 1) for k in range(rng.randrange(1, 4)))}" for w in rng.sample(words, 3))
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], ts()) for i in range(80)] + [(90, None, "'w1':1"), (91, [1.0] * 4, None), (92, [0.0] * 4, ""), (93, [float("nan")] * 4, "'w2':2,3")]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>, ts string").repartition(3)
+    asked = [(1, [1.0, 0.0, 0.0, 1.0], ["w1", "w2"]), (2, [0.0, -1.0, 2.0, 0.0], ["w2", "nothing", ""]), (3, None, ["w1"]), (4, [0.0] * 4, [])]
+    queries = spark.createDataFrame(asked, "query_id int, vector array<float>, words array<string>")
+    near = {(r["query_id"], r["id"], round(r["similarity"], 6)) for r in nearest_each(chunks, queries, 7, block=1).collect()}
+    assert near == {(q, r["id"], round(r["similarity"], 6)) for q, v, _ in asked[:2] for r in nearest(chunks, v, 7).collect()}
+    text = {(r["query_id"], r["id"], round(r["score"], 6)) for r in bm25_each(chunks, queries, 7).collect()}
+    assert text == {(q, r["id"], round(r["score"], 6)) for q, _, w in asked for r in bm25(chunks, w, 7).collect()}
+    stored = postings(chunks)
+    assert {(r["id"], r["score"]) for r in bm25(chunks, ["w1", "w2"], 7, stored).collect()} == {(r["id"], r["score"]) for r in bm25(chunks, ["w1", "w2"], 7).collect()}
+    both = fuse(nearest_each(chunks, queries, 7), bm25_each(chunks, queries, 7), 3, ("query_id",))
+    one = fuse(nearest(chunks, asked[0][1], 7), bm25(chunks, ["w1", "w2"], 7), 3)
+    assert [(r["id"], r["rrf_score"]) for r in both.where("query_id = 1").orderBy(F.desc("rrf_score"), "id").collect()] == [(r["id"], r["rrf_score"]) for r in one.orderBy(F.desc("rrf_score"), "id").collect()]
+    assert nearest_each(chunks, queries.limit(0)).count() == 0 and bm25_each(chunks.limit(0), queries).count() == 0
+
+
+def test_stored_trigrams_spare_contents(spark, corpus, tmp_path):
+    """With a stored table the scan of files gets the ids of those that can match; results stay the same."""
+    from dataclasses import replace
+
+    from sourcelume.operators import trigrams as tri
+
+    corpus.files.write.parquet(str(tmp_path / "f"))
+    tri.write(tri.build(corpus.files), str(tmp_path / "g"), 2)
+    files, grams = spark.read.parquet(str(tmp_path / "f")), spark.read.parquet(str(tmp_path / "g"))
+    plain, indexed = replace(corpus, files=files), replace(corpus, files=files, grams=grams)
+    for q in ("handler", "/foo.*bar/", "handler or foo_bar", "repo:^acme lang:go -handler", "zzz", "a"):
+        assert {r["id"] for r in select_files(indexed, parse(q)).collect()} == {r["id"] for r in select_files(plain, parse(q)).collect()}, q
+    scan = select_files(indexed, parse("foo_bar"))._jdf.queryExecution().executedPlan().toString()
+    assert "In(id" in scan or "EqualTo(id" in scan
+    assert {(r["id"], r["line"]) for r in grep(indexed, "handler").collect()} == {(r["id"], r["line"]) for r in grep(plain, "handler").collect()}
+
+
+def test_service_limits(spark, corpus):
+    import threading
+    from dataclasses import replace
+
+    slow = Service(spark, corpus, Limits(statement_s=0.0))
+    assert slow.search("handler")["query_too_broad"] and slow.references("helperFn")["query_too_broad"] and slow.semantic("handler words")["query_too_broad"] and not slow.ready()
+    bare = Service(spark, replace(corpus, chunks=corpus.chunks.drop("embedding")), PATIENT)
+    assert bare.semantic("handler")["semantic_schema_missing"] and not Service(spark, corpus, PATIENT).semantic("handler")["semantic_schema_missing"]
+    assert Service(spark, corpus, PATIENT, semantic_enabled=False).semantic("x")["disabled"] and bare.health() == {"status": "ok"}
+    # a caller waits for a slot while all are taken
+    one = Service(spark, corpus, Limits(concurrency=1, statement_s=60.0))
+    one._slots.acquire()
+    done = []
+    t = threading.Thread(target=lambda: done.append(one.file("acme/widgets", "src/handler.go")["found"]))
+    t.start()
+    t.join(1.0)
+    assert not done
+    one._slots.release()
+    t.join(60)
+    assert done == [True]
+    pages, after = [], None
+    paged = Service(spark, corpus, Limits(most_rows=4, statement_s=60.0))
+    while rows := paged.repos(after):
+        pages += [r["repo"] for r in rows]
+        after = rows[-1]["repo"]
+    assert pages == sorted(r["repo"] for r in Service(spark, corpus, PATIENT).repos()) and len(pages) == 6
