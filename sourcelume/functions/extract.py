@@ -90,20 +90,37 @@ def template(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
 
 def tokens(text: str, rules: str, start: int = 0, stop: int | None = None, line: int = 1) -> list[Tok]:
     """Tokens of ``text[start:stop]``, whose first line is ``line``; comments are left out."""
-    out, pattern, at = [], _TOKENS[rules], start
+    out: list[Tok] = []
+    pattern, at = _TOKENS[rules], start
     stop = len(text) if stop is None else stop
-    while at < stop and (m := pattern.search(text, at, stop)):
-        line += text.count("\n", at, m.start())
-        s, at = m.group(), m.end()
-        if m.lastgroup != "comment":
-            kind = "str" if m.group("str") is not None else m.lastgroup
-            lead = len(s) - len(s.lstrip()) if kind == "str" else 0
-            if kind == "str" and rules == "ecma" and s[lead : lead + 1] == "`":
-                at = min(template(text, m.start() + lead)[0], stop)
-            elif kind == "op" and s == "`":  # a template that does not end
-                at = stop
-            out.append(Tok(kind, text[m.start() + lead : at], line + s.count("\n", 0, lead), m.start() + lead))
-        line += text.count("\n", m.start(), at)
+    nested = rules == "ecma" and text.find("`", start, stop) >= 0  # only templates end elsewhere than their pattern does
+    while at < stop:
+        again = None
+        for m in pattern.finditer(text, at, stop):
+            s, kind = m.group(), m.lastgroup
+            if kind == "nl":
+                out.append(Tok(kind, s, line, m.start()))
+                line += 1
+            elif kind == "comment":
+                line += s.count("\n")
+            elif m.group("str") is None:
+                out.append(Tok(kind, s, line, m.start()))
+                if nested and s == "`":  # a template that does not end
+                    return out
+            else:
+                lead = len(s) - len(s.lstrip())
+                begin, end = m.start() + lead, m.end()
+                line += s.count("\n", 0, lead)
+                if nested and text[begin] == "`":
+                    end = min(template(text, begin)[0], stop)
+                    again = end if end != m.end() else None
+                out.append(Tok("str", text[begin:end], line, begin))
+                line += text.count("\n", begin, end)
+                if again is not None:
+                    break
+        if again is None:
+            break
+        at = again
     return out
 
 
